@@ -1,7 +1,7 @@
 """Operator 1 [native]: hashed n-gram log-likelihood ratio between trusted target and raw corpus.
 
-Texts are cut into runs of ASCII punctuation and runs of other non-blank characters; unigrams and bigrams are hashed into
-2^bits buckets. Two smoothed multinomials are counted over the buckets: one over the trusted rows (labels of good
+The n-grams of a text are its word bigrams and the last three characters of each word (endings, and marks that stick to
+words), hashed into 2^bits buckets. Two smoothed multinomials are counted over the buckets: one over the trusted rows (labels of good
 quality), one over the whole corpus. A text's score is the mean over its n-grams of log(target / raw); every text with
 a score under the threshold is rejected: no draw is made. Base rules on length and repetition come first.
 
@@ -11,7 +11,7 @@ are counted and returned as often as they occur; other columns are ignored. With
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import saved, table, words
@@ -21,8 +21,9 @@ ALPHA = 1.0
 THRESHOLD = -0.25
 #: The trusted rows that the target model is fitted on: at most so many, least hashes of doc_id first.
 MAX_TRUSTED = 20_000
-TOKEN = r"[!-/:-@\[-`{-~]+|[^\x20\x09-\x0D!-/:-@\[-`{-~]+"
-MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
+#: Characters of the n-gram that ends a word.
+TAIL = 3
+MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30  # the window is hashed in three doublings
 
 
 def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
@@ -30,20 +31,33 @@ def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def _buckets(docs: DataFrame, bits: int) -> DataFrame:
-    """docs with column grams; tokens are hashed in a projection of their own, so that they are hashed once."""
+def _hashed(docs: DataFrame) -> DataFrame:
+    """docs with _w (words), _h (their hashes) and _h2 (hashes of neighbours), each in a projection of its own, so that it is made once."""
+    return docs.withColumn("_w", words(F.col("text"))).withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x))).withColumn("_h2", _joined("_h", 1))
+
+
+def _joined(name: str, step: int) -> Column:
+    """From hashes of k-grams: those of each with the one `step` further on."""
+    n = F.greatest(F.size(name) - step, F.lit(0))
+    return F.zip_with(F.slice(name, 1, n), F.slice(name, step + 1, n), lambda a, b: F.xxhash64(a, b))
+
+
+def _grams(hashed: DataFrame, keep: list, bits: int) -> DataFrame:
+    """A row for each word, with the buckets of its two n-grams: with the word before it, and its last characters.
+
+    explode_outer, as explode would make Spark infer a filter that hashes all words once more.
+    """
     mask = (1 << bits) - 1
-    hashed = docs.withColumn("_h", F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w)))
-    pairs = F.zip_with(F.col("_h"), F.slice(F.col("_h"), 2, F.greatest(F.size("_h") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b).bitwiseAND(mask))
-    single = F.transform("_h", lambda x: x.bitwiseAND(mask))
-    return hashed.withColumn("grams", F.concat(single, F.filter(F.slice(pairs, 1, F.greatest(F.size("_h") - 1, F.lit(0))), lambda x: x.isNotNull()))).drop("_h")
+    rows = hashed.select(*keep, F.explode_outer(F.arrays_zip(F.col("_w").alias("w"), F.col("_h2").alias("pair"))).alias("g"))
+    return rows.select(*keep, F.col("g.pair").bitwiseAND(mask).alias("pair"), F.xxhash64(F.substring("g.w", -TAIL, TAIL)).bitwiseAND(mask).alias("tail"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, alpha: float = ALPHA) -> DataFrame:
     """(bucket, llr): at most 2^bits rows. Map-side sums keep the shuffle at that size for each task."""
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels).withColumn("trusted", F.lit(1))), "doc_id", "left")
-    rows = _buckets(marked.select("text", F.coalesce("trusted", F.lit(0)).alias("trusted")), bits).select("trusted", F.explode("grams").alias("bucket"))
-    counts = saved(rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")), "bucket-counts")
+    rows = _grams(_hashed(marked.select("text", F.coalesce("trusted", F.lit(0)).alias("trusted"))), ["trusted"], bits)
+    rows = rows.select("trusted", F.explode_outer(F.array("pair", "tail")).alias("bucket"))
+    counts = saved(rows.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")), "bucket-counts")
     n = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
     size = 1 << bits
     target = (F.col("target") + alpha) / F.lit(n[1] + alpha * size)
@@ -52,20 +66,21 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, alpha: float = ALP
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    """docs, after _hashed, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     w = REPEAT_WINDOW
-    df = docs.withColumn("_w", words(F.col("text"))).withColumn("_lines", lines).withColumn("n_words", F.size("_w").cast("long"))
-    df = df.withColumn("word_chars", F.char_length(F.array_join("_w", "")).cast("long")).withColumn("n_symbols", (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
-    df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).withColumn("_wh", F.transform("_w", lambda x: F.xxhash64(x)))
-    df = df.withColumn("_win", F.when(F.col("n_words") > w, F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - w + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("_wh", i, w)))).otherwise(F.array().cast("array<bigint>")))
+    df = docs.withColumn("_lines", lines).withColumn("n_words", F.size("_w").cast("long"))
+    df = df.withColumn("word_chars", F.char_length(F.array_join("_w", "")).cast("long")).withColumn("n_symbols", F.char_length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"))
+    df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).withColumn("_h4", _joined("_h2", 2))
+    # a window found twice holds four words found twice; few texts have any
+    df = df.withColumn("_win", F.when(F.size(F.array_distinct("_h4")) < F.size("_h4"), _joined("_h4", 4)))
     some = F.size(F.array_distinct("_win")) < F.size("_win")
     df = df.withColumn("_at", F.when(some, F.array_sort(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = lambda x, j: (j >= 0) & F.coalesce(F.get("_at", j)["h"] == x["h"], F.lit(False))
     df = df.withColumn("_rep", F.when(F.col("_at").isNotNull(), F.array_sort(F.transform(F.filter("_at", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))))
     covered = F.aggregate(F.transform("_rep", lambda x, j: F.least(F.lit(w), F.coalesce(F.get("_rep", j + 1) - x, F.lit(w))).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_w", "_lines", "_wh", "_win", "_at", "_rep")
+    df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_lines", "_h4", "_win", "_at", "_rep")
     return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
@@ -76,9 +91,9 @@ def score(docs: DataFrame, model: DataFrame, bits: int = BITS, threshold: float
     row a text.
     """
     keys = ["_row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rows = _buckets(base_columns(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")), bits)
-    grams = rows.select(*keys, F.explode_outer("grams").alias("bucket"))
-    scored = grams.join(F.broadcast(model), "bucket", "left").groupBy(*keys).agg(F.count("bucket").alias("n_grams"), F.sum("llr").alias("total"))
+    rows = _grams(base_columns(_hashed(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"))), keys, bits)
+    of = lambda name: F.broadcast(model.select(F.col("bucket").alias(name), F.col("llr").alias(f"{name}_llr")))
+    scored = rows.join(of("pair"), "pair", "left").join(of("tail"), "tail", "left").groupBy(*keys).agg((F.count("pair") + F.count("tail")).alias("n_grams"), F.sum(F.coalesce("pair_llr", F.lit(0.0)) + F.coalesce("tail_llr", F.lit(0.0))).alias("total"))
     mean = F.coalesce(F.col("total") / F.nullif(F.col("n_grams"), F.lit(0)), F.lit(0.0))
     return scored.select(*keys[1:], "n_grams", mean.alias("llr_score"), (~F.col("base_failed") & (mean >= threshold)).alias("kept"))
 
