@@ -61,6 +61,10 @@ def _normal_tail(z: Column) -> Column:
     return F.greatest(F.exp(-x * x / 2) * 0.7978845608028654 * poly, F.lit(1e-300))
 
 
+def _codes(chars: Column, alphabet: str) -> Column:
+    return F.transform(chars, lambda c: F.call_function("instr", F.lit(alphabet), c) - 1)
+
+
 def battery(value: Column) -> Column:
     """struct (code: encoding's number, n, p) of a candidate."""
     code = F.when(value.rlike(ENCODINGS[0][1]), 0).when(value.rlike(ENCODINGS[1][1]), 1).otherwise(2)
@@ -71,7 +75,7 @@ def battery(value: Column) -> Column:
         plain = F.rtrim(value, F.lit("=")) if i else F.lower(value)
         plain = F.translate(plain, "-_=", "+/+") if i == 2 else plain
         chars = F.filter(F.split(plain, ""), lambda c: c != "")
-        codes = F.transform(chars, lambda c, a=alphabet: F.call_function("instr", F.lit(a), c) - 1)
+        codes = _codes(chars, alphabet)
         result = _tests(codes, k, i) if result is None else F.when(code == i, _tests(codes, k, i)).otherwise(result)
     return result
 
