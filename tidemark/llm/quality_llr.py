@@ -84,22 +84,22 @@ def base_columns(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def score(docs: DataFrame, model: DataFrame, bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each row of docs: doc_id, the base columns, n_grams, llr_score and kept.
+def score(docs: DataFrame, model: DataFrame, bits: int = BITS, threshold: float = THRESHOLD, keep: tuple = ("doc_id",)) -> DataFrame:
+    """A row for each row of docs: the columns in keep, the base columns, n_grams, llr_score and kept.
 
     The model has at most 2^bits rows and is broadcast; a text's n-grams stay in its partition, so each task sends one
     row a text.
     """
-    keys = ["_row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rows = _grams(base_columns(_hashed(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"))), keys, bits)
+    keys = ["_row", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    rows = _grams(base_columns(_hashed(docs.select(F.monotonically_increasing_id().alias("_row"), *keep, "text"))), keys, bits)
     of = lambda name: F.broadcast(model.select(F.col("bucket").alias(name), F.col("llr").alias(f"{name}_llr")))
     scored = rows.join(of("pair"), "pair", "left").join(of("tail"), "tail", "left").groupBy(*keys).agg((F.count("pair") + F.count("tail")).alias("n_grams"), F.sum(F.coalesce("pair_llr", F.lit(0.0)) + F.coalesce("tail_llr", F.lit(0.0))).alias("total"))
     mean = F.coalesce(F.col("total") / F.nullif(F.col("n_grams"), F.lit(0)), F.lit(0.0))
     return scored.select(*keys[1:], "n_grams", mean.alias("llr_score"), (~F.col("base_failed") & (mean >= threshold)).alias("kept"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
-    return score(docs, fit(docs, labels, bits), bits, threshold)
+def quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float = THRESHOLD, keep: tuple = ("doc_id",)) -> DataFrame:
+    return score(docs, fit(docs, labels, bits), bits, threshold, keep)
 
 
 def op1_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
