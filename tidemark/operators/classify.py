@@ -58,7 +58,7 @@ def bootstrap_metrics(df: DataFrame, key: str, replicates: int = 200, label: str
     """accuracy and f1 by replicate from weighted confusion counts: a row becomes a count at once."""
     b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(label).cast("int").alias("y"), F.col(prediction).cast("int").alias("q"), b.alias("b"))
-    c = rows.withColumn("w", poisson(F.col("key"), F.col("b").cast("string"))).groupBy("b", "y", "q").agg(F.sum("w").alias("n"))
+    c = rows.withColumn("w", poisson(F.col("key"), F.col("b").cast("string"), 42)).groupBy("b", "y", "q").agg(F.sum("w").alias("n"))
     sides = c.select("b", F.explode(F.array(F.struct(F.col("y").alias("k"), F.col("n").alias("real"), F.lit(0).cast("long").alias("said"), F.when(F.col("y") == F.col("q"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("q").alias("k"), F.lit(0).cast("long").alias("real"), F.col("n").alias("said"), F.lit(0).cast("long").alias("hit")))).alias("s")).select("b", "s.*")
     per = sides.groupBy("b", "k").agg(F.sum("real").alias("real"), F.sum("said").alias("said"), F.sum("hit").alias("hit")).where("real > 0")
     f1 = F.coalesce(2.0 * F.col("hit") / F.nullif(F.col("real") + F.col("said"), F.lit(0)), F.lit(0.0))

@@ -66,7 +66,7 @@ def values(spark: SparkSession, d: str) -> DataFrame:
 TRIPS = "with t as (select event_type as taxi_type, cast(ts as date) as date, cast(user_id as varchar) as pickup_place, ts, event_id, value from events) "
 HOUR_SQL = ", ".join(f"count(*) filter (where hour(ts) = {h}) as hour_{h}" for h in range(24))
 TOTAL_SQL = " + ".join(HOURS)
-FARES = "with f as (select l_orderkey * 10 + l_linenumber as id, l_quantity, date_diff('day', o_orderdate, l_shipdate) * 1.0 as duration, month(l_shipdate) as month, isodow(l_shipdate) - 1 as weekday, l_linenumber as passengers, l_extendedprice, l_extendedprice * l_discount as discount_cost, l_extendedprice * l_tax as tax_cost from lineitem join orders on l_orderkey = o_orderkey) "
+FARES = "with f as (select l_orderkey * 10 + l_linenumber as id, l_quantity, cast(date_diff('day', o_orderdate, l_shipdate) as double) as duration, month(l_shipdate) as month, isodow(l_shipdate) - 1 as weekday, l_linenumber as passengers, l_extendedprice, l_extendedprice * l_discount as discount_cost, l_extendedprice * l_tax as tax_cost from lineitem join orders on l_orderkey = o_orderkey) "
 G2_SQL = TRIPS + f", w as (select taxi_type, pickup_place, {HOUR_SQL} from t group by all) "
 U = lambda key, seed=42: f"substr(md5(concat_ws(':', {key}, '{seed}')), 1, 8)"
 
