@@ -2,26 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def moments(df: DataFrame, columns: list[str], weight: str | None = None, by: list[str] | None = None) -> DataFrame:
-    """n, s (sums) and p (sums of products, upper triangle by rows) in one pass, partial sums map-side: d(d+3)/2 + 1 aggregates."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    aggs = [F.sum(w).alias("n"), F.array(*[F.sum(w * F.col(c)) for c in columns]).alias("s"), F.array(*[F.sum(w * F.col(a) * F.col(b)) for a, b in pairs]).alias("p")]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-
-
-def covariance(n: float, s, p, d: int) -> np.ndarray:
+def moments(df: DataFrame, columns: list[str], weights: Column | None = None) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """By replicate: n, sums and the matrix of sums of products, in one pass. weights: an array of a weight for each
+    replicate; without it there is one replicate, 0. Every task sends its sums alone, which Spark adds up."""
+    d = len(columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: np.ndarray | None = None
+        for batch in batches:
+            z = np.concatenate([np.ones((len(batch), 1)), batch[columns].to_numpy(float)], axis=1)
+            if len(batch):
+                w = np.stack(batch["_w"].to_numpy()).astype(float)
+                new = np.stack([z.T @ (z * w[:, [b]]) for b in range(w.shape[1])])
+                total = new if total is None else total + new
+        if total is not None:
+            flat = total.reshape(len(total), -1)
+            yield pd.DataFrame({"b": np.repeat(np.arange(len(flat)), flat.shape[1]), "k": np.tile(np.arange(flat.shape[1]), len(flat)), "v": flat.reshape(-1)})
+
+    w = F.array(F.lit(1)) if weights is None else weights
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns], w.alias("_w")).mapInPandas(run, "b int, k int, v double")
+    out: dict[int, np.ndarray] = {}
+    for r in rows.groupBy("b", "k").agg(F.sum("v").alias("v")).collect():
+        out.setdefault(r["b"], np.zeros((d + 1) ** 2))[r["k"]] = r["v"]
+    return {b: (g[0], g[1 : d + 1], g.reshape(d + 1, d + 1)[1:, 1:]) for b, g in sorted(out.items())}
+
+
+def covariance(n: float, s: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Population covariance (divided by n)."""
-    out = np.zeros((d, d))
-    out[np.triu_indices(d)] = np.asarray(p, float)
-    out = out + np.triu(out, 1).T
-    mean = np.asarray(s, float) / n
-    return out / n - np.outer(mean, mean)
+    return p / n - np.outer(s / n, s / n)
 
 
 def eigen(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,8 +54,7 @@ def fit(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.n
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(means[c])).alias(c) for c in columns])
     # about the means, so that large means cost no precision
     shifted = filled.select(*[(F.col(c) - F.lit(means[c])).alias(c) for c in columns])
-    row = moments(shifted, columns).first()
-    components, values = eigen(covariance(row["n"], row["s"], row["p"], len(columns)))
+    components, values = eigen(covariance(*moments(shifted, columns)[0]))
     return components, values, np.array([means[c] for c in columns], float)
 
 

@@ -41,12 +41,12 @@ def pca_stability(df: DataFrame, columns: list[str], key: str, replicates: int =
     """
     base, _, means = linalg.fit(df, columns)
     shifted = df.select(key, *[(F.coalesce(F.col(c).cast("double"), F.lit(float(m))) - F.lit(float(m))).alias(c) for c, m in zip(columns, means, strict=True)])
-    rows = linalg.moments(weighted(shifted, key, replicates, seed), columns, "w", ["b"]).orderBy("b").collect()
+    weights = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda b: poisson(F.col(key).cast("string"), b.cast("string"), seed))
     out, kept = [], []
-    for r in rows:
-        comp, _ = linalg.eigen(linalg.covariance(r["n"], r["s"], r["p"], len(columns)))
+    for b, sums in linalg.moments(shifted, columns, weights).items():
+        comp, _ = linalg.eigen(linalg.covariance(*sums))
         comp = comp[:, :k] * np.where((comp[:, :k] * base[:, :k]).sum(0) < 0, -1, 1)
-        out.append((r["b"], linalg.affinity(base[:, :k], comp), linalg.procrustes(base[:, :k], comp), *linalg.correlations(base[:, :k], comp)))
+        out.append((b, linalg.affinity(base[:, :k], comp), linalg.procrustes(base[:, :k], comp), *linalg.correlations(base[:, :k], comp)))
         kept.append(comp)
     return pd.DataFrame(out, columns=["b", "affinity", "procrustes", *[f"corr_{i + 1}" for i in range(k)]]), np.array(kept)
 

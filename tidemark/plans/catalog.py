@@ -592,25 +592,25 @@ TRIP_FEATURES = ["value", "hour", "weekday", "is_weekend"]
 @query()
 def gbt_report(spark, d):
     rows = _labelled(spark, d)
-    return classify.class_report(classify.scored(classify.booster(TRIP_FEATURES, depth=4, trees=5).fit(rows.where("part = 'train'")), rows.where("part = 'test'")))
+    return classify.class_report(classify.scored(classify.booster(TRIP_FEATURES, depth=3, trees=3).fit(rows.where("part = 'train'")), rows.where("part = 'test'")))
 
 
 @query()
 def gbt_sweep(spark, d):
     rows = _labelled(spark, d).cache()
-    return spark.createDataFrame(classify.sweep(rows.where("part = 'train'"), rows.where("part = 'test'"), TRIP_FEATURES, ((4, 0.05), (4, 0.10)), 3), "depth int, rate double, accuracy double, f1 double")
+    return spark.createDataFrame(classify.sweep(rows.where("part = 'train'"), rows.where("part = 'test'"), TRIP_FEATURES, ((2, 0.05), (3, 0.10)), 2), "depth int, rate double, accuracy double, f1 double")
 
 
 @query()
 def gbt_importance(spark, d):
-    model = classify.booster(TRIP_FEATURES, depth=4, trees=5).fit(_labelled(spark, d).where("part = 'train'"))
+    model = classify.booster(TRIP_FEATURES, depth=3, trees=3).fit(_labelled(spark, d).where("part = 'train'"))
     return spark.createDataFrame(classify.importances(model, TRIP_FEATURES), "feature string, importance double")
 
 
 @query()
 def bagged_confidence(spark, d):
     rows = _labelled(spark, d).cache()
-    return classify.confidence_stats(classify.bagged(rows.where("part = 'train'"), rows.where("part = 'test'"), TRIP_FEATURES, "event_id", 2, 3))
+    return classify.confidence_stats(classify.bagged(rows.where("part = 'train'"), rows.where("part = 'test'"), TRIP_FEATURES, "event_id", 2, 2, 3))
 
 
 @query()
@@ -622,7 +622,7 @@ def latent_classifier(spark, d):
     rows = rows.withColumns({k: v for k, v in features.calendar("date").items() if k not in ("hour",)} | features.place_features())
     rows = features.stratified_split(rows, "key", "label").withColumns({c: F.col(c).cast("double") for c in HOURS}).cache()
     extra = ["year", "month", "weekday", "is_weekend", "pickup_is_lonlat", "pickup_lon", "pickup_lat", "pickup_zone_id"]
-    model = classify.latent_booster(HOURS, extra, depth=4, trees=3).fit(rows.where("part = 'train'"))
+    model = classify.latent_booster(HOURS, extra, depth=3, trees=2).fit(rows.where("part = 'train'"))
     return classify.class_report(classify.scored(model, rows.where("part = 'test'")))
 
 
