@@ -201,6 +201,6 @@ def test_pipeline(spark, tmp_path):
     rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(good)] + [(20, good[1], "en", "s1", 9), (21, "short", "en", "s1", 5), (22, good[2] + " " + " ".join(f"b{k}" for k in range(30)), "en", "s2", 9), (23, None, None, None, None)]
     rows[3] = (3, good[3] + " mail me@here.com", "en", "s0", 9)
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(24)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, " ".join(f"b{k}" for k in range(30)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == list(range(12))
