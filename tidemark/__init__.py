@@ -1 +1,5 @@
 """PySpark-native mobility analytics: wide hour tables, statistics and models over event-level Parquet."""
+
+import os
+
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # the driver solves small systems; threads only stall them

@@ -94,6 +94,18 @@ def penalty(terms: list[Term]) -> np.ndarray:
     return p
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Of a symmetric positive definite matrix, by sweeps. It stays off threaded LAPACK, which can stall beside a busy JVM."""
+    a = a.copy()
+    for k in range(len(a)):
+        pivot, row = a[k, k], a[k].copy()
+        col = a[:, k].copy()
+        a -= col[:, None] * row / pivot
+        a[k], a[:, k] = row / pivot, -col / pivot
+        a[k, k] = 1 / pivot
+    return a
+
+
 def solve(g: np.ndarray, terms: list[Term], ranges: dict, lambdas=LAMBDAS) -> Model:
     """The smoothing value of least generalised cross-validation; a small ridge makes intercept and bases identifiable."""
     k = g.shape[0] - 2
@@ -102,13 +114,13 @@ def solve(g: np.ndarray, terms: list[Term], ranges: dict, lambdas=LAMBDAS) -> Mo
     ridge[0, 0] = 0
     best = None
     for lam in lambdas:
-        inv = np.linalg.inv(xx + lam * penalty(terms) + ridge)
+        inv = _inverse(xx + lam * penalty(terms) + ridge)
         beta = inv @ xy
         rss = max(yy - 2 * beta @ xy + beta @ xx @ beta, 0.0)
-        edof = float(np.trace(inv @ xx))
+        edof = float((inv * xx).sum())
         gcv = n * rss / max(n - edof, 1e-9) ** 2
         if best is None or gcv < best.gcv:
-            best = Model(terms, ranges, xx[0] / max(n, 1), beta, inv @ xx @ inv * rss / max(n - edof, 1.0), float(lam), edof, float(gcv))
+            best = Model(terms, ranges, xx[0] / max(n, 1), beta, np.einsum("ij,jk->ik", np.einsum("ij,jk->ik", inv, xx), inv) * rss / max(n - edof, 1.0), float(lam), edof, float(gcv))
     return best
 
 
