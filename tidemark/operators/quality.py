@@ -19,6 +19,19 @@ def per_file(trips: DataFrame) -> DataFrame:
     return trips.groupBy("path").agg(F.count("*").alias("input_rows"), F.count_if(F.col("ts").isNull()).alias("parse_failures"))
 
 
+def by_file_and_month(trips: DataFrame) -> DataFrame:
+    """Rows by path and the month of their time (null where there is none): all that the run's counters need, from one narrow scan."""
+    return trips.groupBy("path", F.year("ts").alias("year"), F.month("ts").alias("month")).agg(F.count("*").alias("n"))
+
+
+def run_totals(months: DataFrame, files: DataFrame) -> DataFrame:
+    """input_rows, parse_failures, month_mismatch and files_with_mismatch. months: by_file_and_month; files: path, year, month of each."""
+    said = files.select(F.col("path").alias("_p"), F.col("year").alias("_y"), F.col("month").alias("_m"))
+    off = (F.col("year") != F.col("_y")) | (F.col("month") != F.col("_m"))
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return months.join(said, F.col("path") == F.col("_p"), "left").agg(n(F.lit(True)).alias("input_rows"), n(F.col("year").isNull()).alias("parse_failures"), n(off).alias("month_mismatch"), F.count_distinct(F.when(off, F.col("path"))).alias("files_with_mismatch"))
+
+
 def breakdown(table: DataFrame, kind: str = "taxi_type") -> DataFrame:
     """Rows by year and type, and their share; the window is over the few groups, not the rows."""
     rows = table.groupBy(F.year("date").alias("year"), F.col(kind).alias("taxi_type")).agg(F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,19 @@ def columns_of(spark: SparkSession, path: str) -> list[str]:
     return spark.read.parquet(paths.hadoop_path(path)).columns
 
 
+def footers(spark: SparkSession, files: list[str], at_once: int = 16) -> dict[str, list[tuple[str, str]] | Exception]:
+    """Names and types of every file's columns, or why its footer can't be read. Only footers are read, some at a time."""
+
+    def one(path: str) -> list[tuple[str, str]] | Exception:
+        try:
+            return spark.read.parquet(paths.hadoop_path(path)).dtypes if path else ValueError("blank path")
+        except Exception as e:  # noqa: BLE001  a file's error is its own
+            return e
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(files, pool.map(one, files), strict=True))
+
+
 def is_valid(spark: SparkSession, path: str) -> bool:
     try:
         columns_of(spark, path)
@@ -55,16 +70,20 @@ def consistent(spark: SparkSession, files: list[str], sample: int = 2) -> tuple[
 def read_trips(spark: SparkSession, files: list[str]) -> DataFrame:
     """ts, place, path of every trip: a scan for each family of schemas, of two or three columns each, united.
 
-    Times that can't be read are null; null places are 'unknown'.
+    Files of a family agree in names and types, as the types of one column differ between years. Times that can't be
+    read are null; null places are 'unknown'.
     """
     from tidemark.functions.scalars import lonlat_key
 
-    families: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        families.setdefault(tuple(columns_of(spark, f)), []).append(f)
+    families: dict[tuple[tuple[str, str], ...], list[str]] = {}
+    for f, found in footers(spark, files).items():
+        if isinstance(found, Exception):
+            raise found
+        families.setdefault(tuple(found), []).append(paths.hadoop_path(f))
     out = None
-    for columns, own in families.items():
-        time, place, lonlat = roles.pickup_datetime(list(columns)), roles.pickup_location(list(columns)), roles.pickup_lon_lat(list(columns))
+    for types, own in families.items():
+        columns = [c for c, _ in types]
+        time, place, lonlat = roles.pickup_datetime(columns), roles.pickup_location(columns), roles.pickup_lon_lat(columns)
         if not time or not (place or lonlat):
             raise KeyError(f"no pickup time or place among {columns}")
         df = spark.read.parquet(*own)
