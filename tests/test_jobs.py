@@ -16,7 +16,7 @@ def rows_of(place, hours, each, month=1):
 
 @pytest.fixture(scope="module")
 def source(spark, tmp_path_factory):
-    folder = tmp_path_factory.mktemp("trips")
+    folder = tmp_path_factory.mktemp("my trips")
     trip_file(spark, folder, "yellow_tripdata_2023-01.parquet", rows_of(100, range(12), 10) + rows_of(200, range(12, 24), 10) + rows_of(7, [5], 30) + [(None, 100, 1)])
     trip_file(spark, folder, "yellow_tripdata_2023-02.parquet", rows_of(100, [3], 60, 2) + rows_of(7, [6], 30), "bigint")
     spark.createDataFrame([(1,)], "x int").coalesce(1).write.parquet(str(folder / "green_tripdata_2023-01.parquet"))

@@ -52,5 +52,10 @@ def year_month(path: Column) -> tuple[Column, Column]:
     return F.when(good, year), F.when(good, month)
 
 
+def plain(path: Column) -> Column:
+    """The path that a file's URI (as in _metadata.file_path) stands for."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def looks_older(path: Column) -> Column:
     return F.coalesce(path, F.lit("")).rlike("|".join(OLDER))

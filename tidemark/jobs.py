@@ -73,7 +73,8 @@ def run_wide(spark: SparkSession, source: str, target: str, min_rides: int = 50,
     else:
         raise ValueError(f"grain is file or global, not {grain!r}")
     sinks.write_wide(table, target)
-    totals = quality.run_totals(quality.by_file_and_month(trips), F.broadcast(catalog)).first().asDict()
+    seen = quality.by_file_and_month(trips).withColumn("path", paths.plain(F.col("path")))
+    totals = quality.run_totals(seen, catalog).first().asDict()
     written = spark.read.parquet(target)
     years = quality.breakdown(written).orderBy("year", "taxi_type").collect()
     metrics = totals | {"files": len(listed), "failed_files": len(bad), "output_rows": sum(r["n"] for r in years), "min_rides": min_rides, "grain": grain, "seconds": round(time.time() - began, 2)}
