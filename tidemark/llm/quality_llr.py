@@ -45,11 +45,12 @@ def _joined(name: str, step: int) -> Column:
 def _grams(hashed: DataFrame, keep: list, bits: int) -> DataFrame:
     """A row for each word, with the buckets of its two n-grams: with the word before it, and its last characters.
 
-    explode_outer, as explode would make Spark infer a filter that hashes all words once more.
+    explode_outer, as explode would make Spark infer a filter that hashes all words once more; a text without words gives a
+    row without buckets.
     """
     mask = (1 << bits) - 1
     rows = hashed.select(*keep, F.explode_outer(F.arrays_zip(F.col("_w").alias("w"), F.col("_h2").alias("pair"))).alias("g"))
-    return rows.select(*keep, F.col("g.pair").bitwiseAND(mask).alias("pair"), F.xxhash64(F.substring("g.w", -TAIL, TAIL)).bitwiseAND(mask).alias("tail"))
+    return rows.select(*keep, F.col("g.pair").bitwiseAND(mask).alias("pair"), F.when(F.col("g.w").isNotNull(), F.xxhash64(F.substring("g.w", -TAIL, TAIL)).bitwiseAND(mask)).alias("tail"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, alpha: float = ALPHA) -> DataFrame:
