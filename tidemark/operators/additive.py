@@ -71,7 +71,8 @@ def gram(df: DataFrame, terms: list[Term], targets: list[str], ranges: dict, wei
                 good = np.isfinite(y) & np.isfinite(x).all(1)
                 z = np.concatenate([x[good], y[good, None], np.ones((good.sum(), 1))], axis=1)
                 total[t] = total.get(t, 0) + z.T @ (z * w[good, None])
-        yield pd.DataFrame({"target": list(total), "g": [g.reshape(-1) for g in total.values()]})
+        if total:  # a task without rows sends nothing
+            yield pd.DataFrame({"target": list(total), "g": [g.reshape(-1) for g in total.values()]})
 
     rows = df.select(*{*columns, *targets, *([weight] if weight else [])}).mapInPandas(run, "target string, g array<double>")
     out: dict[str, np.ndarray] = {}
