@@ -60,10 +60,11 @@ def judge(pages: DataFrame, rules: tuple = RULES, redirects: DataFrame | None =
     """page_id, host, path, rule, verdict for each row of pages (page_id, url, html). redirects: (src, dst) of URLs.
 
     Nodes are 64-bit hashes of canonical forms, so a URL's own variants meet without an edge; edges are only those
-    between different forms. No group is gathered: decisions of a component are a map-side maximum.
+    between different forms. No group is gathered: decisions of a component are a map-side minimum. Rows without a form
+    are spread over nodes by page_id, so that many of them make no hot key; they take nothing from there.
     """
     rows = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("own", rule_of(F.col("host"), F.col("path"), rules)).withColumn("form", canonical(F.col("url")))
-    thin = rows.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.col("own.verdict").alias("own"), F.xxhash64("form").alias("node"), F.col("form").isNull().alias("alone"), F.transform(html_links(F.col("html")), lambda u: F.xxhash64(canonical(u))).alias("to"))
+    thin = rows.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.col("own.verdict").alias("own"), F.when(F.col("form").isNull(), F.xxhash64("page_id", F.lit("alone"))).otherwise(F.xxhash64("form")).alias("node"), F.col("form").isNull().alias("alone"), F.transform(html_links(F.col("html")), lambda u: F.xxhash64(canonical(u))).alias("to"))
     thin = saved(thin, "urls")
     edges = thin.where("not alone and size(to) > 0").select(F.col("node").alias("src"), F.explode_outer("to").alias("dst"))
     if redirects is not None:
