@@ -4,13 +4,15 @@ import math
 import random
 import re
 import struct
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from tidemark.llm import benchmark_windows, pii_votes, quality_llr, secret_scan
+from tidemark.llm import benchmark_windows, pii_votes, quality_llr, secret_scan, simhash_dedup, source_mix, suffix_tree_lm
 
 
 def noise(seed, alphabet, pieces, n):
@@ -97,3 +99,106 @@ def test_likelihood_ratio(spark):
         own = buckets(texts[x["doc_id"]])
         assert x["n_grams"] == len(own) and x["llr_score"] == pytest.approx(sum(llr[b] for b in own) / len(own) if own else 0.0)
         assert x["kept"] == (not x["base_failed"] and x["llr_score"] >= quality_llr.THRESHOLD)
+
+
+def test_fingerprints(spark):
+    texts = [None, "", " \t\n", "One", "a B  c", "Ä ö\x0bü x", "x y " * 500, *noise(13, "ab C\n", ["Word ", "é ", "\u00a0", "word "], 300)]
+
+    def plain(text):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+        grams = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    got = {r["doc_id"]: r["fp"] % (1 << 64) for r in simhash_dedup.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_mix_schedule(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "SLOTS", 1 << 8)
+    r = random.Random(3)
+    docs = [(i, " ".join(["w"] * r.randrange(0, 60 if i % 3 else 9)), [None, "b", "a", "a", "é"][i % 5]) for i in range(200)]
+    size = {i: len(t.split()) for i, t, _ in docs}
+    sizes = Counter()
+    for i, _, s in docs:
+        sizes[s] += size[i]
+    aim, total = source_mix.targets(sizes), sum(sizes.values())
+    order, block = ["a", "b", "é", None], total // source_mix.SLOTS
+    mixed = lambda i: (h := xxhash.xxh64_intdigest(b"mix", xxhash.xxh64_intdigest(struct.pack("<q", i), 42))) - ((h >> 63) << 64)
+    rings = {s: [i for i in sorted((i for i, _, x in docs if x == s), key=mixed) for _ in range(size[i])] for s in order}
+    rank, taken = Counter(), Counter()
+    for slot in range(round(total / block)):
+        point = sum((slot >> b & 1) / 2 ** (b + 1) for b in range(40))
+        ends = [sum(aim[x] for x in order[: k + 1]) / total for k in range(4)]
+        s = order[min(sum(e <= point for e in ends), 3)]
+        if rank[s] < 3 * sizes[s] // block:
+            taken.update(rings[s][(rank[s] * block + k) % sizes[s]] for k in range(min(block, sizes[s])))
+        rank[s] += 1
+    assert block > 1 and math.isclose(sum(aim.values()), total)
+    got = {x["doc_id"]: (x["size"], x["taken"]) for x in source_mix.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert got == {i: (size[i], taken[i]) for i in size}
+
+
+def test_suffix_tree_scores(spark):
+    r = random.Random(8)
+    share, end = 1 / 60, b" "
+    stem = lambda: r.choice(["al", "be", "ga", "de"]) + r.choice(["x", "ion", "ed"])
+    texts = [" ".join(x for _ in range(r.randrange(0, 40)) for x in (["the", stem()] if r.random() < 0.5 else [f"odd{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}"] if r.random() < 0.1 else [f"rare{r.randrange(400)}{r.choice(['ly', 'ed'])}", "and"])) for _ in range(150)]
+    rows = {i: [*t.encode().split(), end] for i, t in enumerate(texts)}
+    train = [w for i, w in rows.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(x for w in train for x in w)
+    least = share * sum(count.values())
+    tail = lambda w: b"" if w == end else w[-2:]
+    rare, kinds = Counter(), Counter()
+    for w, c in count.items():
+        rare[tail(w)] += c if c < least else 0
+    symbol = lambda w: w if count[w] >= least else (tail(w), 0) if rare[tail(w)] >= least else 0
+    mass = Counter()
+    for w, c in count.items():
+        mass[symbol(w)] += c
+        kinds[symbol(w)] += 1
+    alphabet = {*(symbol(w) for w in count), 0}
+    root = {s: (mass[s] + 0.5) / (sum(mass.values()) + 0.5 * len(alphabet)) for s in alphabet}
+    ones, twos = {}, {}
+    for w in train:
+        s = [symbol(end), symbol(end), *map(symbol, w)]
+        for a, b, c in zip(s, s[1:], s[2:], strict=False):
+            ones.setdefault(b, Counter())[c] += 1
+            twos.setdefault((a, b), Counter())[c] += 1
+
+    def diverges(c, base):
+        n, kl, df = c.total(), sum(x * math.log(x / c.total() / base[s]) for s, x in c.items()), max(len(c) - 1, 1)
+        return 2 * kl > df + 4 * math.sqrt(2 * df) and kl > 0.01 * n
+
+    blend = lambda c, base: {s: (c[s] + 50 * base[s]) / (c.total() + 50) for s in alphabet}
+    p1 = {b: blend(c, root) for b, c in ones.items() if c.total() >= least and diverges(c, root)}
+    p2 = {ab: blend(c, p1.get(ab[1], root)) for ab, c in twos.items() if ones[ab[0]][ab[1]] >= least and diverges(c, p1.get(ab[1], root))}
+
+    def plain(w):
+        s, out = [symbol(end), symbol(end), *map(symbol, w)], 0.0
+        for i, x in enumerate(w):
+            out += math.log10(p2.get((s[i], s[i + 1]), p1.get(s[i + 1], root))[s[i + 2]])
+            out += 0.0 if count[x] >= least else math.log10((count[x] + 1) / (mass[s[i + 2]] + kinds[s[i + 2]] + 1))
+        return out
+
+    assert p1 and p2 and len(p2) < len(twos) and 0 in {symbol(w) for w in count}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for x in suffix_tree_lm.score(docs, share).collect():
+        assert x["score"] == pytest.approx(plain(rows[x["doc_id"]])), x["doc_id"]
+
+
+def test_pipeline_without_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(50)), "en", "a", 9, 7, "x"), (None, None, None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long, component_id long, kind string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([], "item_id long, text string")
+    for name, d in (("some", docs), ("none", docs.limit(0))):
+        for table, rows in (("documents", d), ("labels", labels), ("benchmark", items)):
+            rows.write.parquet(str(tmp_path / name / f"{table}.parquet"))
+        now = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, str(tmp_path / name))
+            assert now.columns == docs.columns
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).select("doc_id", F.col("taken") > 0).collect()
+        assert [tuple(x) for x in out] == ([(1, True)] if name == "some" else [])
