@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import paths, roles, scalars
-from tidemark.operators import additive, classify, features, linalg, quality, tails, wide
+from tidemark.operators import additive, classify, features, linalg, quantiles, quality, tails, wide
 from tidemark.sources import files, sinks
 
 
@@ -92,6 +92,19 @@ def test_tails(spark):
     assert tails.tail_alpha(df.limit(0), "x", "k").first()["alpha"] is None
 
 
+def test_ranks_and_quantiles_at_size(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=1500), np.full(900, 0.25), np.full(300, -3.0), [np.nan]])
+    df = spark.createDataFrame([(i, None if np.isnan(v) else float(v), 5) for i, v in enumerate(x)], "key long, x double, part int")
+    told = sorted((v, i) for i, v in enumerate(x[:-1]))
+    got = {r["key"]: (r["rank"], r["n"]) for r in tails.ranked(df, "x", "key", rows_a_range=200).collect()}
+    assert got == {i: (k + 1, 2700) for k, (_, i) in enumerate(told)}
+    at = [0.0, 0.05, 0.31, 0.5, 0.75, 0.99, 1.0]
+    for most in (2_000_000, 20):
+        assert quantiles.quantiles(df, ["x", "part"], at, most) == {"x": pytest.approx(np.quantile(x[:-1], at).tolist()), "part": [5.0] * 7}
+    assert quantiles.quantiles(df.limit(0), ["x"], [0.5]) == {"x": [None]} and tails.ranked(df.limit(0), "x", "key").count() == 0
+
+
 def test_additive_model(spark):
     rng = np.random.default_rng(3)
     a, b = rng.random(3000), rng.random(3000)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import quantiles
+
 LAMBDAS = tuple(10.0 ** np.linspace(-3, 3, 11))
 
 
@@ -183,9 +185,9 @@ def bootstrap_bands(df: DataFrame, terms: list[Term], target: str, key: str, rep
 def cost_breakdown(df: DataFrame, models: dict[str, Model], along: str, points: int = 200) -> pd.DataFrame:
     """Every component's prediction along one feature, others at their medians, not below 0; and its share."""
     terms = next(iter(models.values())).terms
-    row = df.agg(*[F.percentile(t.column, 0.5).alias(t.column) for t in terms], F.min(along).alias("_lo"), F.max(along).alias("_hi")).first()
-    grid = pd.DataFrame({t.column: np.full(points, row[t.column], float) for t in terms})
-    grid[along] = np.linspace(row["_lo"], row["_hi"], points)
+    middle = quantiles(df, [t.column for t in terms], [0.5])
+    grid = pd.DataFrame({t.column: np.full(points, middle[t.column][0], float) for t in terms})
+    grid[along] = np.linspace(*df.agg(F.min(along), F.max(along)).first(), points)
     out = pd.DataFrame({along: grid[along]} | {name: np.maximum(design(grid, m.terms, m.ranges) @ m.beta, 0) for name, m in models.items()})
     total = out[list(models)].sum(axis=1)
     return out.assign(**{f"{n}_share": np.where(total > 0, out[n] / total, 0) for n in models})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import draw, share
+from tidemark.operators.quantiles import quantiles
 
 
 def calendar(ts: str) -> dict[str, Column]:
@@ -18,9 +19,8 @@ def minutes_between(start: str, end: str) -> Column:
 
 
 def caps(df: DataFrame, columns: list[str], at: float = 0.99) -> dict[str, float]:
-    """Exact upper quantiles, in one pass."""
-    row = df.agg(*[F.percentile(c, at).alias(c) for c in columns]).first()
-    return {c: row[c] for c in columns}
+    """Exact upper quantiles."""
+    return {c: q[0] for c, q in quantiles(df, columns, [at]).items()}
 
 
 def capped(df: DataFrame, columns: list[str], at: float = 0.99) -> DataFrame:

@@ -9,18 +9,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import quantiles
+from tidemark.sources.sinks import kept
 
-def ranked(df: DataFrame, value: str, key: str) -> DataFrame:
-    """value, key, rank (1 is the least) and n. Rows are range-partitioned and sorted; each partition's rank is offset by the
-    counts of those before it, so no window runs over the whole table."""
+
+#: Rows of a range, on average.
+RANGE_ROWS = 2_000_000
+
+
+def ranked(df: DataFrame, value: str, key: str, rows_a_range: int = RANGE_ROWS) -> DataFrame:
+    """x, key, rank (1 is the least) and n. Rows are cut into ranges of (x, key), so that equal values spread too, and sorted
+    within them; a row's place in its range is offset by the counts of the ranges before it. No window runs over the rows."""
     rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"), F.col(key).alias("key"))
-    cuts = rows.agg(F.percentile_approx("x", [i / 64 for i in range(1, 64)], 1000)).first()[0] or []
-    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col("x"))) if cuts else F.lit(0)
-    rows = rows.withColumn("part", part)
-    sums = rows.groupBy("part").count()
+    ranges = max(1, -(-rows.count() // rows_a_range))
+    placed = rows.repartitionByRange(ranges, "x", "key").sortWithinPartitions("x", "key").withColumn("id", F.monotonically_increasing_id())
+    placed = kept(placed, "ranked").select("x", "key", F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("place"))
+    sums = placed.groupBy("part").count()
     before = sums.select("part", F.coalesce(F.sum("count").over(Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("count").over(Window.partitionBy()).alias("n"))
-    own = Window.partitionBy("part").orderBy("x", "key")
-    return rows.join(F.broadcast(before), "part").select("x", "key", (F.col("before") + F.row_number().over(own)).alias("rank"), "n")  # at most 64 parts
+    return placed.join(F.broadcast(before), "part").select("x", "key", (F.col("before") + F.col("place") + 1).alias("rank"), "n")  # a row for RANGE_ROWS
 
 
 def survival(df: DataFrame, value: str, key: str) -> DataFrame:
@@ -31,8 +37,8 @@ def survival(df: DataFrame, value: str, key: str) -> DataFrame:
 def tail_alpha(df: DataFrame, value: str, key: str, percentile: float = 0.9) -> DataFrame:
     """Exponent and R2 of log P against log x over the tail: above the percentile, or the 80th where that leaves under 10; none under 5."""
     x = df.where((F.col(value) > 0) & ~F.isnan(F.col(value).cast("double")))
-    q = x.agg(F.percentile(value, F.array(F.lit(percentile), F.lit(0.8))).alias("q")).first()["q"]
-    if q is None:
+    q = quantiles(x, [value], [percentile, 0.8])[value]
+    if q[0] is None:
         return df.sparkSession.createDataFrame([(0, None, None)], "n_tail long, alpha double, r2 double")
     high = x.agg(F.count_if(F.col(value) >= q[0])).first()[0]
     tail = survival(x.where(F.col(value) >= (q[0] if high >= 10 else q[1])), value, key)

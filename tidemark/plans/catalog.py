@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import paths, scalars
 from tidemark.operators import additive, classify, features, linalg, quality, resample, tails, wide, zones
+from tidemark.operators.quantiles import quantiles
 from tidemark.operators.wide import HOURS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -403,12 +404,12 @@ def normal_pdf_overlay(spark, d):
     return spark.range(0, 200, 2).select(F.col("id").alias("x"), F.round(scalars.normal_pdf(F.col("id"), F.lit(mu), F.lit(sd)), 9).alias("pdf"))
 
 
-@query()
+@query(VALUES + ", m as (select quantile_cont(value, 0.9) as lo, max(value) as hi from v), t as (select value, event_id from v, m where value >= lo), s as (select ln(value) as lx, ln((count(*) over () - row_number() over (order by value, event_id) + 1) / count(*) over ()) as lp from t), a as (select -regr_slope(lp, lx) as alpha from s) select i, round(lo * power(hi / lo, i / 99.0), 6) as x, round(0.1 * power(power(hi / lo, i / 99.0), -alpha), 9) as p from m, a, (select unnest(range(100)) as i)")
 def power_law_curve(spark, d):
     fit = tails.tail_alpha(values(spark, d), "value", "event_id").first()
-    top = values(spark, d).agg(F.percentile("value", 0.9), F.max("value")).first()
-    grid = spark.range(100).select((F.lit(top[0]) * F.pow(F.lit(top[1] / top[0]), F.col("id") / 99)).alias("x"))
-    return grid.select("x", (0.1 * F.pow(F.col("x") / top[0], F.lit(-fit["alpha"]))).alias("p"))
+    lo, hi = quantiles(values(spark, d), ["value"], [0.9])["value"][0], values(spark, d).agg(F.max("value")).first()[0]
+    steps = F.pow(F.lit(hi / lo), F.col("id") / 99)
+    return spark.range(100).select(F.col("id").alias("i"), r6(lo * steps).alias("x"), F.round(0.1 * F.pow(steps, F.lit(-fit["alpha"])), 9).alias("p"))
 
 
 @query()

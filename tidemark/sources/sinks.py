@@ -1,8 +1,10 @@
-"""Writers: wide tables, JSON reports, the run report."""
+"""Writers: wide tables, JSON reports, the run report, tables between steps."""
 
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -12,6 +14,15 @@ def write_wide(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: df written into the folder that driver and executors share (one of our own where none is set, as in tests)."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
