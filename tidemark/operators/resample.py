@@ -22,10 +22,19 @@ def drawn(df: DataFrame, key: str, value: str, replicates: int, seed: int = 42)
     return draws.withColumn("i", F.pmod(draw_int(F.col("b").cast("string"), F.col("d").cast("string"), seed), F.lit(n))).join(rows, "i").select("b", "value")
 
 
+#: Tables up to so many rows are dealt out over all cores before replicates multiply them; larger ones have partitions enough.
+DEAL_ROWS = 5_000_000
+
+
 def weighted(df: DataFrame, key: str, replicates: int, seed: int = 42) -> DataFrame:
-    """Rows times replicates with Poisson(1) weights; aggregate before anything else: partial sums leave one row a task and replicate."""
+    """Rows times replicates with Poisson(1) weights; aggregate before anything else: partial sums leave one row a task and replicate.
+
+    Rows of weight 0 stay: they add nothing to weighted sums, and a filter on w would be pushed down and draw every weight again.
+    """
     b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    return df.withColumn("b", b).withColumn("w", poisson(F.col(key).cast("string"), F.col("b").cast("string"), seed)).where("w > 0")
+    if df.limit(DEAL_ROWS + 1).count() <= DEAL_ROWS:
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.withColumn("b", b).withColumn("w", poisson(F.col(key).cast("string"), F.col("b").cast("string"), seed))
 
 
 def mean_ci(df: DataFrame, key: str, value: str, replicates: int = 100) -> DataFrame:
