@@ -67,7 +67,7 @@ def hill_plateau(curve: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
-    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.percentile(value, 0.5).alias("median"), F.skewness(value).alias("skew"), F.kurtosis(value).alias("excess_kurtosis"))
+    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.lit(quantiles(df, [value], [0.5])[value][0]).cast("double").alias("median"), F.skewness(value).alias("skew"), F.kurtosis(value).alias("excess_kurtosis"))
 
 
 def summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
