@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.benchmark_windows import leaks
 from tidemark.llm.common import saved, sized_broadcast, table
+from tidemark.llm.near_copies import near_copies
 from tidemark.llm.pii_votes import redact
 from tidemark.llm.quality_llr import quality
-from tidemark.llm.simhash_dedup import near_duplicates
 from tidemark.llm.source_mix import mix
 
 #: Sets of ids up to so many rows are broadcast (two longs each); larger ones are joined by shuffle.
@@ -31,12 +31,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group, once; documents without doc_id stay."""
-    found = near_duplicates(docs)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    marked = docs.where("doc_id is not null").withColumn(TEXT_HASH, F.xxhash64("text"))
-    one = marked.join(stay, F.col("doc_id") == F.col("_d"), "left_semi").dropDuplicates(["doc_id", TEXT_HASH])
-    return one.select(*docs.columns).union(docs.where("doc_id is null"))
+    """The document with the least doc_id (null last) of each group of near copies, once."""
+    found = near_copies(docs).where("th = first_th and doc_id <=> first_id")
+    stay = sized_broadcast(saved(found.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct(), "firsts"), BROADCAST_IDS)
+    marked = docs.withColumn(TEXT_HASH, F.xxhash64("text"))
+    one = marked.join(stay, (F.col(TEXT_HASH) == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    return one.dropDuplicates(["doc_id", TEXT_HASH]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

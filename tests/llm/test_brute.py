@@ -202,3 +202,39 @@ def test_pipeline_without_rows(spark, tmp_path):
             assert now.columns == docs.columns
         out = corpus_pipeline.run(spark, str(tmp_path / name)).select("doc_id", F.col("taken") > 0).collect()
         assert [tuple(x) for x in out] == ([(1, True)] if name == "some" else [])
+
+
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(4000)}"
+    passage, texts = [word() for _ in range(30)], []
+    for i in range(60):
+        base = [word() for _ in range(r.randrange(3, 120))] + (passage if i % 2 else [])
+        for _ in range(r.randrange(1, 6) if i else 25):
+            copy = list(base)
+            for _ in range(r.randrange(0, 5)):
+                copy[r.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    texts += [None, "", "One two", "one  TWO", texts[0], None]
+    r.shuffle(texts)
+    ids = [i // 2 if i % 40 == 1 else None if i % 41 == 2 else i for i in range(len(texts))]
+
+    def plain(text):
+        w = (text or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets, label = [plain(t) for t in texts], list(range(len(texts)))
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in range(30):
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    assert any(sets[i] != sets[j] and len(sets[i] & sets[j]) < 0.9 * len(sets[i] | sets[j]) for i, j in near)
+    groups = {}
+    for i, k in enumerate(label):
+        groups.setdefault(k, []).append((ids[i] is None, ids[i] or 0, i))
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), "").collect()
+    assert sorted(str(x["doc_id"]) for x in got) == sorted(str(ids[min(g)[2]]) for g in groups.values())
+    of = {(ids[i], texts[i]): label[i] for i in range(len(texts))}
+    assert len(got) == len({of[x["doc_id"], x["text"]] for x in got}) == len(groups)
