@@ -41,8 +41,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    hit = saved(leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_d")).where("_d is not null").distinct(), "leaks")
-    return docs.join(sized_broadcast(hit, BROADCAST_IDS), F.col("doc_id") == F.col("_d"), "left_anti")
+    found = leaks(docs, table(spark, sf_dir, "benchmark"), by_text=True)
+    hit = saved(found.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct(), "leaks")
+    marked = docs.withColumn(TEXT_HASH, F.xxhash64("text"))
+    return marked.join(sized_broadcast(hit, BROADCAST_IDS), (F.col(TEXT_HASH) == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality_rules), ("near-duplicates", near_dedup), ("benchmark", decontaminate), ("personal data", personal_data), ("mix", mix_sources)]
-#: SQL expresses neither the hashed models nor the fingerprints; tests hold the pipeline against a brute-force version.
+#: SQL expresses neither the hashed models nor the fingerprints; tests hold the stages of near-duplicates and leaks against plain versions.
 ORACLE_SQL = None
 
 

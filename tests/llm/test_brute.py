@@ -238,3 +238,18 @@ def test_pipeline_near_copies(spark):
     assert sorted(str(x["doc_id"]) for x in got) == sorted(str(ids[min(g)[2]]) for g in groups.values())
     of = {(ids[i], texts[i]): label[i] for i in range(len(texts))}
     assert len(got) == len({of[x["doc_id"], x["text"]] for x in got}) == len(groups)
+
+
+def test_pipeline_leaks_by_text(spark, tmp_path):
+    import corpus_pipeline
+
+    item, clean = " ".join(f"b{k}" for k in range(30)), " ".join(f"c{k}" for k in range(40))
+    rows = [(1, clean + " " + item), (1, clean), (None, item + " x"), (None, clean + " y"), (None, None), (2, item.upper()), (3, "z " + clean), (2, item.upper())]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    shingles = lambda t: {tuple(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(len(w) - 4)}
+    want = [x for x in rows if len(shingles(x[1]) & shingles(item)) < 0.8 * len(shingles(item))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(x) for x in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) == 4
+    twice = spark.createDataFrame([(None, clean), (None, clean), (None, clean + " y z"), (7, clean)], "doc_id long, text string")
+    assert [tuple(x) for x in corpus_pipeline.near_dedup(spark, twice, "").collect()] == [(7, clean)]

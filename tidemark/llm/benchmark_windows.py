@@ -71,20 +71,21 @@ def item_table(items: DataFrame, size: int) -> DataFrame:
     return rows.select("item_id", "n", "s", counts.alias("counts"), simhash(F.col("s")).alias("fp"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, start (word), n_words, hamming, similarity: the best window of each pair."""
+def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, by_text: bool = False) -> DataFrame:
+    """doc_id, item_id, start (word), n_words, hamming, similarity: the best window of each pair. With by_text, texts of one
+    doc_id are told apart, and th (the text's XXH64) is given too."""
     lengths = shingled(items.select("item_id", "text"), 1, ["item_id"]).select(F.least("n_words", F.lit(SHINGLE)).alias("k")).where("k > 0").distinct()
     sizes = sorted(r["k"] for r in lengths.collect())  # at most five
     found = None
     for size in sizes:
-        part = _leaks(docs, items, size, similarity, radius)
+        part = _leaks(docs, items, size, similarity, radius, by_text)
         found = part if found is None else found.union(part)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, n_words int, hamming int, similarity double")
+        return docs.sparkSession.createDataFrame([], "doc_id long, " + ("th long, " if by_text else "") + "item_id long, start int, n_words int, hamming int, similarity double")
     return found
 
 
-def _leaks(docs: DataFrame, items: DataFrame, size: int, similarity: float, radius: int) -> DataFrame:
+def _leaks(docs: DataFrame, items: DataFrame, size: int, similarity: float, radius: int, by_text: bool) -> DataFrame:
     items = saved(item_table(items, size), "items")
     keys = ["doc_id", "th"]
     base = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
@@ -102,19 +103,20 @@ def _leaks(docs: DataFrame, items: DataFrame, size: int, similarity: float, radi
     windows = saved(ready.select(*keys, "width", F.array_distinct(F.flatten(starts)).alias("starts")).where(F.size("starts") > 0).select(*keys, "width", F.explode_outer("starts").alias("start")).distinct(), "windows")
     which = sized_broadcast(windows.select(*keys).distinct(), BROADCAST_DOCS)
     again = shingled(base.join(which, base.doc_id.eqNullSafe(which.doc_id) & (base.th == which.th), "left_semi").distinct(), size, keys).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "s")
-    cut = windows.join(again, windows.doc_id.eqNullSafe(again.d) & (windows.th == again.t)).select("doc_id", "width", "start", F.slice("s", F.col("start") + 1, F.col("width")).alias("win"))
+    cut = windows.join(again, windows.doc_id.eqNullSafe(again.d) & (windows.th == again.t)).select(*keys, "width", "start", F.slice("s", F.col("start") + 1, F.col("width")).alias("win"))
     prints = saved(cut.withColumn("fp", simhash(F.col("win"))), "window-prints")
     width_bits = 64 // BLOCKS
     flips = F.array(*[F.lit(x) for x in _flips(width_bits, radius // BLOCKS)])
     index = items.select("item_id", "n", F.col("fp").alias("item_fp"), "counts", F.explode(_blocks(F.col("fp"))).alias("b")).select("item_id", "n", "item_fp", "b.block", F.explode_outer(F.transform(flips, lambda x: F.col("b.value").bitwiseXOR(x))).alias("value"))
-    queries = prints.select("doc_id", "start", "width", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select("doc_id", "start", "width", "fp", "b.block", "b.value")
+    queries = prints.select(*keys, "start", "width", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select(*keys, "start", "width", "fp", "b.block", "b.value")
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    met = queries.join(index, ["block", "value"]).where((hamming <= radius) & (F.col("width") <= F.col("n"))).select("doc_id", "start", "width", "fp", "item_id", hamming.cast("int").alias("hamming")).distinct()
-    full = met.join(prints.select(F.col("doc_id").alias("d"), F.col("start").alias("a"), F.col("width").alias("v"), "win").distinct(), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") == F.col("a")) & (F.col("width") == F.col("v"))).join(items.select(F.col("item_id").alias("i"), "n", "counts"), F.col("item_id").eqNullSafe(F.col("i")))
+    met = queries.join(index, ["block", "value"]).where((hamming <= radius) & (F.col("width") <= F.col("n"))).select(*keys, "start", "width", "fp", "item_id", hamming.cast("int").alias("hamming")).distinct()
+    full = met.join(prints.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("start").alias("a"), F.col("width").alias("v"), "win").distinct(), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t")) & (F.col("start") == F.col("a")) & (F.col("width") == F.col("v"))).join(items.select(F.col("item_id").alias("i"), "n", "counts"), F.col("item_id").eqNullSafe(F.col("i")))
     common = F.aggregate("counts", F.lit(0), lambda acc, x: acc + F.least(x["c"], F.size(F.filter("win", lambda w: w == x["h"]))))
     exact = full.withColumn("common", common).withColumn("similarity", F.col("common") / (F.col("n") + F.col("width") - F.col("common"))).where(F.col("similarity") >= similarity)
-    best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "width", "hamming")).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.back")).alias("start"), (F.col("b.width") + size - 1).cast("int").alias("n_words"), F.col("b.hamming").alias("hamming"), F.col("b.similarity").alias("similarity"))
+    own = keys if by_text else ["doc_id"]
+    best = exact.groupBy(*own, "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "width", "hamming")).alias("b"))
+    return best.select(*own, "item_id", (-F.col("b.back")).alias("start"), (F.col("b.width") + size - 1).cast("int").alias("n_words"), F.col("b.hamming").alias("hamming"), F.col("b.similarity").alias("similarity"))
 
 
 def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
