@@ -253,3 +253,19 @@ def test_pipeline_leaks_by_text(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) == 4
     twice = spark.createDataFrame([(None, clean), (None, clean), (None, clean + " y z"), (7, clean)], "doc_id long, text string")
     assert [tuple(x) for x in corpus_pipeline.near_dedup(spark, twice, "").collect()] == [(7, clean)]
+
+
+def test_mix_small_sources(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "SLOTS", 1 << 7)
+    texts = [("big", 3000)] * 10 + [("other", 4000)] * 5 + [("tiny", 7), ("tiny", 13), (None, 60), ("nothing", 0), ("z", 1), ("one", 250), ("one", 333)]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(texts)], "doc_id long, text string, source string")
+    sizes, taken = Counter(), Counter()
+    for s, n in texts:
+        sizes[s] += n
+    assert sum(sizes.values()) // source_mix.SLOTS > 3 * sizes[None]  # a block is longer than the targets of three sources
+    aim = source_mix.targets(sizes)
+    for x in source_mix.mix(docs).collect():
+        assert x["size"] == texts[x["doc_id"]][1] and x["taken"] <= 3 * x["size"]
+        taken[texts[x["doc_id"]][0]] += x["taken"]
+    assert {s: taken[s] for s in ("tiny", None, "nothing", "z", "one")} == {"tiny": 60, None: 180, "nothing": 0, "z": 3, "one": 1749}
+    assert all(abs(taken[s] - aim[s]) <= 0.05 * aim[s] for s in ("big", "other"))

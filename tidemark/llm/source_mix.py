@@ -4,7 +4,9 @@ Sources, by code point with null last, weigh 1, 2, 3, repeating, and share all w
 source's size and the excess is shared again by weight. The mix is a sequence of slots of one block of words each. Slot i
 takes the base-2 van der Corput point of i through the cumulative targets to a source; slots are ranked within their
 source, and slot k of a source takes block k of the endless repetition of its documents in hashed order, cut into blocks
-of equal length. So every stretch of the mix is near the targets, and reruns agree.
+of equal length. So every stretch of the mix is near the targets, and reruns agree. A source's last block ends at `cap`
+times its words. A source of under 1 / EVEN of the mix, for which a few slots matter, gives its target exactly: its blocks
+end there, and what its slots leave open closes the mix.
 
 No source is gathered in one task: documents are ordered within (source, hash bucket), slots are ranked within (source,
 stretch of slots), and only the sums of buckets and stretches are summed up in order.
@@ -25,6 +27,7 @@ WEIGHTS = (1, 2, 3)
 CAP = 3
 #: Words of a block: total / SLOTS, but at most BLOCK and at least 1.
 SLOTS, BLOCK = 1 << 16, 2048
+EVEN = 8
 #: Documents of a hash bucket, on average, and slots of a stretch.
 BUCKET_DOCS, STRETCH = 2000, 4096
 MAX_SOURCES = 100_000
@@ -46,12 +49,12 @@ def targets(sizes: dict[str | None, int], weights: tuple = WEIGHTS, cap: int = C
     return done
 
 
-def schedule(spark: SparkSession, plan: list[tuple[int, float, int]], block: int, total: int, cap: int = CAP) -> DataFrame:
-    """(slot, sid, rank): plan has (sid, target, size) in order. Ranks beyond `cap` times a source's words are left out."""
+def schedule(spark: SparkSession, plan: list[tuple[int, float]], block: int, total: int) -> DataFrame:
+    """(slot, sid, rank): plan has (sid, target) in order."""
     n = max(1, round(total / block)) if total else 0
     slots = spark.range(n).select(F.col("id").alias("slot"), (F.conv(F.reverse(F.lpad(F.bin("id"), 40, "0")), 2, 10).cast("double") / float(1 << 40)).alias("point"))
     ends, run = [], 0.0
-    for sid, target, _ in plan:
+    for sid, target in plan:
         run += target
         ends.append((run / max(total, 1), sid))
     cut = F.array(*[F.lit(e) for e, _ in ends]) if ends else F.array(F.lit(1.0))
@@ -60,9 +63,7 @@ def schedule(spark: SparkSession, plan: list[tuple[int, float, int]], block: int
     ids = F.array(*[F.lit(s) for _, s in ends]) if ends else F.array(F.lit(0))
     slots = slots.select("slot", F.get(ids, at).alias("sid"), F.floor(F.col("slot") / STRETCH).alias("stretch"))
     before = slots.groupBy("sid", "stretch").count().withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("sid").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = slots.join(before.select("sid", "stretch", "before"), ["sid", "stretch"]).select("slot", "sid", (F.col("before") + F.row_number().over(Window.partitionBy("sid", "stretch").orderBy("slot")) - 1).alias("rank"))
-    most = F.create_map(*[x for sid, _, size in plan for x in (F.lit(sid), F.lit(cap * size // block).cast("long"))]) if plan else F.create_map(F.lit(0), F.lit(0).cast("long"))
-    return ranked.where(F.col("rank") < most[F.col("sid")])
+    return slots.join(before.select("sid", "stretch", "before"), ["sid", "stretch"]).select("slot", "sid", (F.col("before") + F.row_number().over(Window.partitionBy("sid", "stretch").orderBy("slot")) - 1).alias("rank"))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -78,22 +79,25 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
     block = max(1, min(BLOCK, total // SLOTS))
     docs_of = {r["source"]: r["n"] for r in found}
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-8", "surrogatepass")))
-    facts = spark.createDataFrame([(i, s, sizes[s], aim[s], -(-docs_of[s] // BUCKET_DOCS)) for i, s in enumerate(order)], "sid int, source string, source_size long, target double, buckets long")
+    exact = {s: EVEN * aim[s] < total for s in order}
+    quota = {s: round(aim[s]) if exact[s] else cap * sizes[s] for s in order}
+    facts = spark.createDataFrame([(i, s, sizes[s], aim[s], -(-docs_of[s] // BUCKET_DOCS), quota[s], exact[s]) for i, s in enumerate(order)], "sid int, source string, source_size long, target double, buckets long, quota long, exact boolean")
     rows = sized.join(F.broadcast(facts), sized["source"].eqNullSafe(facts["source"])).drop(facts["source"]).withColumn("bucket", F.pmod("h", "buckets"))
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.select("sid", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(sums, ["sid", "bucket"]).select("doc_id", "size", "source_size", "target", "sid", (F.col("before") + F.coalesce(F.sum("size").over(own), F.lit(0))).alias("start"))
     placed = saved(placed.withColumn("row", F.monotonically_increasing_id()), "placed")
-    slots = schedule(spark, [(i, aim[s], sizes[s]) for i, s in enumerate(order)], block, total, cap)
-    # the repetition's block k holds the words [k * block, (k + 1) * block) of the documents in a ring of source_size words
-    ring = F.create_map(*[x for i, s in enumerate(order) for x in (F.lit(i), F.lit(sizes[s]).cast("long"))]) if order else F.create_map(F.lit(0), F.lit(0).cast("long"))
-    first = F.pmod(F.col("rank") * block, F.col("ring"))
-    length = F.least(F.lit(block), F.col("ring"))
-    pieces = slots.withColumn("ring", ring[F.col("sid")]).where("ring > 0").withColumn("first", first)
-    one = F.struct(F.col("first").alias("at"), F.least(F.col("first") + length, F.col("ring")).alias("to"))
-    two = F.struct(F.lit(0).cast("long").alias("at"), (F.col("first") + length - F.col("ring")).alias("to"))
-    pieces = pieces.select("sid", F.explode_outer(F.when(F.col("first") + length > F.col("ring"), F.array(one, two)).otherwise(F.array(one))).alias("p")).select("sid", "p.at", "p.to")
+    slots = saved(schedule(spark, [(i, aim[s]) for i, s in enumerate(order)], block, total), "slots")
+    limits = facts.where("source_size > 0").select("sid", F.col("source_size").alias("ring"), "quota", "exact")
+    # block k holds the words [k * block, (k + 1) * block) of the endless repetition, up to the quota
+    blocks = slots.join(F.broadcast(limits), "sid").select("sid", "ring", (F.col("rank") * block).alias("a"), F.least((F.col("rank") + 1) * block, "quota").alias("b"))
+    counts = slots.groupBy("sid").agg(F.count("*").alias("n"))
+    closing = limits.where("exact").join(counts, "sid", "left").select("sid", "ring", (F.coalesce("n", F.lit(0)) * block).alias("a"), F.col("quota").alias("b"))
+    # cut at the ends of the ring of source_size words
+    turns = F.explode_outer(F.sequence(F.floor(F.col("a") / F.col("ring")), F.floor((F.col("b") - 1) / F.col("ring"))))
+    pieces = blocks.union(closing).where("a < b").withColumn("turn", turns)
+    pieces = pieces.select("sid", (F.greatest("a", F.col("turn") * F.col("ring")) - F.col("turn") * F.col("ring")).alias("at"), (F.least("b", (F.col("turn") + 1) * F.col("ring")) - F.col("turn") * F.col("ring")).alias("to"))
     # documents and pieces meet in cells of one block's length
     cells = lambda a, b: F.explode_outer(F.sequence(F.floor(a / block), F.floor((b - 1) / block)))
     used = pieces.withColumn("cell", cells(F.col("at"), F.col("to"))).select("sid", "cell", F.greatest("at", F.col("cell") * block).alias("at"), F.least("to", (F.col("cell") + 1) * block).alias("to")).groupBy("sid", "cell", "at", "to").count()
