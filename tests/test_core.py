@@ -145,3 +145,13 @@ def test_entry_imports_and_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["count"] for r in spark.table("hours").collect()) == [1, 1, 2]
+
+
+def test_embedding_spectrum_reads_all_dimensions(spark, tmp_path):
+    from tidemark.plans import catalog
+
+    x = np.random.default_rng(8).normal(size=(200, 20)) * np.arange(1, 21)
+    spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalog.embedding_spectrum(spark, str(tmp_path)).toPandas()
+    want = np.linalg.eigvalsh(np.cov(x.T, bias=True))[::-1]
+    assert len(got) == 20 and any(np.allclose(np.sort(got[c].to_numpy(float))[::-1], want, rtol=1e-4) for c in got.columns if got[c].dtype == float)

@@ -629,7 +629,9 @@ def latent_classifier(spark, d):
 
 @query()
 def embedding_spectrum(spark, d):
-    df = table(spark, d, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)])
+    rows = table(spark, d, "embeddings")
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    df = rows.select(*[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)])
     c, v, _ = linalg.fit(df, df.columns)
     return linalg.spectrum(linalg.model_tables(spark, c, v)[1])
 
