@@ -4,9 +4,10 @@ Texts are lower-cased (ASCII) and cut into words; a text's set holds its distinc
 (fewer words are one shingle, no words the empty text's own). Texts of equal sets are one form. Candidates come from the
 prefix filter: of two sets at the similarity, the first m - ceil(SIMILARITY * m) + 1 shingles in any fixed order of all
 shingles have one in common, so nothing is lost. Shingles that a sample shows to be frequent come last in that order,
-which only makes keys selective. Exact similarity decides.
+which only makes keys selective. Counts of a set's shingles by PARTS ranges of the hash bound what two sets can have in
+common; pairs whose bound reaches the similarity are compared exactly.
 
-A key's forms are first compared with one of them, drawn by the key; what that links is contracted, and then every pair of
+A key's forms are first compared with one of them, the first by hash; what that links is contracted, and then every pair of
 a key that is not linked yet is compared. So a large group of near copies gives few pairs, and no pair is left out.
 """
 
@@ -24,10 +25,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import components, saved, sized_broadcast
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Documents of the sample, and the share of them that makes a shingle frequent; the order holds so many frequent ones at most.
-SAMPLE, FREQUENT, HELD = 20_000, 1 / 2000, 500_000
+#: Documents of the sample, and in how many of them a frequent shingle is; the order holds so many frequent ones at most.
+SAMPLE, FREQUENT, HELD = 10_000, 3, 500_000
 #: Keys, or forms, up to these counts are broadcast (a few longs each); more are joined by shuffle.
-BROADCAST_KEYS = 200_000
+BROADCAST_KEYS = 1_000_000
+PARTS = 128
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -57,14 +59,31 @@ def prefix(s: np.ndarray, frequent: np.ndarray, similarity: float = SIMILARITY)
     return s[:n]
 
 
+def _parts(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=PARTS), 65535).astype(np.uint16).tobytes()
+
+
+def _possible(similarity: float):
+    """Pairs (a, b, ma, mb, pa, pb) that may be at the similarity; counts of 65535 stand for more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(map(bytes, batch[c])), np.uint16).reshape(-1, PARTS) for c in ("pa", "pb"))
+            low, m = np.minimum(a, b), (batch["ma"] + batch["mb"]).to_numpy(np.float64)
+            most = low.sum(axis=1, dtype=np.int64)
+            yield batch.loc[(most >= similarity * (m - most) - 1e-9) | (low == 65535).any(axis=1), ["a", "b", "ma", "mb"]]
+
+    return run
+
+
 def _texts(batch: pd.DataFrame) -> Iterator[np.ndarray]:
     return (shingles(x if isinstance(x, str) else None) for x in batch["text"])
 
 
 def _all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for s in _texts(batch):
-            yield pd.DataFrame({"h": s.view(np.int64)})
+        if len(batch):
+            yield pd.DataFrame({"h": np.concatenate(list(_texts(batch))).view(np.int64)})
 
 
 def _prefixes(frequent: np.ndarray, similarity: float):
@@ -73,7 +92,7 @@ def _prefixes(frequent: np.ndarray, similarity: float):
             sets = list(_texts(batch))
             form = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
             first = [prefix(s, frequent, similarity).view(np.int64) for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "th": batch["th"], "form": form, "m": [len(s) for s in sets], "first": first})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "th": batch["th"], "form": form, "m": [len(s) for s in sets], "parts": [_parts(s) for s in sets], "first": first})
 
     return run
 
@@ -83,11 +102,18 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"form": batch["form"], "s": [s.view(np.int64) for s in _texts(batch)]})
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst) of the pairs (a, b, ma, mb) whose sets are at the similarity."""
-    both = pairs.join(sets.select(F.col("form").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("form").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", "ma", "mb", common.alias("c")).where(F.col("c") >= similarity * (F.col("ma") + F.col("mb") - F.col("c")) - 1e-9).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+def _similar(pairs: DataFrame, forms: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst) of the pairs of forms (a, b) at the similarity; only texts of pairs that the bound lets pass are read again."""
+    side = lambda x: forms.select(F.col("form").alias(x), F.col("m").alias("m" + x), F.col("parts").alias("p" + x))
+    some = saved(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb", "pa", "pb").mapInPandas(_possible(similarity), "a long, b long, ma int, mb int"), "possible")
+    ids = some.select(F.col("a").alias("form")).union(some.select("b")).distinct()
+    used = saved(forms.join(ids, "form", "left_semi").select("form", F.col("least.doc_id").alias("d"), F.col("least.th").alias("t")), "used")
+    used = sized_broadcast(used, BROADCAST_KEYS)
+    texts = base.join(used, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("form", "text").dropDuplicates(["form"])
+    sets = saved(texts.mapInPandas(_sets, "form long, s array<long>"), "sets")
+    both = some.join(sets.select(F.col("form").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("form").alias("b"), F.col("s").alias("sb")), "b")
+    close = both.select("a", "b", "ma", "mb", F.size(F.array_intersect("sa", "sb")).alias("c")).where(F.col("c") >= similarity * (F.col("ma") + F.col("mb") - F.col("c")) - 1e-9)
+    return saved(close.select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar")
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, sample: int = SAMPLE) -> DataFrame:
@@ -96,34 +122,28 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, sample: int = S
     base = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th"))
     n = base.count()
     some = base.where(F.pmod(F.xxhash64("th"), F.lit(max(1, n // sample))) == 0) if n > sample else base
-    least = max(3, math.ceil(min(n, sample) * FREQUENT))
-    often = some.select("text").distinct().mapInPandas(_all, "h long").groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(HELD)
+    often = some.select("text").distinct().mapInPandas(_all, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(HELD)
     frequent = np.sort(np.array([r["h"] for r in often.collect()], np.int64).view(np.uint64))
-    rows = saved(base.mapInPandas(_prefixes(frequent, similarity), "doc_id long, th long, form long, m int, first array<long>"), "prefixes")
+    rows = saved(base.mapInPandas(_prefixes(frequent, similarity), "doc_id long, th long, form long, m int, parts binary, first array<long>"), "prefixes")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    forms = saved(rows.groupBy("form").agg(F.min(rank).alias("least"), F.min("m").alias("m")), "forms")
-    # only keys of several forms matter; most shingles are in one
+    forms = saved(rows.groupBy("form").agg(F.min(rank).alias("least"), F.min("m").alias("m"), F.min("parts").alias("parts")), "forms")
+    # most shingles are in one row alone
     entries = rows.select("form", "m", F.explode_outer("first").alias("h"))
-    keys = saved(entries.groupBy("h").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo < hi").select("h"), "keys")
+    keys = saved(entries.groupBy("h").count().where(F.col("count") > 1).select("h"), "keys")
     keyed = saved(entries.join(sized_broadcast(keys, BROADCAST_KEYS), "h").distinct(), "keyed")
-    used = saved(keyed.select("form").distinct().join(forms, "form").select("form", F.col("least.doc_id").alias("d"), F.col("least.th").alias("t")), "used")
-    used = sized_broadcast(used, BROADCAST_KEYS)
-    texts = base.join(used, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("form", "text").dropDuplicates(["form"])
-    sets = saved(texts.mapInPandas(_sets, "form long, s array<long>"), "sets")
-
     close = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
-    pair = lambda x, mx, y, my: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(F.col(x) < F.col(y), F.col(mx)).otherwise(F.col(my)).alias("ma"), F.when(F.col(x) < F.col(y), F.col(my)).otherwise(F.col(mx)).alias("mb"))
-    one = keyed.groupBy("h").agg(F.min(F.struct(F.xxhash64("form", "h").alias("r"), "form", "m")).alias("p")).select("h", F.col("p.form").alias("to"), F.col("p.m").alias("mt"))
-    star = keyed.join(sized_broadcast(saved(one, "pivots"), BROADCAST_KEYS), "h").where((F.col("form") != F.col("to")) & close("m", "mt")).select(*pair("form", "m", "to", "mt")).distinct()
-    edges = saved(_similar(star, sets, similarity), "star")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    one = keyed.groupBy("h").agg(F.min(F.struct(F.xxhash64("form").alias("r"), "form", "m")).alias("p")).select("h", F.col("p.form").alias("to"), F.col("p.m").alias("mt"))
+    star = keyed.join(sized_broadcast(saved(one, "pivots"), BROADCAST_KEYS), "h").where((F.col("form") != F.col("to")) & close("m", "mt")).select(*pair("form", "to")).distinct()
+    edges = _similar(star, forms, base, similarity)
     linked = components(edges)
     placed = saved(keyed.join(linked, keyed.form == linked.node, "left").select("h", "form", "m", F.coalesce("component", "form").alias("component")), "placed")
     # in each key, all that is outside its largest component meets all of other components
     main = placed.groupBy("h", "component").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").select("h", "main")
     open_ = saved(placed.join(sized_broadcast(saved(main, "open-keys"), BROADCAST_KEYS), "h"), "open")
     left = open_.where("component <> main").select("h", F.col("form").alias("x"), F.col("m").alias("mx"), F.col("component").alias("cx"))
-    rest = left.join(open_, "h").where((F.col("cx") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("form"))) & close("mx", "m")).select(*pair("x", "mx", "form", "m")).distinct()
-    linked = components(edges.union(saved(_similar(rest, sets, similarity), "rest")))
+    rest = left.join(open_, "h").where((F.col("cx") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("form"))) & close("mx", "m")).select(*pair("x", "form")).distinct()
+    linked = components(edges.union(_similar(rest, forms, base, similarity)))
     member = saved(forms.join(linked, forms.form == linked.node, "left").select("form", "least", F.coalesce("component", "form").alias("component")), "member")
     first = member.groupBy("component").agg(F.min("least").alias("first"))
     return rows.select("doc_id", "th", "form").join(member.select("form", "component"), "form").join(first, "component").select("doc_id", "th", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"))
