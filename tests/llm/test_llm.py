@@ -204,3 +204,17 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(i, 1, 0) for i in range(24)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, " ".join(f"b{k}" for k in range(30)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == list(range(12))
+
+
+def test_warc_members_of_several_records():
+    noise = np.random.default_rng(2).integers(32, 126, (9, 3000), dtype=np.uint8)
+    plain = [warc_archive.record_bytes(str(i), "u", noise[i].tobytes() + b" inside") for i in range(9)]
+    ids = lambda data: [g[3]["warc-record-id"] for g in warc_archive.salvage(data) if g[3]]
+    want = lambda *n: [f"<urn:page:{i}>" for i in n]
+    bad = plain[:4] + [plain[4].replace(b" inside", b"outside")] + plain[5:]
+    whole = warc_archive.member(b"".join(bad))
+    assert ids(whole) == want(0, 1, 2, 3, 5, 6, 7, 8)
+    at = len(b"".join(plain[:4]))
+    assert [g[2] for g in warc_archive.salvage(whole) if g[2]] == [f"block digest differs (plain bytes {at} to {at + len(plain[4])})"]
+    good = warc_archive.member(b"".join(plain))
+    assert ids(good) == want(*range(9)) and ids(good[: len(good) * 3 // 5] + warc_archive.member(plain[8])) == want(0, 1, 2, 3, 4, 8)

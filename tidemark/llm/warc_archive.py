@@ -6,7 +6,8 @@ file into place, so a task that runs again replaces its own files.
 
 Reading: a member or record that fails a check (gzip CRC, version line, length, closing blank lines, block digest) is
 given up; the reader searches for the next gzip magic or WARC version line that starts a valid record, goes on there, and
-reports the bytes between as a quarantined gap. Nothing is read twice and no valid record after a gap is lost.
+reports the bytes between as a quarantined gap. Within a member's plain bytes it does the same. Of a member that breaks off
+or fails its CRC, records before the last one begun are kept. No valid record after a gap is lost.
 
 Nulls: a null payload is empty; a null url is empty; a row with null id is always a response. Rows repeated with id and
 payload are all responses if theirs is the largest id. Other columns are ignored; an empty table writes no archive.
@@ -92,35 +93,67 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     return head, block, end + 8 + size
 
 
-def _member_at(data: bytes, at: int) -> tuple[bytes, int]:
-    z = zlib.decompressobj(31)
-    try:
-        out = z.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise ValueError(f"gzip: {str(e)[:60]}") from None
-    if not z.eof:
-        raise ValueError("gzip member is cut short")
-    return out, len(data) - len(z.unused_data)
+def _member_at(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """Plain bytes and end of the gzip member; with an error, what came out before it."""
+    z, out, view, step = zlib.decompressobj(31), [], memoryview(data), 1 << 16
+    while not z.eof and at < len(data):
+        before = z.copy()
+        try:
+            out.append(z.decompress(view[at : at + step]))
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(out), at, f"gzip: {str(e)[:60]}"
+            z, step = before, 1  # the error is within these bytes: take what comes before it
+            continue
+        at = min(at + step, len(data)) - len(z.unused_data)
+    return b"".join(out), at, None if z.eof else "gzip member is cut short"
+
+
+def _inside(plain: bytes) -> list[tuple[str | None, dict | None, bytes | None]]:
+    """Records of a member's plain bytes, and its gaps as reasons with their offsets."""
+    out, p, gap, reason = [], 0, None, ""
+    while p < len(plain):
+        try:
+            head, block, end = parse_record(plain, p)
+        except ValueError as e:
+            if gap is None:
+                gap, reason = p, str(e)
+            p = plain.find(VERSION, p + 1)
+            p = len(plain) if p < 0 else p
+            continue
+        if gap is not None:
+            out.append((f"{reason} (plain bytes {gap} to {p})", None, None))
+            gap = None
+        out.append((None, head, block))
+        p = end
+    if gap is not None:
+        out.append((f"{reason} (plain bytes {gap} to {len(plain)})", None, None))
+    return out
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict | None, bytes | None]]:
-    """(start, stop, reason, headers, block) of every record; of a gap (reason is set), headers and block are None."""
+    """(start, stop, reason, headers, block) of every record; of a gap (reason is set), headers and block are None. A gap
+    within a member has the member's start and stop. Of a damaged member, records before the damage come first, then its gap."""
 
-    def read(at: int) -> tuple[list[tuple[dict, bytes]], int]:
+    def read(at: int) -> tuple[list[tuple[str | None, dict | None, bytes | None]], int, str | None]:
         if data[at : at + 3] != MAGIC:
             head, block, end = parse_record(data, at)
-            return [(head, block)], end
-        plain, end = _member_at(data, at)
-        got, p = [], 0
-        while p < len(plain):
-            head, block, p = parse_record(plain, p)
-            got.append((head, block))
-        return got, end
+            return [(None, head, block)], end, None
+        plain, end, error = _member_at(data, at)
+        if error:  # the last record begun is the one that the damage touches: it is given up
+            return [x for x in _inside(plain[: max(0, plain.rfind(VERSION))]) if x[1] is not None], end, error
+        got = _inside(plain)
+        if got and all(x[1] is None for x in got):
+            raise ValueError(got[0][0])
+        return got, end, None
 
     at, gap, reason, size = 0, None, "", len(data)
     while at < size:
         try:
-            got, end = read(at)
+            got, end, error = read(at)
+            if error:
+                yield from ((at, end, *x) for x in got)
+                raise ValueError(error)
         except ValueError as e:
             if gap is None:
                 gap, reason = at, str(e)
@@ -130,8 +163,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict | None, by
         if gap is not None:
             yield gap, at, reason, None, None
             gap = None
-        for head, block in got:
-            yield at, end, None, head, block
+        yield from ((at, end, *x) for x in got)
         at = end
     if gap is not None:
         yield gap, size, reason, None, None
