@@ -218,3 +218,10 @@ def test_warc_members_of_several_records():
     assert [g[2] for g in warc_archive.salvage(whole) if g[2]] == [f"block digest differs (plain bytes {at} to {at + len(plain[4])})"]
     good = warc_archive.member(b"".join(plain))
     assert ids(good) == want(*range(9)) and ids(good[: len(good) * 3 // 5] + warc_archive.member(plain[8])) == want(0, 1, 2, 3, 4, 8)
+
+
+def test_url_targets_outside_the_pages(spark):
+    tag = lambda u: f"<link rel='canonical' href='{u}'>"
+    rows = [(1, "http://free.net/a", tag("http://x.com/de/9")), (2, "http://m.com/q/a?x=1", tag("/de/1")), (3, "http://n.com/q/r/a", tag("../../de/./1#t")), (4, "https://o.net/", "<meta http-equiv=refresh content='0; url=//p.com/de/3'>"), (5, "http://r.net/", tag("mailto:a@x.com")), (6, "http://s.com", tag("de/2")), (7, "nothing", tag("/de/1")), (8, "http://t.com/q/", tag("?y=2")), (9, "http://www.free.net/a/", None)]
+    got = {r["page_id"]: r["verdict"] for r in url_redirects.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "block", 7: "allow", 8: "allow", 9: "block"}

@@ -5,8 +5,10 @@ or name one another as canonical are aliases: connected components over these li
 fits keeps that rule's verdict. Any other page follows its aliases: an explicit allow among them takes precedence over an
 explicit block; without either it is allowed.
 
-Links come from a table of redirects, if given, from canonical links and meta refreshes in the html, and from the
-canonical form that a URL implies: no scheme, `www.` or `m.`, fragment, tracking parameter, `.html` or closing slash.
+Targets of links are judged by the rules as pages are.
+
+Links come from a table of redirects, if given, from canonical links and meta refreshes in the html (relative to the
+page's url), and from the canonical form that a URL implies: no scheme, `www.` or `m.`, fragment, tracking parameter, `.html` or closing slash.
 
 Nulls: a null url, or one without `://`, has empty host and path, no rule and no aliases, and is allowed; a null page_id
 is kept. Repeated rows stay; other columns are ignored; an empty table gives an empty result.
@@ -49,11 +51,30 @@ def canonical(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
 
 
-def html_links(html: Column) -> Column:
-    """URLs that a page names as its canonical address or refreshes to."""
+def resolved(link: Column, base: Column) -> Column:
+    """The URL that a link in the page at `base` names; null for other schemes, and for relative links without a base."""
+    origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.regexp_extract(F.when(path_of(base) == "", F.lit("/")).otherwise(path_of(base)), r"(?s)^(.*/)", 1)
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    way, tail = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    full = F.regexp_replace(F.when(way.startswith("/"), way).otherwise(F.concat(folder, way)), r"^/", "")
+    closed = F.regexp_replace(full, r"(^|/)(\.\.?)$", "$1$2/")
+    path = F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(closed, "/"), F.array().cast("array<string>"), step), "/"))
+    scheme = F.coalesce(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), F.lit(""))
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.startswith("//"), F.concat(F.when(scheme == "", F.lit("http:")).otherwise(scheme), link))
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (host_of(base) == ""), F.lit(None).cast("string"))
+        .when(way == "", F.concat(origin, path_of(base), tail))
+        .otherwise(F.concat(origin, path, tail))
+    )
+
+
+def html_links(html: Column, base: Column) -> Column:
+    """URLs that the page at `base` names as its canonical address or refreshes to."""
     tag = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
     link = lambda x: F.when(x.rlike(r"(?i)rel\s*=\s*[\"']?canonical\b"), F.regexp_extract(x, r"(?i)href\s*=\s*[\"']?([^\"'\s>]+)", 1)).otherwise(F.when(x.rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh"), F.regexp_extract(x, r"(?i)url\s*=\s*[\"']?([^\"'\s>]+)", 1)))
-    return F.filter(F.transform(tag, link), lambda x: x.contains("://"))
+    return F.filter(F.transform(F.filter(F.transform(tag, link), lambda x: x != ""), lambda x: resolved(x, base)), lambda x: x.isNotNull())
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -64,9 +85,9 @@ def judge(pages: DataFrame, rules: tuple = RULES, redirects: DataFrame | None =
     are spread over nodes by page_id, so that many of them make no hot key; they take nothing from there.
     """
     rows = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("own", rule_of(F.col("host"), F.col("path"), rules)).withColumn("form", canonical(F.col("url")))
-    thin = rows.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.col("own.verdict").alias("own"), F.when(F.col("form").isNull(), F.xxhash64("page_id", F.lit("alone"))).otherwise(F.xxhash64("form")).alias("node"), F.col("form").isNull().alias("alone"), F.transform(html_links(F.col("html")), lambda u: F.xxhash64(canonical(u))).alias("to"))
+    thin = rows.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.col("own.verdict").alias("own"), F.when(F.col("form").isNull(), F.xxhash64("page_id", F.lit("alone"))).otherwise(F.xxhash64("form")).alias("node"), F.col("form").isNull().alias("alone"), F.filter(F.transform(html_links(F.col("html"), F.col("url")), lambda u: F.struct(F.when(canonical(u).isNotNull(), F.xxhash64(canonical(u))).alias("node"), rule_of(host_of(u), path_of(u), rules)["verdict"].alias("own"))), lambda t: t["node"].isNotNull()).alias("to"))
     thin = saved(thin, "urls")
-    edges = thin.where("not alone and size(to) > 0").select(F.col("node").alias("src"), F.explode_outer("to").alias("dst"))
+    edges = thin.where("not alone and size(to) > 0").select(F.col("node").alias("src"), F.explode_outer("to.node").alias("dst"))
     if redirects is not None:
         edges = edges.union(redirects.where(canonical(F.col("src")).isNotNull() & canonical(F.col("dst")).isNotNull()).select(F.xxhash64(canonical(F.col("src"))).alias("src"), F.xxhash64(canonical(F.col("dst"))).alias("dst")))
         moved = redirects.select(F.explode(F.array("src", "dst")).alias("u")).where(canonical(F.col("u")).isNotNull())
@@ -75,6 +96,8 @@ def judge(pages: DataFrame, rules: tuple = RULES, redirects: DataFrame | None =
         ruled = None
     linked = components(edges)
     said = thin.where("not alone and own is not null").select("node", "own").distinct()
+    named = thin.where("not alone and size(to) > 0").select(F.explode_outer("to").alias("t")).select("t.node", "t.own")
+    said = said.union(named.where("own is not null")).distinct()
     said = said if ruled is None else said.union(ruled.where("own is not null")).distinct()
     of = lambda df: df.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     by = of(said).groupBy("component").agg(F.min("own").alias("alias"))  # 'allow' < 'block'
