@@ -155,3 +155,18 @@ def test_embedding_spectrum_reads_all_dimensions(spark, tmp_path):
     got = catalog.embedding_spectrum(spark, str(tmp_path)).toPandas()
     want = np.linalg.eigvalsh(np.cov(x.T, bias=True))[::-1]
     assert len(got) == 20 and any(np.allclose(np.sort(got[c].to_numpy(float))[::-1], want, rtol=1e-4) for c in got.columns if got[c].dtype == float)
+
+
+def test_classifiers_see_all_rows(spark, tmp_path, monkeypatch):
+    from tidemark.plans import catalog
+
+    when = F.timestamp_seconds(F.col("id") * 3600)
+    spark.range(6000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("event_type"), (F.col("id") % 97).cast("double").alias("value"), when.alias("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    rows = catalog._labelled(spark, str(tmp_path))
+    assert rows.count() == 6000 and rows.where("part = 'test'").count() > 1100
+    asked = {}
+    monkeypatch.setattr(classify, "sweep", lambda train, test, names, grid=classify.SWEEP, trees=10: asked.update(grid=grid, trees=trees) or [(1, 0.1, 1.0, 1.0)])
+    monkeypatch.setattr(classify, "bagged", lambda train, test, names, key, replicates=30, trees=10, depth=4: asked.update(replicates=replicates) or test.withColumn("p", F.lit(0.7)).withColumn("prediction", F.lit(1.0)))
+    catalog.gbt_sweep(spark, str(tmp_path))
+    catalog.bagged_confidence(spark, str(tmp_path))
+    assert asked == {"grid": classify.SWEEP, "trees": 10, "replicates": 30}

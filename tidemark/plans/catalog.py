@@ -475,20 +475,20 @@ def bootstrap_exact_draws(spark, d):
 
 @query()
 def bootstrap_pca_stability(spark, d):
-    report, _ = resample.pca_stability(wide.wide(trips(spark, d), G2).withColumn("key", F.concat_ws("|", *G2)), HOURS, "key", 20)
+    report, _ = resample.pca_stability(wide.wide(trips(spark, d), G2).withColumn("key", F.concat_ws("|", *G2)), HOURS, "key", 100)
     return spark.createDataFrame(report)
 
 
 @query()
 def bootstrap_bands(spark, d):
-    _, comps = resample.pca_stability(wide.wide(trips(spark, d), G2).withColumn("key", F.concat_ws("|", *G2)), HOURS, "key", 20)
+    _, comps = resample.pca_stability(wide.wide(trips(spark, d), G2).withColumn("key", F.concat_ws("|", *G2)), HOURS, "key", 100)
     long = spark.createDataFrame([(b, k + 1, h, float(c[h, k])) for b, c in enumerate(comps) for k in range(c.shape[1]) for h in range(24)], "b int, pc int, hour int, loading double")
     return long.groupBy("pc", "hour").agg(F.percentile("loading", 0.025).alias("lo"), F.percentile("loading", 0.5).alias("mid"), F.percentile("loading", 0.975).alias("hi"))
 
 
 @query()
 def stability_interpretation(spark, d):
-    report, _ = resample.pca_stability(wide.wide(trips(spark, d), G2).withColumn("key", F.concat_ws("|", *G2)), HOURS, "key", 20)
+    report, _ = resample.pca_stability(wide.wide(trips(spark, d), G2).withColumn("key", F.concat_ws("|", *G2)), HOURS, "key", 100)
     return spark.createDataFrame(sorted(resample.interpretation(report).items()), "metric string, rating string")
 
 
@@ -528,7 +528,7 @@ def gam_partial_dependence(spark, d):
 
 @query()
 def gam_bootstrap_ci(spark, d):
-    return spark.createDataFrame(additive.bootstrap_bands(_clean(spark, d).where("part = 'train'"), TERMS, "l_extendedprice", "id", 5))
+    return spark.createDataFrame(additive.bootstrap_bands(_clean(spark, d).where("part = 'train'"), TERMS, "l_extendedprice", "id", 50))
 
 
 @query()
@@ -584,7 +584,7 @@ def confidence_stats(spark, d):
 def _labelled(spark, d):
     kinds = [r[0] for r in table(spark, d, "events").select("event_type").distinct().orderBy("event_type").limit(2).collect()]
     rows = table(spark, d, "events").where(F.col("event_type").isin(kinds)).select("event_id", (F.col("event_type") == kinds[-1]).cast("double").alias("label"), "value", *[c.alias(n) for n, c in features.calendar("ts").items()])
-    return features.stratified_split(features.cap_per_class(rows, "event_id", "label", 2000), "event_id", "label")
+    return features.stratified_split(rows, "event_id", "label")
 
 
 TRIP_FEATURES = ["value", "hour", "weekday", "is_weekend"]
@@ -599,7 +599,7 @@ def gbt_report(spark, d):
 @query()
 def gbt_sweep(spark, d):
     rows = _labelled(spark, d).cache()
-    return spark.createDataFrame(classify.sweep(rows.where("part = 'train'"), rows.where("part = 'test'"), TRIP_FEATURES, ((2, 0.05), (3, 0.10)), 2), "depth int, rate double, accuracy double, f1 double")
+    return spark.createDataFrame(classify.sweep(rows.where("part = 'train'"), rows.where("part = 'test'"), TRIP_FEATURES), "depth int, rate double, accuracy double, f1 double")
 
 
 @query()
@@ -611,7 +611,7 @@ def gbt_importance(spark, d):
 @query()
 def bagged_confidence(spark, d):
     rows = _labelled(spark, d).cache()
-    return classify.confidence_stats(classify.bagged(rows.where("part = 'train'"), rows.where("part = 'test'"), TRIP_FEATURES, "event_id", 2, 2, 3))
+    return classify.confidence_stats(classify.bagged(rows.where("part = 'train'"), rows.where("part = 'test'"), TRIP_FEATURES, "event_id"))
 
 
 @query()
