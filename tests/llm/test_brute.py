@@ -141,50 +141,47 @@ def test_mix_schedule(spark, monkeypatch):
 
 def test_suffix_tree_scores(spark):
     r = random.Random(8)
-    share, end = 1 / 60, b" "
-    stem = lambda: r.choice(["al", "be", "ga", "de"]) + r.choice(["x", "ion", "ed"])
-    texts = [" ".join(x for _ in range(r.randrange(0, 40)) for x in (["the", stem()] if r.random() < 0.5 else [f"odd{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}"] if r.random() < 0.1 else [f"rare{r.randrange(400)}{r.choice(['ly', 'ed'])}", "and"])) for _ in range(150)]
-    rows = {i: [*t.encode().split(), end] for i, t in enumerate(texts)}
+    phrases = [["the", "old", "man", "and", "the", "sea"], ["a", "b", "a", "c"], ["the", "old", "sea", "a"], ["x", "y", "z", "x", "y", "w"], ["p", "q", "q", "q", "r"], ["t", "q", "q", "q", "u"]]
+    texts = [" ".join(x for _ in range(r.randrange(0, 12)) for x in (r.choice(phrases) if r.random() < 0.8 else [f"odd{r.randrange(300)}"])) for _ in range(200)]
+    least, depth, mu, end = 4, 4, 2.0, " "
+    rows = {i: [*t.split(), end] for i, t in enumerate(texts)}
     train = [w for i, w in rows.items() if zlib.crc32(str(i).encode()) % 7 != 2]
     count = Counter(x for w in train for x in w)
-    least = share * sum(count.values())
-    tail = lambda w: b"" if w == end else w[-2:]
-    rare, kinds = Counter(), Counter()
-    for w, c in count.items():
-        rare[tail(w)] += c if c < least else 0
-    symbol = lambda w: w if count[w] >= least else (tail(w), 0) if rare[tail(w)] >= least else 0
-    mass = Counter()
-    for w, c in count.items():
-        mass[symbol(w)] += c
-        kinds[symbol(w)] += 1
-    alphabet = {*(symbol(w) for w in count), 0}
-    root = {s: (mass[s] + 0.5) / (sum(mass.values()) + 0.5 * len(alphabet)) for s in alphabet}
-    ones, twos = {}, {}
+    n = sum(count.values())
+    root = lambda x: (count[x] + 1) / (n + len(count) + 1)
+    follow = {}
     for w in train:
-        s = [symbol(end), symbol(end), *map(symbol, w)]
-        for a, b, c in zip(s, s[1:], s[2:], strict=False):
-            ones.setdefault(b, Counter())[c] += 1
-            twos.setdefault((a, b), Counter())[c] += 1
-
-    def diverges(c, base):
-        n, kl, df = c.total(), sum(x * math.log(x / c.total() / base[s]) for s, x in c.items()), max(len(c) - 1, 1)
-        return 2 * kl > df + 4 * math.sqrt(2 * df) and kl > 0.01 * n
-
-    blend = lambda c, base: {s: (c[s] + 50 * base[s]) / (c.total() + 50) for s in alphabet}
-    p1 = {b: blend(c, root) for b, c in ones.items() if c.total() >= least and diverges(c, root)}
-    p2 = {ab: blend(c, p1.get(ab[1], root)) for ab, c in twos.items() if ones[ab[0]][ab[1]] >= least and diverges(c, p1.get(ab[1], root))}
+        s = [end, *w]
+        for i in range(1, len(s)):
+            for k in range(1, min(depth, i) + 1):
+                follow.setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
+    kept = {}
+
+    def prob(context, x):
+        while context and context not in kept:
+            context = context[1:]
+        if not context:
+            return root(x)
+        c = kept[context]
+        return (c[x] + mu * len(c) * prob(context[1:], x)) / (c.total() + mu * len(c))
+
+    for k in range(1, depth + 1):
+        for context, c in [(a, b) for a, b in follow.items() if len(a) == k and b.total() >= least]:
+            gain, df = sum(v * math.log(v / c.total() / prob(context[1:], x)) for x, v in c.items()), max(len(c) - 1, 1)
+            if 2 * gain > df + 4 * math.sqrt(2 * df) and gain > 0.01 * c.total():
+                kept[context] = c
+    assert {len(c) for c in kept} == {1, 2, 3, 4} and any(len(a) == 2 and a not in kept and b.total() >= least for a, b in follow.items())
 
     def plain(w):
-        s, out = [symbol(end), symbol(end), *map(symbol, w)], 0.0
-        for i, x in enumerate(w):
-            out += math.log10(p2.get((s[i], s[i + 1]), p1.get(s[i + 1], root))[s[i + 2]])
-            out += 0.0 if count[x] >= least else math.log10((count[x] + 1) / (mass[s[i + 2]] + kinds[s[i + 2]] + 1))
-        return out
+        s = [end, *w]
+        return sum(math.log10(prob(tuple(s[max(0, i - depth) : i]), s[i])) for i in range(1, len(s)))
 
-    assert p1 and p2 and len(p2) < len(twos) and 0 in {symbol(w) for w in count}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    for x in suffix_tree_lm.score(docs, share).collect():
-        assert x["score"] == pytest.approx(plain(rows[x["doc_id"]])), x["doc_id"]
+    for size in (1 << 20, 40):
+        got = suffix_tree_lm.score(docs, least=least, depth=depth, mu=mu, chunk=size).collect()
+        assert len(got) == len(rows)
+        for x in got:
+            assert x["score"] == pytest.approx(plain(rows[x["doc_id"]]), rel=1e-4), x["doc_id"]
 
 
 def test_pipeline_without_rows(spark, tmp_path):

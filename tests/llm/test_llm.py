@@ -131,7 +131,7 @@ def test_urls(spark):
 
 
 def test_suffix_tree(spark, docs, empty):
-    got = suffix_tree_lm.score(docs, share=1 / 50).collect()
+    got = suffix_tree_lm.score(docs, least=2).collect()
     count, n = Counter(), 0
     tokens = lambda t: (t or "").encode().translate(suffix_tree_lm.LOWER).split() + [b" "]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -144,6 +144,8 @@ def test_suffix_tree(spark, docs, empty):
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], round(r["base_score"], 5)) for r in got) == want
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in got) and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
     assert suffix_tree_lm.score(empty).count() == 0
+    big = spark.createDataFrame([((1 << 60) + 1, "a b"), (None, "a"), (3, None)], "doc_id long, text string").coalesce(1)
+    assert sorted(str(x["doc_id"]) for x in suffix_tree_lm.score(big).collect()) == sorted(map(str, ((1 << 60) + 1, None, 3)))
 
 
 def test_secrets(spark, empty):

@@ -17,22 +17,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and all runs in one
+    process (tests), one of our own; on a cluster without the setting, an error."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it again."""
+def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Like saved, with the folder, for `forget`."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write df as Parquet into the shared folder and read it again."""
+    return saved_at(df, name)[0]
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of saved tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def words(text: Column) -> Column:
@@ -50,23 +73,26 @@ def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (src, dst), as (node, component): the least node of each.
 
-    Alternating large and small stars (Kiveris et al., 2014). Each round is a few aggregations and joins on nodes, its
-    result is written to the shared folder. Nulls and loops are left out; an empty edge list gives an empty result.
+    Alternating large and small stars (Kiveris et al., 2014), until nothing changes: a number of rounds that grows with
+    the logarithm of the nodes, squared at most. Each round is a few aggregations and joins on nodes, and its result is
+    written to the shared folder in place of the one before. Nulls and loops are left out; an empty edge list gives an
+    empty result.
     """
+    spark = edges.sparkSession
     e = edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    e, before = saved(e, "edges"), None
-    for _ in range(rounds):
+    (e, path), before = saved_at(e, "edges"), None
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v").distinct()
-        e = saved(small, "edges")
+        old, (e, path) = path, saved_at(small, "edges")
+        forget(spark, old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").union(e.select("v", "v").distinct())
         before = now
-    raise RuntimeError("components did not settle")

@@ -1,20 +1,22 @@
-"""Operator 5: language-model scoring by a probabilistic suffix tree.
-
-Tokens are words and one end a text. The tree's alphabet: every token that makes up SHARE of the training tokens or more
-is a symbol; rarer ones fall into classes by their last two bytes, and classes under SHARE into one. So there are at most
-1 / SHARE + 2 symbols at any corpus size, and within a class the exact smoothed unigram of the whole vocabulary decides.
-Contexts of one and of two symbols that make up SHARE or more are candidates (the tree's least probability); a
-candidate is kept if a G-test says that what follows it diverges from what follows its longest kept suffix. Distributions
-are smoothed towards that suffix's (MU pseudo-counts). A token is scored in the longest kept suffix of what precedes it;
-texts begin after an end.
-
-Plan: documents become chunks of at most CHUNK tokens that hold their vocabulary (hashes) and token codes, compressed;
-later passes read these, not the texts. Vocabularies are cut by hash into buckets, each counted in one task, and each
-bucket's counts return to the chunks. The hottest word is one entry a chunk. What is broadcast is bounded by SHARE.
+"""Operator 5: language-model scoring by a probabilistic suffix tree over words.
+
+Tokens are words and one end a text; a text begins after an end. The tree's contexts are the sequences of up to DEPTH
+tokens that training texts hold LEAST times or more: a number of occurrences, not a share, so that the tree grows with the
+corpus. A context is retained if a G-test says that what follows it diverges from what its longest retained suffix says.
+Next-token distributions cover the whole vocabulary: the root is the unigram smoothed by one, and a retained context has
+(count + MU * kinds * probability in its longest retained suffix) / (occurrences + MU * kinds), where kinds is the number of
+different tokens that follow it. A token is scored in the longest retained suffix of what precedes it in its text.
+
+Plan: documents become chunks of at most CHUNK tokens. For each depth, a chunk sends every different (context, next token)
+that it holds once, with its training count, to the bucket of the context, where the counts meet and contexts are tested;
+what a chunk asked about goes back to it in the same order. Sequences whose count is under LEAST end there, so later depths
+move less. Contexts that make up HOT of all tokens (at most 1 / HOT of them) are dealt out over all buckets by the next
+token, and only their sums meet. Buckets hold about ENTRIES entries at any corpus size. No table of the model is collected
+or broadcast, but for the hot contexts' sums. Of next tokens, 48 bits of the hash tell them apart within a context.
 
 Nulls: a null text is the end alone; a null doc_id counts as '' in the split and trains. Repeated rows train and are
-returned as often as they occur. Other columns are ignored; an empty table gives an empty result, and with no training
-rows N and V are 0.
+returned as often as they occur. Very long texts are chunks of their own. Other columns are ignored; an empty table gives
+an empty result, and with no training rows N and V are 0 and every score is that of the root. Nothing depends on ties.
 """
 
 from __future__ import annotations
@@ -24,298 +26,332 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved, table
+from tidemark.llm.common import forget, saved_at, table
 
-SHARE, CHUNK, MU = 1 / 1000, 1 << 20, 50.0
-#: G-test: a context is kept if G exceeds its degrees of freedom by so many standard deviations, and its divergence (nats) is at least LEAST.
-SIGMAS, LEAST = 4.0, 0.01
+LEAST, DEPTH, MU, CHUNK = 100, 4, 2.0, 1 << 21
+#: G-test: a context is retained if G exceeds its degrees of freedom by so many standard deviations, and its divergence (nats) is at least GAIN.
+SIGMAS, GAIN = 4.0, 0.01
+ENTRIES, HOT = 1 << 21, 1 / 256
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 END = xxhash.xxh64_intdigest(b"\x20end", 0)  # a blank is in no word
-END_TAIL = 0
-CHUNKS = "chunk long, n_train long, docs binary, vocab binary, tail binary, count binary, codes binary"
+CHUNKS = "chunk long, n_train long, entries long, docs binary, hash binary, count binary, codes binary"
+DOC = np.dtype([("doc_id", np.int64), ("null", np.int8), ("held", np.int8), ("n", np.int64), ("known", np.int64), ("base", np.float64), ("score", np.float64)])
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
+    return zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), kind)
 
 
-DOC = np.dtype([("doc_id", np.int64), ("null", np.int8), ("held", np.int8), ("n", np.int64)])
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+# --- chunks and their vocabularies ----------------------------------------------------------------------------------
 
 
-def _chunk(key: int, docs: list, codes: list[np.ndarray], ids: dict[bytes, int]) -> tuple:
+def _chunk(key: int, docs: list, codes: list[np.ndarray], ids: dict[bytes, int]) -> dict:
     """Codes are ranks by frequency within the chunk, so that they compress well. The end has an entry of its own."""
-    n = len(ids) + 1
-    info = np.array(docs, DOC)
-    flat = np.concatenate(codes)
-    train = np.repeat(info["held"] == 0, info["n"])
+    n, flat = len(ids) + 1, np.concatenate(codes)
+    info = np.zeros(len(docs), DOC)
+    info["doc_id"], info["null"], info["held"], info["n"] = zip(*docs, strict=True)
     order = np.argsort(-np.bincount(flat, minlength=n), kind="stable")
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
     flat = rank[flat]
-    names = list(ids)
-    vocab = np.array([END, *[xxhash.xxh64_intdigest(w, 0) for w in names]], np.uint64)[order]
-    tail = np.array([END_TAIL, *[int.from_bytes(w[-2:], "big") for w in names]], np.uint16)[order]
-    count = np.bincount(flat[train], minlength=n)
-    return key, int(train.sum()), _pack(info), _pack(vocab), _pack(tail), _pack(count.astype(np.int64)), _pack(flat.astype(np.uint32))
-
-
-def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    part, k = TaskContext.get().partitionId(), 0
-    docs, codes, ids, size = [], [], {}, 0
-
-    def out() -> pd.DataFrame:
-        nonlocal k, docs, codes, ids, size
-        row = _chunk(part << 32 | k, docs, codes, ids)
-        k, docs, codes, ids, size = k + 1, [], [], {}, 0
-        return pd.DataFrame([row], columns=[x.split()[0] for x in CHUNKS.split(", ")])
-
-    for batch in batches:
-        for doc, text, held in zip(batch["doc_id"], batch["text"], batch["held"], strict=True):
-            found = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if isinstance(text, str) else []
-            if size and size + len(found) >= CHUNK:
-                yield out()
-            new = ids.setdefault
-            c = np.fromiter((new(w, len(ids) + 1) for w in found), np.int64, len(found))
-            codes.append(np.append(c, 0))
-            null = bool(pd.isna(doc))
-            docs.append((0 if null else int(doc), null, bool(held), len(found) + 1))
-            size += len(found) + 1
-    if docs:
-        yield out()
-
-
-def encode(docs: DataFrame, held: Column | None = None) -> DataFrame:
+    h = np.array([END, *[xxhash.xxh64_intdigest(w, 0) for w in ids]], np.uint64)[order]
+    train = np.repeat(info["held"] == 0, info["n"])
+    return {"chunk": key, "n_train": int(train.sum()), "entries": n, "docs": _pack(info), "hash": h.tobytes(), "count": _pack(np.bincount(flat[train], minlength=n)), "codes": _pack(flat.astype(np.uint32))}
+
+
+def _encode(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k = TaskContext.get().partitionId(), 0
+        docs, codes, ids, held_tokens = [], [], {}, 0
+        kinds = pa.schema([(x, pa.binary() if x in ("docs", "hash", "count", "codes") else pa.int64()) for x in _names(CHUNKS)])
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([_chunk(part << 32 | k, docs, codes, ids)], kinds)
+
+        for batch in batches:
+            for doc, text, held in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "held")), strict=True):
+                found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+                if docs and held_tokens + len(found) >= size:
+                    yield out()
+                    k, docs, codes, ids, held_tokens = k + 1, [], [], {}, 0
+                new = ids.setdefault
+                codes.append(np.append(np.fromiter((new(w, len(ids) + 1) for w in found), np.int64, len(found)), 0))
+                docs.append((doc or 0, doc is None, held, len(found) + 1))
+                held_tokens += len(found) + 1
+        if docs:
+            yield out()
+
+    return run
+
+
+def encode(docs: DataFrame, held: Column | None = None, size: int = CHUNK) -> DataFrame:
     """Chunks of docs (doc_id, text); held: what is not trained on."""
     text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     held = F.crc32(text_id) % 7 == 2 if held is None else held
-    return docs.select(F.col("doc_id").cast("long"), "text", held.alias("held")).mapInPandas(_encode, CHUNKS)
+    return docs.select(F.col("doc_id").cast("long"), "text", held.alias("held")).mapInArrow(_encode(size), CHUNKS)
+
+
+def _where(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) % buckets
+
 
+def _cuts(where: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(where, kind="stable")
+    return order, np.searchsorted(where[order], np.arange(buckets + 1))
 
-VOCAB = np.dtype([("h", np.uint64), ("n", np.int64), ("t", np.uint16)])
 
+VOCAB = "bucket int, chunk long, hash binary, n binary"
 
-def _deal(buckets: int):
-    """Each chunk's vocabulary, cut by the top bits of the hash: (bucket, chunk, entries in the chunk's order)."""
+
+def _deal_words(buckets: int):
+    """Each chunk's vocabulary, cut by hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for chunk, v, c, t in zip(batch["chunk"], batch["vocab"], batch["count"], batch["tail"], strict=True):
-                rows = np.empty(len(h := _unpack(v, np.uint64)), VOCAB)
-                rows["h"], rows["n"], rows["t"] = h, _unpack(c, np.int64), _unpack(t, np.uint16)
-                where = (h >> np.uint64(40)).astype(np.int64) % buckets
-                order = np.argsort(where, kind="stable")
-                ends = np.searchsorted(where[order], np.arange(buckets + 1))
-                out = [(b, int(chunk), zlib.compress(rows[order[ends[b] : ends[b + 1]]].tobytes(), 1)) for b in range(buckets) if ends[b + 1] > ends[b]]
-                yield pd.DataFrame(out, columns=["bucket", "chunk", "entries"])
+            for chunk, own, count in zip(batch["chunk"], batch["hash"], batch["count"], strict=True):
+                h, n = np.frombuffer(own, np.uint64), _unpack(count, np.int64)
+                order, ends = _cuts(_where(h, buckets), buckets)
+                cut = [(b, order[ends[b] : ends[b + 1]]) for b in range(buckets) if ends[b + 1] > ends[b]]
+                yield pd.DataFrame([(b, int(chunk), h[i].tobytes(), _pack(n[i])) for b, i in cut], columns=_names(VOCAB))
 
     return run
 
 
-BACK = "kind string, chunk long, bucket int, a long, b long, c long, counts binary"
+BACK = "kind string, chunk long, bucket int, a long, b double, c long, counts binary, kept binary"
 
 
-def _count(least: float):
-    """One bucket: totals of each word; its counts go back to the chunks, in their order; frequent words and sums of rare tails go on."""
+def _count_words(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One bucket: the total of each word, back to the chunks in their order; how many words are known."""
+    own = [np.frombuffer(x, np.uint64) for x in pdf["hash"]]
+    h, inverse = np.unique(np.concatenate(own), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate([_unpack(x, np.int64) for x in pdf["n"]]), len(h)).astype(np.int64)
+    back, bucket, at, out = total[inverse], int(pdf["bucket"].iloc[0]), 0, []
+    for chunk, x in zip(pdf["chunk"], own, strict=True):
+        out.append(("back", int(chunk), bucket, 0, 0.0, 0, _pack(back[at : at + len(x)]), None))
+        at += len(x)
+    return pd.DataFrame([*out, ("total", 0, bucket, int((total > 0).sum()), 0.0, 0, None, None)], columns=_names(BACK))
+
+
+def _returned(order: np.ndarray, right: pd.DataFrame, column: str = "counts") -> np.ndarray:
+    """What came back for a chunk's entries, in the order of the entries."""
+    got = right.sort_values("bucket")[column]
+    parts = [_unpack(x, np.int64) for x in got]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.concatenate(parts) if parts else out
+    return out
+
+
+# --- contexts -------------------------------------------------------------------------------------------------------
+
+#: docs with what is decided so far; tokens that go on: their places (differences) and entries; entries by (context, next).
+STATE = "chunk long, entries long, hot array<long>, docs binary, place binary, entry binary, context binary, next binary, n binary, p binary, train binary"
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of a context that goes on with a token."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(zlib.decompress(e), VOCAB) for e in pdf["entries"]]
-        rows = np.concatenate(parts)
-        h, first, inverse = np.unique(rows["h"], return_index=True, return_inverse=True)
-        total = np.zeros(len(h), np.int64)
-        np.add.at(total, inverse, rows["n"])
-        tail, bucket = rows["t"][first], int(pdf["bucket"].iloc[0])
-        out, back, at = [], total[inverse], 0
-        for chunk, p in zip(pdf["chunk"], parts, strict=True):
-            out.append(("back", int(chunk), bucket, 0, 0, 0, _pack(back[at : at + len(p)])))
-            at += len(p)
-        known = total > 0
-        often = known & (total >= least)
-        out += [("word", 0, bucket, int(x), int(n), 0, None) for x, n in zip(h[often].view(np.int64), total[often], strict=True)]
-        rare = known & ~often
-        sums, kinds = np.bincount(tail[rare], total[rare], 1 << 16), np.bincount(tail[rare], minlength=1 << 16)
-        out += [("tail", 0, bucket, int(t), int(sums[t]), int(kinds[t]), None) for t in np.flatnonzero(kinds)]
-        out.append(("total", 0, bucket, int(known.sum()), 0, 0, None))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in BACK.split(", ")])
+
+def _state(chunk: int, docs: np.ndarray, place: np.ndarray, entry: np.ndarray, context, after, n, p, train, hot_least: float) -> tuple:
+    return chunk, len(n), np.unique(context[n >= hot_least]).view(np.int64).tolist(), _pack(docs), _pack(np.diff(place, prepend=0).astype(np.uint32)), _pack(entry.astype(np.uint32)), context.tobytes(), after.tobytes(), _pack(n), p.tobytes(), _pack(train)
+
+
+def _entries(pair: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs: one place of each, the entry of each token, training counts."""
+    _, first, entry = np.unique(pair, return_index=True, return_inverse=True)
+    return first, entry, np.bincount(entry, trains, len(first)).astype(np.int64)
+
+
+def _root(buckets: int, total: int, known: int, least: float, hot: float):
+    """From a chunk and its words' counts: base columns, and the state for contexts of one token."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in left.itertuples():
+            docs, h, codes = _unpack(row.docs, DOC).copy(), np.frombuffer(row.hash, np.uint64), _unpack(row.codes, np.uint32).astype(np.int64)
+            order, _ = _cuts(_where(h, buckets), buckets)
+            count = _returned(order, right[right["chunk"] == row.chunk])
+            p = (count + 1) / (total + known + 1)
+            starts = np.cumsum(docs["n"]) - docs["n"]
+            docs["known"] = np.add.reduceat((count > 0)[codes].astype(np.int64), starts)
+            docs["base"] = np.add.reduceat(np.log10(p)[codes], starts)
+            end = int(np.flatnonzero(h == np.uint64(END))[0])
+            before = np.concatenate(([end], codes[:-1]))
+            before[starts] = end
+            on = count[before] >= least
+            docs["score"] = np.add.reduceat(np.where(on, 0.0, np.log10(p)[codes]), starts)
+            place, u, w = np.flatnonzero(on), before[on], codes[on]
+            first, entry, train = _entries(u * len(h) + w, np.repeat(docs["held"] == 0, docs["n"])[on])
+            out.append(_state(row.chunk, docs, place, entry, h[u[first]], h[w[first]], count[u[first]], p[w[first]], train, hot))
+        return pd.DataFrame(out, columns=_names(STATE))
 
     return run
 
 
-class Symbols:
-    """The alphabet: frequent words, frequent rare classes, the rest."""
-
-    def __init__(self, words: list[tuple[int, int]], tails: list[tuple[int, int, int]], n: int, least: float):
-        words = sorted(words)
-        self.h = np.array([h for h, _ in words], np.int64).view(np.uint64)
-        order = np.argsort(self.h)
-        self.h, counts = self.h[order], np.array([c for _, c in words], np.int64)[order]
-        big = sorted(x for x in tails if x[1] >= least)
-        self.words = len(words)
-        self.of_tail = np.full(1 << 16, self.words + len(big), np.int64)
-        self.mass = np.zeros(self.words + len(big) + 1)
-        self.kinds = np.zeros(len(self.mass))
-        self.mass[: self.words] = counts
-        for i, (t, _, _) in enumerate(big):
-            self.of_tail[t] = self.words + i
-        for t, s, k in tails:
-            self.mass[self.of_tail[t]] += s
-            self.kinds[self.of_tail[t]] += k
-        self.size = len(self.mass)
-        self.end = self.read(np.array([END], np.uint64), np.array([END_TAIL], np.uint16))[0]
-
-    def read(self, h: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        out = self.of_tail[tail]
-        if self.words:
-            i = np.minimum(np.searchsorted(self.h, h), self.words - 1)
-            out = np.where(self.h[i] == h, i, out)
-        return out
-
-    def inside(self, symbol: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 P(word | symbol): 0 for a frequent word; smoothed by one for each known word and one for all unknown."""
-        return np.where(symbol < self.words, 0.0, np.log10((count + 1) / (self.mass + self.kinds + 1)[symbol]))
-
-
-def _history(info: np.ndarray, s: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols one and two before each; before a text's start stands an end."""
-    starts = np.cumsum(info["n"]) - info["n"]
-    one = np.concatenate(([end], s[:-1]))
-    one[starts] = end
-    two = np.concatenate(([end], one[:-1]))
-    two[starts] = end
-    return one, two
-
-
-def _symbols_of(row, sym: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    info, codes = _unpack(row.docs, DOC), _unpack(row.codes, np.uint32)
-    per = sym.read(_unpack(row.vocab, np.uint64), _unpack(row.tail, np.uint16))
-    return info, per[codes], codes
-
-
-def _follow(sym: Symbols, contexts: np.ndarray | None):
-    """Counts of what follows contexts over training texts: (context, next, n), summed over the task's chunks. One symbol
-    back, or, with contexts (sorted codes of two symbols), two back."""
+ASKED = "bucket int, chunk long, context binary, size binary, next binary, n binary, p binary"
+
+
+def _bucket_of(context: np.ndarray, after: np.ndarray, buckets: int, hot: np.ndarray) -> np.ndarray:
+    spread = np.isin(context, hot)
+    return np.where(spread, _where(after, buckets), _where(context, buckets))
+
+
+def _deal(buckets: int, hot: np.ndarray):
+    """Each chunk's entries by bucket; within one, by context."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((sym.size if contexts is None else len(contexts)) * sym.size, np.int64)
         for batch in batches:
             for row in batch.itertuples():
-                info, s, _ = _symbols_of(row, sym)
-                one, two = _history(info, s, sym.end)
-                use = np.repeat(info["held"] == 0, info["n"])
-                if contexts is None:
-                    key = one * sym.size + s
-                else:
-                    pair = two * sym.size + one
-                    i = np.minimum(np.searchsorted(contexts, pair), len(contexts) - 1)
-                    use &= contexts[i] == pair
-                    key = i * sym.size + s
-                total += np.bincount(key[use], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"k": at, "n": total[at]})
+                context, after = np.frombuffer(row.context, np.uint64), np.frombuffer(row.next, np.uint64)
+                train, bits = _unpack(row.train, np.int64), np.round(-512 * np.log2(np.frombuffer(row.p, np.float64))).clip(0, 65535).astype(np.uint16)
+                order, ends = _cuts(_bucket_of(context, after, buckets, hot), buckets)
+                out = []
+                for b in range(buckets):
+                    if ends[b + 1] > ends[b]:
+                        i = order[ends[b] : ends[b + 1]]
+                        cut = np.flatnonzero(np.concatenate(([True], context[i][1:] != context[i][:-1])))
+                        out.append((b, int(row.chunk), context[i][cut].tobytes(), _pack(np.diff(np.append(cut, len(i))).astype(np.uint32)), after[i].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes(), _pack(train[i].astype(np.uint32)), _pack(bits[i])))
+                yield pd.DataFrame(out, columns=_names(ASKED))
 
     return run
 
 
-def _diverges(counts: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Whether each row of counts diverges from the row of base (probabilities)."""
-    n = counts.sum(1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        kl = np.where(counts > 0, counts * np.log(counts / np.maximum(n, 1)[:, None] / base), 0).sum(1)
-    df = np.maximum((counts > 0).sum(1) - 1, 1)
-    return (2 * kl > df + SIGMAS * np.sqrt(2 * df)) & (kl > LEAST * n)
-
-
-class Tree:
-    """Root, kept contexts, and for each the log10 probabilities of the next symbol."""
-
-    def __init__(self, sym: Symbols, one: np.ndarray, pairs: np.ndarray, two: np.ndarray, least: float):
-        size = sym.size
-        root = (sym.mass + 0.5) / (sym.mass.sum() + 0.5 * size)
-        often = one.sum(1) >= max(least, 1)
-        keep = often & _diverges(one, root[None, :])
-        p1 = (one + MU * root) / (one.sum(1, keepdims=True) + MU)
-        self.row1 = np.full(size, 0, np.int64)
-        self.row1[keep] = 1 + np.arange(keep.sum())
-        rows = [root[None, :], p1[keep]]
-        suffix = np.concatenate(rows)[self.row1[pairs % size]] if len(pairs) else np.zeros((0, size))
-        keep2 = _diverges(two, suffix) if len(pairs) else np.zeros(0, bool)
-        rows.append((two[keep2] + MU * suffix[keep2]) / (two[keep2].sum(1, keepdims=True) + MU))
-        self.table = np.log10(np.concatenate(rows))
-        self.pairs = pairs[keep2]
-        self.first2 = 1 + int(keep.sum())
-
-    def states(self, one: np.ndarray, two: np.ndarray, size: int) -> np.ndarray:
-        state = self.row1[one]
-        if len(self.pairs):
-            pair = two * size + one
-            i = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-            state = np.where(self.pairs[i] == pair, self.first2 + i, state)
-        return state
+def diverges(n: np.ndarray, gain: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """gain: n times the divergence in nats of what follows a context from what its suffix says."""
+    df = np.maximum(kinds - 1, 1)
+    return (2 * gain > df + SIGMAS * np.sqrt(2 * df)) & (gain > GAIN * n)
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+def _count(hot: np.ndarray):
+    """One bucket: the total of each entry and, of retained contexts, the kinds, back to the chunks; of hot contexts, sums."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        size = [_unpack(x, np.uint32).astype(np.int64) for x in pdf["size"]]
+        context = np.concatenate([np.repeat(np.frombuffer(c, np.uint64), s) for c, s in zip(pdf["context"], size, strict=True)])
+        after = np.zeros((len(context), 8), np.uint8)
+        after[:, 2:] = np.frombuffer(b"".join(pdf["next"]), np.uint8).reshape(-1, 6)
+        after = after.view(np.uint64).reshape(-1)
+        train = np.concatenate([_unpack(x, np.uint32) for x in pdf["n"]]).astype(np.int64)
+        bits = np.concatenate([_unpack(x, np.uint16) for x in pdf["p"]])
+        order = np.lexsort((after, context))
+        c, a = context[order], after[order]
+        new_c = np.concatenate(([True], c[1:] != c[:-1]))
+        start = np.flatnonzero(new_c | np.concatenate(([True], a[1:] != a[:-1])))
+        total = np.add.reduceat(train[order], start)
+        inner = np.flatnonzero(new_c[start])
+        seen = total > 0
+        log = np.where(seen, total * (np.log(np.maximum(total, 1)) + bits[order][start] * (np.log(2) / 512)), 0.0)
+        n, gain, kinds = (np.add.reduceat(x, inner) for x in (total, log, seen.astype(np.int64)))
+        own = c[start[inner]]
+        spread = np.isin(own, hot)
+        keep = np.where(diverges(n, gain - n * np.log(np.maximum(n, 1)), kinds) & ~spread, kinds, 0)
+        lengths = np.diff(np.append(start, len(c)))
+        per_context = np.diff(np.append(start[inner], len(c)))
+        back, kept = np.empty(len(c), np.int64), np.empty(len(c), np.int64)
+        back[order], kept[order] = np.repeat(total, lengths), np.repeat(keep, per_context)
+        bucket, at, out = int(pdf["bucket"].iloc[0]), 0, []
+        for chunk, s in zip(pdf["chunk"], size, strict=True):
+            to = at + int(s.sum())
+            out.append(("back", int(chunk), bucket, 0, 0.0, 0, _pack(back[at:to]), _pack(kept[at:to])))
+            at = to
+        out += [("hot", int(x), bucket, int(i), float(g), int(k), None, None) for x, i, g, k in zip(own[spread].view(np.int64), n[spread], gain[spread], kinds[spread], strict=True)]
+        return pd.DataFrame(out, columns=_names(BACK))
+
+    return run
 
 
-def _score(sym: Symbols, tree: Tree, buckets: int, n: int, v: int):
+def _apply(buckets: int, hot: np.ndarray, hot_kept: dict[int, int], least: float, hot_least: float, mu: float, last: bool):
+    """From a state and what came back: probabilities in retained contexts; the state for contexts one longer."""
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        back = dict(zip(right["bucket"], right["counts"], strict=True))
         out = []
         for row in left.itertuples():
-            info, s, codes = _symbols_of(row, sym)
-            h = _unpack(row.vocab, np.uint64)
-            where = (h >> np.uint64(40)).astype(np.int64) % buckets
-            order = np.argsort(where, kind="stable")
-            count = np.empty(len(h), np.int64)
-            count[order] = np.concatenate([_unpack(back[b], np.int64) for b in sorted(back)])
-            one, two = _history(info, s, sym.end)
-            starts = np.cumsum(info["n"]) - info["n"]
-            per = sym.read(h, _unpack(row.tail, np.uint16))
-            inside, known, logs = sym.inside(per, count), count > 0, np.log10(count + 1)
-            score = np.add.reduceat(tree.table[tree.states(one, two, sym.size), s] + inside[codes], starts)
-            base = np.add.reduceat(logs[codes], starts) - info["n"] * np.log10(n + v + 1)
-            doc = pd.array(info["doc_id"], "Int64")
-            doc[info["null"] == 1] = pd.NA
-            out.append(pd.DataFrame({"doc_id": doc, "held_out": info["held"] == 1, "n_tokens": info["n"], "n_known": np.add.reduceat(known[codes].astype(np.int64), starts), "train_tokens": n, "base_score": base, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame(columns=[x.split()[0] for x in SCORES.split(", ")])
+            docs, place, entry = _unpack(row.docs, DOC).copy(), np.cumsum(_unpack(row.place, np.uint32).astype(np.int64)), _unpack(row.entry, np.uint32).astype(np.int64)
+            context, after, n, p = (np.frombuffer(row.context, np.uint64), np.frombuffer(row.next, np.uint64), _unpack(row.n, np.int64), np.frombuffer(row.p, np.float64))
+            order, _ = _cuts(_bucket_of(context, after, buckets, hot), buckets)
+            mine = right[right["chunk"] == row.chunk]
+            count, kinds = _returned(order, mine), _returned(order, mine, "kept")
+            for x, k in hot_kept.items():
+                kinds[context == np.uint64(x)] = k
+            p = np.where(kinds > 0, (count + mu * kinds * p) / (n + mu * kinds), p)
+            starts = np.cumsum(docs["n"]) - docs["n"]
+            doc = np.searchsorted(starts, place, "right") - 1
+            on = np.zeros(len(place), np.bool_)
+            if not last and len(place):
+                on[1:] = (np.diff(place) == 1) & (place[1:] != starts[doc[1:]]) & (count[entry[:-1]] >= least)
+            docs["score"] += np.bincount(doc[~on], np.log10(p[entry[~on]]), len(docs))
+            i = np.flatnonzero(on)
+            words, w = np.unique(after, return_inverse=True)
+            first, new, train = _entries(entry[i - 1] * max(len(words), 1) + w[entry[i]], (docs["held"] == 0)[doc[i]])
+            e, to = entry[i - 1][first], entry[i][first]
+            out.append(_state(row.chunk, docs, place[i], new, joined(context[e], after[e]), after[to], count[e], p[to], train, hot_least))
+        return pd.DataFrame(out, columns=_names(STATE))
+
+    return run
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _listed(total: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column("docs").to_pylist():
+                d = _unpack(packed, DOC)
+                yield pa.RecordBatch.from_arrays([pa.array(d["doc_id"], mask=d["null"] == 1), pa.array(d["held"] == 1), pa.array(d["n"]), pa.array(d["known"]), pa.array(np.full(len(d), total)), pa.array(d["base"]), pa.array(d["score"])], _names(SCORES))
 
     return run
 
 
-def score(docs: DataFrame, share: float = SHARE) -> DataFrame:
+def score(docs: DataFrame, least: float = LEAST, depth: int = DEPTH, mu: float = MU, chunk: int = CHUNK) -> DataFrame:
     """SCORES for each row of docs."""
-    chunks = saved(encode(docs), "chunks")
-    n_chunks, n = chunks.agg(F.count("*"), F.coalesce(F.sum("n_train"), F.lit(0))).first()
-    if not n_chunks:
-        return docs.sparkSession.createDataFrame([], SCORES)
-    buckets = 1 << max(4, (n_chunks - 1).bit_length())
-    least = max(1.0, share * n)
-    dealt = chunks.select("chunk", "vocab", "count", "tail").mapInPandas(_deal(buckets), "bucket int, chunk long, entries binary")
-    counted = saved(dealt.groupBy("bucket").applyInPandas(_count(least), BACK), "counts")
-    v = counted.where("kind = 'total'").agg(F.sum("a")).first()[0] or 0
-    words = [(r["a"], r["b"]) for r in counted.where("kind = 'word'").select("a", "b").collect()]  # at most 1 / share
-    tails = [tuple(r) for r in counted.where("kind = 'tail'").groupBy("a").agg(F.sum("b"), F.sum("c")).orderBy("a").collect()]  # at most 2^16
-    sym = Symbols(words, tails, n, least)
-
-    def follow(contexts: np.ndarray | None) -> np.ndarray:
-        told = chunks.select("docs", "codes", "vocab", "tail").mapInPandas(_follow(sym, contexts), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-        out = np.zeros((sym.size if contexts is None else len(contexts)) * sym.size)
-        out[told["k"].to_numpy(np.int64)] = told["n"].to_numpy(float)
-        return out.reshape(-1, sym.size)
-
-    one = follow(None)
-    pairs = np.flatnonzero(one.reshape(-1) >= least)  # contexts of two symbols: at most 1 / share
-    two = follow(pairs) if len(pairs) else np.zeros((0, sym.size))
-    tree = Tree(sym, one, pairs, two, least)
-    back = counted.where("kind = 'back'").select("chunk", "bucket", "counts")
-    return chunks.select("chunk", "docs", "vocab", "tail", "codes").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(_score(sym, tree, buckets, int(n), int(v)), SCORES)
+    spark = docs.sparkSession
+    at_least = spark.sparkContext.defaultParallelism
+    chunks, old = saved_at(encode(docs, size=chunk), "chunks")
+    words, total = chunks.agg(F.sum("entries"), F.sum("n_train")).first()
+    if words is None:
+        return spark.createDataFrame([], SCORES)
+    buckets = max(at_least, -(-words // ENTRIES))
+    told, told_at = saved_at(chunks.select("chunk", "hash", "count").mapInPandas(_deal_words(buckets), VOCAB).groupBy("bucket").applyInPandas(_count_words, BACK), "word-counts")
+    known = told.where("kind = 'total'").agg(F.coalesce(F.sum("a"), F.lit(0))).first()[0]
+    back = told.where("kind = 'back'").select("chunk", "bucket", "counts")
+    hot_least = max(1.0, HOT * total)
+    make = _root(buckets, total, known, max(least, 1), hot_least)
+    state, path = saved_at(chunks.select("chunk", "docs", "hash", "codes").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(make, STATE), "state")
+    forget(spark, old, told_at)
+    for k in range(1, depth + 1):
+        asked = state.agg(F.sum("entries")).first()[0]
+        if not asked:
+            break
+        buckets = max(at_least, -(-asked // ENTRIES))
+        hot = np.array([r[0] for r in state.select(F.explode("hot")).distinct().collect()], np.int64).view(np.uint64)  # at most 1 / HOT
+        dealt = state.where("entries > 0").select("chunk", "context", "next", "train", "p").mapInPandas(_deal(buckets, hot), ASKED)
+        told, told_at = saved_at(dealt.groupBy("bucket").applyInPandas(_count(hot), BACK), "context-counts")
+        sums = told.where("kind = 'hot'").groupBy("chunk").agg(F.sum("a"), F.sum("b"), F.sum("c")).collect()  # at most 1 / HOT
+        n, gain, kinds = (np.array([r[i] for r in sums], float) for i in (1, 2, 3))
+        kept = {r[0] % (1 << 64): int(k) for r, k, good in zip(sums, kinds, diverges(n, gain - n * np.log(np.maximum(n, 1)), kinds), strict=True) if good}
+        back = told.where("kind = 'back'").select("chunk", "bucket", "counts", "kept")
+        make = _apply(buckets, hot, kept, max(least, 1), hot_least, mu, k == depth)
+        old, (state, path) = path, saved_at(state.drop("entries", "hot", "train").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(make, STATE), "state")
+        forget(spark, old, told_at)
+    return state.select("docs").mapInArrow(_listed(total), SCORES)
 
 
 def op5_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
