@@ -50,6 +50,22 @@ def forget(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def saved_buckets(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
+    """Like saved_at, for a table that is grouped by a key again and again: it is bucketed by the key, so that no later
+    grouping moves it."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    own = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).option("path", path).saveAsTable(own)
+    return spark.table(own), path
+
+
+def forget_buckets(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        spark.sql(f"drop table if exists `{path.rpartition('/')[2].replace('-', '_')}`")
+        forget(spark, path)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}
