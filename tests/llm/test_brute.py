@@ -124,7 +124,9 @@ def test_mix_schedule(spark, monkeypatch):
         sizes[s] += size[i]
     aim, total = source_mix.targets(sizes), sum(sizes.values())
     order, block = ["a", "b", "é", None], total // source_mix.SLOTS
-    mixed = lambda i: (h := xxhash.xxh64_intdigest(b"mix", xxhash.xxh64_intdigest(struct.pack("<q", i), 42))) - ((h >> 63) << 64)
+    text = {i: t for i, t, _ in docs}
+    signed = lambda h: h - ((h >> 63) << 64)
+    mixed = lambda i: signed(xxhash.xxh64_intdigest(b"mix", xxhash.xxh64_intdigest(struct.pack("<q", signed(xxhash.xxh64_intdigest(text[i].encode(), 42))), xxhash.xxh64_intdigest(struct.pack("<q", i), 42))))
     rings = {s: [i for i in sorted((i for i, _, x in docs if x == s), key=mixed) for _ in range(size[i])] for s in order}
     rank, taken = Counter(), Counter()
     for slot in range(round(total / block)):
@@ -201,6 +203,21 @@ def test_pipeline_without_rows(spark, tmp_path):
         assert [tuple(x) for x in out] == ([(1, True)] if name == "some" else [])
 
 
+def test_pipeline_keeps_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    big, text = (1 << 60) + 1, lambda k: " ".join(f"w{(i * 7 + k * k) % 997}{k}" for i in range(60))
+    rows = [(big, text(1) + " a@b.com", "en", "s", 1, None, "x"), (None, text(2), "en", "s", 1, big, "y"), (None, text(3) + " 10.0.0.1", None, None, 1, big + 2, None), (5, text(4), "en", "s", 1, 3, "z"), (5, text(5), "en", "t", 1, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size long, _text_hash long, _d string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "no such words in any text at all here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*docs.columns, "size_", "source_size", "target", "taken"]
+    clean = lambda t: t.replace("a@b.com", "<EMAIL>").replace("10.0.0.1", "<IP>")
+    assert sorted(map(str, ((*r[: len(rows[0])],) for r in out.collect()))) == sorted(str((r[0], clean(r[1]), *r[2:])) for r in rows)
+
+
 def test_pipeline_near_copies(spark):
     import corpus_pipeline
 

@@ -1,36 +1,44 @@
-"""Near copies of texts: groups linked by a Jaccard similarity of SIMILARITY or more over five-word shingles, all of them.
+"""Near copies of texts for the pipeline: operator 10's fingerprints, and a verified second pass for what they don't reach.
 
 Texts are lower-cased (ASCII) and cut into words; a text's set holds its distinct five-word shingles as 64-bit hashes
-(fewer words are one shingle, no words the empty text's own). Texts of equal sets are one form. Candidates come from the
-prefix filter: of two sets at the similarity, the first m - ceil(SIMILARITY * m) + 1 shingles in any fixed order of all
-shingles have one in common, so nothing is lost. Shingles that a sample shows to be frequent come last in that order,
-which only makes keys selective. Counts of a set's shingles by PARTS ranges of the hash bound what two sets can have in
-common; pairs whose bound reaches the similarity are compared exactly.
-
-A key's forms are first compared with one of them, the first by hash; what that links is contracted, and then every pair of
-a key that is not linked yet is compared. So a large group of near copies gives few pairs, and no pair is left out.
+(fewer words are one shingle, no words the empty text's own). Texts of equal sets are one form. Forms are linked if the
+Jaccard similarity of their sets is SIMILARITY or more; groups are the connected components.
+
+Candidates come from two indexes. The first is operator 10: SimHash fingerprints of the shingles meet in pigeonhole blocks
+and lie within RADIUS bits. At a similarity of 0.8 fingerprints differ in about 10 bits of 64, and no blocks for so large a
+radius are selective, so the second index gives every form BANDS keys, each the minima of ROWS random orders of its
+shingles: two forms at the similarity have a key in common with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.99993, above 0.9
+always. A sketch of 128 bits, each from one minimum, differs in 12.8 bits on average at the similarity; pairs beyond FAR
+bits (more than five standard deviations) are passed over. All others are compared exactly.
+
+A form is first compared with one partner alone, the nearest by sketch among the first forms of its keys; what that links is
+contracted, and then all pairs under a key that are not linked yet and whose sketches are near. So a large group of near
+copies gives few pairs, and none is left out.
+
+Nulls: a null text is empty, a null doc_id is an id like any, last in order. Repeated rows are of one form. Very long texts
+are read whole; their sets are compared as arrays. Ties go to the least id, then the least hash. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, saved, sized_broadcast
+from tidemark.llm.simhash_dedup import RADIUS, links, majority
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Documents of the sample, and in how many of them a frequent shingle is; the order holds so many frequent ones at most.
-SAMPLE, FREQUENT, HELD = 10_000, 3, 500_000
-#: Keys, or forms, up to these counts are broadcast (a few longs each); more are joined by shuffle.
+BANDS, ROWS, FAR = 24, 5, 31
+SKETCH = 128
+#: Keys, or forms, up to this count are broadcast (a few longs each); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
-PARTS = 128
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+ORDERS = np.random.default_rng(20).integers(0, 1 << 63, (2, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -50,100 +58,104 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(29)))
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The first shingles of a set, frequent ones last: sets at the similarity have one of these in common."""
-    n = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
-    if len(frequent):
-        often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-        s = np.concatenate((s[~often], s[often]))
-    return s[:n]
+def minima(s: np.ndarray) -> np.ndarray:
+    """The least of the set's shingles in each of SKETCH random orders."""
+    out = np.full(SKETCH, ~np.uint64(0))
+    for i in range(0, len(s), 4096):
+        out = np.minimum(out, (s[i : i + 4096, None] * ORDERS[0]).min(axis=0))
+    return out
 
 
-def _parts(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=PARTS), 65535).astype(np.uint16).tobytes()
+def keys_and_sketch(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of minima: the keys of the bands, and the sketch as two longs."""
+    key = np.zeros((len(least), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    for j in range(ROWS):
+        key ^= key >> np.uint64(31)
+        key = key * np.uint64(0x9E3779B97F4A7C15) + least[:, j : BANDS * ROWS : ROWS]
+    key ^= key >> np.uint64(32)
+    bits = ((least ^ (least >> np.uint64(29))) * ORDERS[1]) >> np.uint64(63)
+    return (key * np.uint64(0x94D049BB133111EB)).view(np.int64), np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
 
 
-def _possible(similarity: float):
-    """Pairs (a, b, ma, mb, pa, pb) that may be at the similarity; counts of 65535 stand for more."""
+ROWS_OUT = "doc_id long, th long, form long, m int, fp long, s1 long, s2 long, keys array<long>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(map(bytes, batch[c])), np.uint16).reshape(-1, PARTS) for c in ("pa", "pb"))
-            low, m = np.minimum(a, b), (batch["ma"] + batch["mb"]).to_numpy(np.float64)
-            most = low.sum(axis=1, dtype=np.int64)
-            yield batch.loc[(most >= similarity * (m - most) - 1e-9) | (low == 65535).any(axis=1), ["a", "b", "ma", "mb"]]
-
-    return run
 
-
-def _texts(batch: pd.DataFrame) -> Iterator[np.ndarray]:
-    return (shingles(x if isinstance(x, str) else None) for x in batch["text"])
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sets = [shingles(x) for x in batch.column("text").to_pylist()]
+        form = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+        fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+        key, sketch = keys_and_sketch(np.stack([minima(s) for s in sets]))
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(key.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(form), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy()), listed], [x.split()[0] for x in ROWS_OUT.split(", ")])
 
 
-def _all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if len(batch):
-            yield pd.DataFrame({"h": np.concatenate(list(_texts(batch))).view(np.int64)})
+        sets = [shingles(x).tobytes() for x in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("form"), pa.array(sets, pa.binary())], ["form", "s"])
 
 
-def _prefixes(frequent: np.ndarray, similarity: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _alike(similarity: float):
+    """The pairs (a, b, sa, sb) whose sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(_texts(batch))
-            form = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
-            first = [prefix(s, frequent, similarity).view(np.int64) for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "th": batch["th"], "form": form, "m": [len(s) for s in sets], "parts": [_parts(s) for s in sets], "first": first})
+            keep = []
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"form": batch["form"], "s": [s.view(np.int64) for s in _texts(batch)]})
-
-
-def _similar(pairs: DataFrame, forms: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst) of the pairs of forms (a, b) at the similarity; only texts of pairs that the bound lets pass are read again."""
-    side = lambda x: forms.select(F.col("form").alias(x), F.col("m").alias("m" + x), F.col("parts").alias("p" + x))
-    some = saved(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb", "pa", "pb").mapInPandas(_possible(similarity), "a long, b long, ma int, mb int"), "possible")
-    ids = some.select(F.col("a").alias("form")).union(some.select("b")).distinct()
+def _similar(pairs: DataFrame, forms: DataFrame, base: DataFrame, twice: bool, similarity: float) -> DataFrame:
+    """(src, dst) of the pairs of forms (a, b) at the similarity; only texts of forms in pairs are read again."""
+    pairs = saved(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("form")).union(pairs.select("b")).distinct()
     used = saved(forms.join(ids, "form", "left_semi").select("form", F.col("least.doc_id").alias("d"), F.col("least.th").alias("t")), "used")
-    used = sized_broadcast(used, BROADCAST_KEYS)
-    texts = base.join(used, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("form", "text").dropDuplicates(["form"])
-    sets = saved(texts.mapInPandas(_sets, "form long, s array<long>"), "sets")
-    both = some.join(sets.select(F.col("form").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("form").alias("b"), F.col("s").alias("sb")), "b")
-    close = both.select("a", "b", "ma", "mb", F.size(F.array_intersect("sa", "sb")).alias("c")).where(F.col("c") >= similarity * (F.col("ma") + F.col("mb") - F.col("c")) - 1e-9)
-    return saved(close.select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar")
+    texts = base.join(sized_broadcast(used, BROADCAST_KEYS), (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("form", "text")
+    sets = saved((texts.dropDuplicates(["form"]) if twice else texts).mapInArrow(_sets, "form long, s binary"), "sets")
+    side = lambda x: sets.select(F.col("form").alias(x), F.col("s").alias("s" + x))
+    return saved(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_alike(similarity), "src long, dst long"), "similar")
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, sample: int = SAMPLE) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, th, first_id, first_th): a row for each row of docs; th is the text's XXH64. The first of its group has
     the least doc_id (null last), then the least th."""
     base = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th"))
-    n = base.count()
-    some = base.where(F.pmod(F.xxhash64("th"), F.lit(max(1, n // sample))) == 0) if n > sample else base
-    often = some.select("text").distinct().mapInPandas(_all, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(HELD)
-    frequent = np.sort(np.array([r["h"] for r in often.collect()], np.int64).view(np.uint64))
-    rows = saved(base.mapInPandas(_prefixes(frequent, similarity), "doc_id long, th long, form long, m int, parts binary, first array<long>"), "prefixes")
+    rows = saved(base.mapInArrow(_describe, ROWS_OUT), "rows")
+    twice = not rows.groupBy("doc_id", "th").count().where("count > 1").isEmpty()
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    forms = saved(rows.groupBy("form").agg(F.min(rank).alias("least"), F.min("m").alias("m"), F.min("parts").alias("parts")), "forms")
-    # most shingles are in one row alone
-    entries = rows.select("form", "m", F.explode_outer("first").alias("h"))
-    keys = saved(entries.groupBy("h").count().where(F.col("count") > 1).select("h"), "keys")
-    keyed = saved(entries.join(sized_broadcast(keys, BROADCAST_KEYS), "h").distinct(), "keyed")
-    close = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+    forms = saved(rows.groupBy("form").agg(F.min(rank).alias("least"), *[F.first(c).alias(c) for c in ("m", "fp", "s1", "s2", "keys")]), "forms")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    one = keyed.groupBy("h").agg(F.min(F.struct(F.xxhash64("form").alias("r"), "form", "m")).alias("p")).select("h", F.col("p.form").alias("to"), F.col("p.m").alias("mt"))
-    star = keyed.join(sized_broadcast(saved(one, "pivots"), BROADCAST_KEYS), "h").where((F.col("form") != F.col("to")) & close("m", "mt")).select(*pair("form", "to")).distinct()
-    edges = _similar(star, forms, base, similarity)
-    linked = components(edges)
-    placed = saved(keyed.join(linked, keyed.form == linked.node, "left").select("h", "form", "m", F.coalesce("component", "form").alias("component")), "placed")
-    # in each key, all that is outside its largest component meets all of other components
-    main = placed.groupBy("h", "component").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").select("h", "main")
-    open_ = saved(placed.join(sized_broadcast(saved(main, "open-keys"), BROADCAST_KEYS), "h"), "open")
-    left = open_.where("component <> main").select("h", F.col("form").alias("x"), F.col("m").alias("mx"), F.col("component").alias("cx"))
-    rest = left.join(open_, "h").where((F.col("cx") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("form"))) & close("mx", "m")).select(*pair("x", "form")).distinct()
-    linked = components(edges.union(_similar(rest, forms, base, similarity)))
-    member = saved(forms.join(linked, forms.form == linked.node, "left").select("form", "least", F.coalesce("component", "form").alias("component")), "member")
-    first = member.groupBy("component").agg(F.min("least").alias("first"))
-    return rows.select("doc_id", "th", "form").join(member.select("form", "component"), "form").join(first, "component").select("doc_id", "th", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"))
+    apart = lambda x, y: F.bit_count(F.col(f"{x}s1").bitwiseXOR(F.col(f"{y}s1"))) + F.bit_count(F.col(f"{x}s2").bitwiseXOR(F.col(f"{y}s2")))
+    close = lambda x, y: (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9)
+    # operator 10: fingerprints within the radius, and forms of one fingerprint
+    heads = saved(forms.groupBy("fp").agg(F.min("form").alias("head"), F.count("*").alias("n")), "heads")
+    of = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
+    linked = links(heads.select("fp"), radius).join(of("src"), "src").join(of("dst"), "dst").select(*pair("src_head", "dst_head"))
+    shared = forms.join(heads.where("n > 1").select("fp", "head"), "fp").where("form <> head").select(*pair("form", "head"))
+    # min-wise keys; most are of one form alone
+    entries = forms.select("form", F.explode_outer("keys").alias("key"))
+    keys = saved(entries.groupBy("key").count().where(F.col("count") > 1).select("key"), "keys")
+    keyed = saved(forms.select("form", "m", "s1", "s2", F.explode_outer("keys").alias("key")).join(sized_broadcast(keys, BROADCAST_KEYS), "key"), "keyed")
+    first = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("form").alias("r"), "form", "m", "s1", "s2")).alias("p")).select("key", *[F.col(f"p.{c}").alias(f"f_{c}") for c in ("form", "m", "s1", "s2")])
+    star = keyed.join(sized_broadcast(saved(first, "firsts"), BROADCAST_KEYS // 2), "key").where((F.col("form") != F.col("f_form")) & close("m", "f_m")).withColumn("bits", apart("", "f_")).where(F.col("bits") <= FAR)
+    star = star.groupBy("form").agg(F.min(F.struct("bits", "f_form")).alias("best")).select(*pair("form", F.col("best.f_form")))
+    near = _similar(linked.union(shared).union(star).distinct(), forms, base, twice, similarity)
+    placed = saved(keyed.join(components(near), keyed.form == F.col("node"), "left").select("key", "form", "m", "s1", "s2", F.coalesce("component", "form").alias("component")), "placed")
+    # under each key, all that is outside its largest component meets all of other components
+    main = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").select("key", "main")
+    left = placed.join(sized_broadcast(saved(main, "open-keys"), BROADCAST_KEYS), "key")
+    left = saved(left, "open")
+    other = left.where("component <> main").select("key", *[F.col(c).alias(f"o_{c}") for c in ("form", "m", "s1", "s2", "component")])
+    rest = other.join(left, "key").where((F.col("o_component") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("o_form") < F.col("form"))) & close("m", "o_m") & (apart("", "o_") <= FAR))
+    more = _similar(rest.select(*pair("o_form", "form")).distinct(), forms, base, twice, similarity)
+    member = saved(forms.select("form", "least").join(components(near.union(more)), F.col("form") == F.col("node"), "left").select("form", "least", F.coalesce("component", "form").alias("component")), "member")
+    best = member.groupBy("component").agg(F.min("least").alias("first"))
+    return rows.select("doc_id", "th", "form").join(member.select("form", "component"), "form").join(best, "component").select("doc_id", "th", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"))

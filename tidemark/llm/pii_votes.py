@@ -11,21 +11,23 @@ again over the counts. Candidates with a probability of ACCEPT or more become sp
 A text is scanned once, in time linear in its length: every pattern starts at characters that it can't skip.
 
 Nulls: a null text is empty; null doc_ids stay. Repeated rows are counted and returned as often as they occur. Other
-columns are ignored; an empty table gives an empty result.
+columns are ignored by `detect` and kept as they are by `redact`, whatever their names; an empty table gives an empty result.
+Votes that tie leave the decision to the gazetteers' and contexts' reliabilities. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from tidemark.llm.common import saved, table
+from tidemark.llm.common import free_name, saved, table
 
 KINDS = ("email", "ip", "card", "phone", "email_words", "phone_local", "ssn", "iban", "ip6")
 BASE = 4
@@ -138,14 +140,32 @@ def votes(text: str, kind: int, start: int, end: int) -> int:
 LABELERS = 5
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for text in batch["text"]:
-            text = text if isinstance(text, str) else ""
-            base = base_spans(text)
-            out.append([{"kind": k, "start": a, "stop": b, "votes": votes(text, k, a, b)} for k, a, b in base + candidates(text, base)])
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "found": out})
+FOUND = "array<struct<kind:int,start:int,stop:int,votes:int>>"
+
+
+def _scan(fields: list[str]):
+    """The rows as they are, their text first, with what is found in it. Only texts are read in Python, so no other value changes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(x, pa.int32()) for x in ("kind", "start", "stop", "votes")]))
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                text = text or ""
+                base = base_spans(text)
+                out.append([{"kind": k, "start": a, "stop": b, "votes": votes(text, k, a, b)} for k, a, b in base + candidates(text, base)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], fields)
+
+    return run
+
+
+def scanned(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, str]:
+    """The columns of docs and what is found in their texts, saved; and the name of that column."""
+    found = free_name(docs, "found")
+    rows = docs.select(F.col("text").alias("text"), *[F.col(f"`{c}`") for c in columns if c != "text"])
+    fields = [*rows.columns, found]
+    schema = StructType([*rows.schema.fields, StructField(found, _parse_datatype_string(FOUND))])
+    return saved(rows.mapInArrow(_scan(fields), schema), "pii"), found
 
 
 def _open(codes: np.ndarray) -> np.ndarray:
@@ -189,13 +209,13 @@ def train(kinds: np.ndarray, codes: np.ndarray, n: np.ndarray, p: np.ndarray, st
 
 def detect(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """A row for each row of docs: doc_id, spans (array of kind, start, stop by kind, then start): base and accepted ones."""
-    found = saved(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_scan, "doc_id long, found array<struct<kind:int,start:int,stop:int,votes:int>>"), "pii")
-    return decide(found, accept)
+    rows, found = scanned(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"])
+    return rows.select("doc_id", accepted(rows, found, accept).alias("spans"))
 
 
-def model(found: DataFrame) -> pd.DataFrame:
+def model(rows: DataFrame, found: str) -> pd.DataFrame:
     """kind, votes, n, p (EM) and q (classifier) of every combination that occurs: at most kinds x 3^labelers rows."""
-    counts = found.where("size(found) > 0").select(F.explode_outer("found").alias("f")).groupBy("f.kind", "f.votes").agg(F.count("*").alias("n")).orderBy("kind", "votes").toPandas()
+    counts = rows.where(F.size(found) > 0).select(F.explode_outer(found).alias("f")).groupBy("f.kind", "f.votes").agg(F.count("*").alias("n")).orderBy("kind", "votes").toPandas()
     if not len(counts):
         return counts.assign(p=[], q=[])
     kinds, codes, n = (counts[c].to_numpy(np.int64) for c in ("kind", "votes", "n"))
@@ -203,52 +223,35 @@ def model(found: DataFrame) -> pd.DataFrame:
     return counts.assign(p=p, q=train(kinds, codes, n.astype(float), p))
 
 
-def decide(found: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    fitted = model(found)
+def accepted(rows: DataFrame, found: str, accept: float = ACCEPT) -> Column:
+    """The base spans, and the others that the classifier takes."""
+    fitted = model(rows, found)
     good = [int(k) * 1000 + int(v) for k, v, q in zip(fitted["kind"], fitted["votes"], fitted["q"], strict=True) if k >= BASE and q >= accept]
-    keep = F.filter("found", lambda s: (s["kind"] < BASE) | ((s["kind"] * 1000 + s["votes"]).isin(good) if good else F.lit(False)))
-    return found.select(*[c for c in found.columns if c != "found"], F.array_sort(F.transform(keep, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))).alias("spans"))
-
-
-def _redact(accepted: frozenset):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                if not isinstance(text, str):
-                    out.append(None)
-                    continue
-                base = base_spans(text)
-                kept = base + [(k, a, b) for k, a, b in candidates(text, base) if (k, votes(text, k, a, b)) in accepted]
-                parts, at = [], 0
-                for a, b, k in sorted((a, b, k) for k, a, b in kept):
-                    if b > at:
-                        parts += [text[at : max(at, a)], f"<{KINDS[k].upper()}>"]
-                        at = b
-                out.append("".join([*parts, text[at:]]) if parts else text)
-            yield batch.assign(text=out)
-
-    return run
+    keep = F.filter(found, lambda s: (s["kind"] < BASE) | ((s["kind"] * 1000 + s["votes"]).isin(good) if good else F.lit(False)))
+    return F.array_sort(F.transform(keep, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))))
 
 
 def redact(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """docs with every span of `detect` replaced by its kind; n_chars, if there, follows the text. Other columns stay."""
-    found = saved(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_scan, "doc_id long, found array<struct<kind:int,start:int,stop:int,votes:int>>"), "pii")
-    fitted = model(found)
-    accepted = frozenset((int(k), int(v)) for k, v, q in zip(fitted["kind"], fitted["votes"], fitted["q"], strict=True) if k >= BASE and q >= accept)
-    text = docs.mapInPandas(_redact(accepted), docs.schema)
-    return text.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else text
+    rows, found = scanned(docs, docs.columns)
+    spans = F.array_sort(F.transform(accepted(rows, found, accept), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    # a span that an earlier one covers is dropped; of one that it overlaps, the rest is replaced
+    reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice("_spans", 1, i), lambda x: x["stop"])), F.lit(0))
+    names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    piece = lambda s, i: F.when(s["stop"] > reach(i), F.concat(F.substring("_text", reach(i) + 1, F.greatest(F.lit(0), s["start"] - reach(i))), F.get(names, s["kind"]))).otherwise(F.lit(""))
+    text = F.concat(F.array_join(F.transform("_spans", piece), ""), F.substring("_text", reach(F.size("_spans")) + 1, F.char_length("_text")))
+    out = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").alias("_text"), spans.alias("_spans"))
+    out = out.select("_doc", F.when(F.size("_spans") > 0, text).otherwise(F.col("_text")).alias("_new"))
+    new = {"text": F.col("_new")} | ({"n_chars": F.char_length("_new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[new.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for doc, spans in zip(batch["doc_id"], batch["spans"], strict=True):
-            listed = [(s["kind"], f"{KINDS[s['kind']]}:{s['start']}:{s['stop']}") for s in spans]
-            base = [x for k, x in listed if k < BASE]
-            rows.append((doc, *[sum(k == i for k, _ in listed) for i in range(BASE)], hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(x for _, x in listed)))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]).astype({"doc_id": "Int64"})
+def listed(found: Column) -> Column:
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
 def op7_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(table(spark, sf_dir, "documents")).mapInPandas(_digests, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    found = detect(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in KINDS[:BASE]], F.sha2(listed(F.filter("spans", lambda s: s["kind"] < BASE)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

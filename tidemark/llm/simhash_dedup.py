@@ -6,7 +6,8 @@ m - r blocks and only rows that share a key are compared. m follows the number o
 stay selective: no choice of m loses a pair. Each key's rows are linked by a spanning forest, never by all pairs.
 
 Nulls: a null text has fingerprint 0, as one without words; a row with null doc_id gets a fingerprint and the component
-of its equals. Repeated rows stay repeated. Other columns are ignored by `fingerprints`. Empty tables give empty results.
+of its equals. Repeated rows stay repeated. A bit set in exactly half the shingles is 0. Very long texts are read whole, a
+slice of hashes at a time. Other columns are ignored, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,21 +43,27 @@ def simhash(text: str | None, size: int = SHINGLE) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest, seed = xxhash.xxh64_intdigest, SEED
     h = np.array([digest(joined[i:j], seed) for i, j in zip(starts[: n - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)], np.uint64)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-def _fingerprint_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids pass as they are: pandas would make floats of longs beside nulls."""
     for batch in batches:
-        fp = np.fromiter((simhash(x if isinstance(x, str) else None) for x in batch["text"]), np.uint64, len(batch))
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
+        fp = np.fromiter((simhash(x) for x in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): a row for each row of docs; fp holds the 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_fingerprint_batches, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
 def block_masks(m: int, agree: int) -> list[int]:

@@ -11,9 +11,10 @@ end there, and what its slots leave open closes the mix.
 No source is gathered in one task: documents are ordered within (source, hash bucket), slots are ranked within (source,
 stretch of slots), and only the sums of buckets and stretches are summed up in order.
 
-Nulls: a null text has size 0 and is never taken; a null source is a source of its own; a null doc_id is ordered like any.
-Repeated rows each take part; ties of the hash are ordered by doc_id. Other columns are ignored. The number of sources is
-taken to be small (their sizes are collected: MAX_SOURCES). Empty tables give empty results; with no words nothing is taken.
+Nulls: a null text has size 0 and is never taken; a null source is a source of its own; a null doc_id is ordered like any,
+by the text's hash. Repeated rows each take part; ties of the hash are ordered by doc_id. Very long texts span blocks. Other
+columns are ignored, or kept with `keep`. Sizes of sources are collected: at most MAX_SOURCES of them, beyond which an error
+says so. Empty tables give empty results; with no words nothing is taken.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved, table, words
+from tidemark.llm.common import free_name, saved, table, words
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -31,6 +32,8 @@ EVEN = 8
 #: Documents of a hash bucket, on average, and slots of a stretch.
 BUCKET_DOCS, STRETCH = 2000, 4096
 MAX_SOURCES = 100_000
+#: Cells of the unit interval in which sources are looked up.
+CELLS = 4096
 
 
 def targets(sizes: dict[str | None, int], weights: tuple = WEIGHTS, cap: int = CAP) -> dict[str | None, float]:
@@ -53,23 +56,27 @@ def schedule(spark: SparkSession, plan: list[tuple[int, float]], block: int, tot
     """(slot, sid, rank): plan has (sid, target) in order."""
     n = max(1, round(total / block)) if total else 0
     slots = spark.range(n).select(F.col("id").alias("slot"), (F.conv(F.reverse(F.lpad(F.bin("id"), 40, "0")), 2, 10).cast("double") / float(1 << 40)).alias("point"))
-    ends, run = [], 0.0
-    for sid, target in plan:
-        run += target
-        ends.append((run / max(total, 1), sid))
-    cut = F.array(*[F.lit(e) for e, _ in ends]) if ends else F.array(F.lit(1.0))
-    # as many cumulative weights as lie at or below the point
-    at = F.least(F.size(F.filter(cut, lambda e: e <= F.col("point"))), F.lit(max(0, len(ends) - 1)))
-    ids = F.array(*[F.lit(s) for _, s in ends]) if ends else F.array(F.lit(0))
-    slots = slots.select("slot", F.get(ids, at).alias("sid"), F.floor(F.col("slot") / STRETCH).alias("stretch"))
+    spans, run = [], 0.0
+    for i, (sid, target) in enumerate(plan):
+        last, run = run, run + target
+        if target or not i:
+            spans.append((sid, last / max(total, 1), run / max(total, 1)))
+    # sources by cells of the unit interval: a slot meets those of its cell, as many as cells and sources in all
+    spans[-1:] = [(sid, lo, 2.0) for sid, lo, _ in spans[-1:]]
+    cells = spark.createDataFrame(spans, "sid int, lo double, hi double").select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS)))).alias("cell"))
+    slots = slots.withColumn("cell", F.floor(F.col("point") * CELLS)).join(F.broadcast(cells), "cell").where("lo <= point and point < hi")
+    slots = slots.select("slot", "sid", F.floor(F.col("slot") / STRETCH).alias("stretch"))
     before = slots.groupBy("sid", "stretch").count().withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("sid").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return slots.join(before.select("sid", "stretch", "before"), ["sid", "stretch"]).select("slot", "sid", (F.col("before") + F.row_number().over(Window.partitionBy("sid", "stretch").orderBy("slot")) - 1).alias("rank"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """A row for each row of docs: doc_id, size, source_size, target, taken."""
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, keep: bool = False) -> DataFrame:
+    """A row for each row of docs: doc_id, size, source_size, target, taken. With keep, all columns of docs and then those
+    four, with an underscore behind names that docs has."""
     spark = docs.sparkSession
-    sized = saved(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("doc_id", F.lit("mix")).alias("h")), "sizes")
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if keep else []
+    whole = saved(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("doc_id", F.xxhash64("text"), F.lit("mix")).alias("h"), *own), "sizes")
+    sized = whole.drop("doc")
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -86,8 +93,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.select("sid", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(sums, ["sid", "bucket"]).select("doc_id", "size", "source_size", "target", "sid", (F.col("before") + F.coalesce(F.sum("size").over(own), F.lit(0))).alias("start"))
-    placed = saved(placed.withColumn("row", F.monotonically_increasing_id()), "placed")
+    placed = rows.join(sums, ["sid", "bucket"]).select("row", "doc_id", "size", "source_size", "target", "sid", (F.col("before") + F.coalesce(F.sum("size").over(own), F.lit(0))).alias("start"))
+    placed = saved(placed, "placed")
     slots = saved(schedule(spark, [(i, aim[s]) for i, s in enumerate(order)], block, total), "slots")
     limits = facts.where("source_size > 0").select("sid", F.col("source_size").alias("ring"), "quota", "exact")
     # block k holds the words [k * block, (k + 1) * block) of the endless repetition, up to the quota
@@ -104,7 +111,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
     spread = placed.where("size > 0").select("row", "sid", "start", (F.col("start") + F.col("size")).alias("end"), cells(F.col("start"), F.col("start") + F.col("size")).alias("cell"))
     overlap = F.greatest(F.lit(0), F.least("end", "to") - F.greatest("start", "at")) * F.col("count")
     taken = spread.join(used, ["sid", "cell"]).groupBy("row").agg(F.sum(overlap).alias("taken"))
-    return placed.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    told = placed.join(taken, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    if not keep:
+        return told.drop("row")
+    names = {c: free_name(docs, c) for c in ("size", "source_size", "target", "taken")}
+    return whole.select("row", "doc").join(told.select("row", *names), "row").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns], *[F.col(c).alias(n) for c, n in names.items()])
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
