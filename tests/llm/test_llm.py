@@ -1,9 +1,12 @@
 import hashlib
 import math
+import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,7 +154,7 @@ def test_suffix_tree(spark, docs, empty):
 def test_secrets(spark, empty):
     rng = np.random.default_rng(3)
     key = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 44))
-    text = f"é secret:token:abcdefghijklmnop Password = \"hunter2hunter2\" AKIAABCDEFGHIJKLMN {'0123456789abcdef' * 2} {key} aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1"
+    text = f"é secret:token:abcdefghijklmnop Password = \"hunter2hunter2\" AKIAABCDEFGHIJKLMN {'0123456789abcdef' * 2} key_id={key} aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1"
     rows = spark.createDataFrame([(1, text, 1), (2, None, 1), (None, "", 1)], "doc_id long, text string, base int")
     got = {r["doc_id"]: r for r in secret_scan.scan(rows).collect()}
     found = {(secret_scan.KINDS[s["kind"]], text[s["start"] : s["stop"]]) for s in [*got[1]["base"], *got[1]["random"]]}
@@ -160,6 +163,86 @@ def test_secrets(spark, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_secrets_found_and_left(spark):
+    """Planted random strings of every encoding and length among names and counters that are as long."""
+    rng, digits = np.random.default_rng(12), "0123456789"
+    b64 = [x[2] for x in secret_scan.ENCODINGS]
+    words = ["get", "User", "Account", "name", "By", "List", "item", "count", "Default", "page", "index", "Order", "total", "Map"]
+    planted, rows, ids = [], [], iter(range(10**6))
+    for _ in range(500):
+        k = int(rng.integers(0, 3))
+        value = "".join(rng.choice(list(b64[k]), int(rng.integers(24, 64)))).replace("/", "Z").replace("+", "9")
+        if any(c in value for c in digits) and (k or any(c > "9" for c in value)):
+            value = value.upper() if k == 0 else value  # lower-case hex is a base pattern
+            planted.append((i := next(ids), value))
+            rows.append((i, f"see {value} there"))
+    for _ in range(500):
+        name = "_".join(rng.choice(words, 8)) + str(rng.integers(0, 99)) if rng.random() < 0.7 else "-".join(["0000", "1111", "2222"] * 4) + "ABAB" * int(rng.integers(1, 5))
+        rows.append((next(ids), f"call {name} there"))
+    got = {(r["doc_id"], s["start"]) for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r["random"]}
+    right = sum((i, 4) in got for i, _ in planted)
+    assert right >= 0.9 * len(planted) and len(got) - right <= 0.1 * len(got), (right, len(planted), len(got))
+
+
+def test_many_matches(spark):
+    hexes = " ".join(f"é{i:016x}" for i in range(20000))
+    got = secret_scan.scan(spark.createDataFrame([(1, hexes)], "doc_id long, text string")).first()["base"]
+    want = [m.span() for m in re.finditer("[0-9a-f]{16,}", hexes)]
+    assert [(s["start"], s["stop"]) for s in got] == want
+
+
+def test_personal_data_by_votes(spark):
+    """Loose kinds beside contexts are found, chapter and part numbers of the same shape are left."""
+    r = np.random.default_rng(4)
+    rows, mine = [], set()
+    for i in range(600):
+        a, b, c = r.integers(200, 899), r.integers(200, 999), r.integers(1000, 9999)
+        kind, of = i % 3, i % 2
+        if kind == 0:
+            text = f"please call my phone {a}-{b}-{c} today" if of else f"see version 1{a % 100:02d}.1{b % 100:02d} {c}, page 1{a % 100:02d}-1{b % 100:02d}-{c}"
+        elif kind == 1:
+            text = f"her social security ssn is {a % 665 + 1:03d}-{b % 99 + 1:02d}-{c}" if of else f"issue 000-{b % 99 + 1:02d}-{c} of the section"
+        else:
+            text = f"contact mail j{a} (at) host{b} (dot) com" if of else f"mail x@host{b}.com and 10.0.{b % 255}.7"
+        rows.append((i, text))
+        if of:
+            mine.add(i)
+    got = {x["doc_id"] for x in pii_votes.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in x["spans"] if s["kind"] >= pii_votes.BASE}
+    assert len(got & mine) >= 0.9 * len(mine) and len(got - mine) <= 0.05 * len(got), (len(got & mine), len(mine), len(got - mine))
+
+
+def test_ids_beside_nulls(spark, tmp_path):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, "mail a@b.com now", big), (None, "x", None), (4, None, big + 2)], "doc_id long, text string, other long").coalesce(1)
+    ids = lambda rows: sorted(str(x["doc_id"]) for x in rows)
+    want = sorted(map(str, (big, None, 4)))
+    assert ids(simhash_dedup.fingerprints(df).collect()) == want == ids(pii_votes.detect(df).collect())
+    assert sorted(str(x["other"]) for x in pii_votes.redact(df).collect()) == sorted(map(str, (big, None, big + 2)))
+    pages = df.selectExpr("doc_id as page_id", "text as url", "text as html")
+    warc_archive.write_archives(pages, str(tmp_path / "w"))
+    assert sorted(str(x["record_id"]) for x in warc_archive.read_archives(spark, str(tmp_path / "w")).collect()) == sorted(map(str, (big, "", 4)))
+
+
+def test_chat_parts_make_no_control_strings(spark):
+    part = lambda *xs: [(k, t, None, None) if k == "text" else (k, None, t, 1) for k, t in xs]
+    rows = [(1, 0, "user", part(("text", "a<"), ("text", "/s>[INST"), ("text", "] b"))), (1, 1, "assistant", part(("text", "ok [/IN"), ("text", "ST]<"), ("text", "/s> more"), ("video", "v1"), ("text", "<"), ("image", "i1"), ("text", "/s>")))]
+    chats = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, content " + chat_format.PART)).select("*", chat_format.read_turns(F.col("formatted")).alias("turns")).first()
+    assert [(t["role"], t["text"]) for t in chats["turns"]] == [("user", "a</s>[INST] b"), ("assistant", "ok [/INST]</s> more[PART]1[/PART]<[IMAGE]2[/IMAGE]/s>")]
+    assert [(a["number"], a["type"], a["ref"], a["tokens"]) for a in chats["attachments"]] == [(1, "video", "v1", 0), (2, "image", "i1", 256)]
+
+
+def test_warc_many_members_and_bad_headers():
+    members = [warc_archive.member(warc_archive.record_bytes(str(i), "u", b"x" * 500)) for i in range(32000)]
+    began = time.time()
+    assert sum(g[2] is None for g in warc_archive.salvage(b"".join(members))) == 32000 and time.time() - began < 10
+    began = time.time()
+    assert sum(g[2] is None for g in warc_archive.salvage(b"\x1f\x8b\x08junk" * 50000 + members[0])) == 1 and time.time() - began < 10
+    bad = warc_archive.record_bytes("1", "u", b"payload", "2").replace(b"Content-Length: 7\r\n\r\n", b"Content-Length: x\r\n\r\n")
+    bad = bad.replace(warc_archive._sha1(b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 7\r\n\r\n").encode(), b"none")
+    got = pd.concat(warc_archive._read(iter([pd.DataFrame({"path": ["p"], "content": [bad]})])))
+    assert list(got["kind"]) == ["record"] and got["payload_bytes"].isna().all()
+
+
 def test_personal_data(spark, empty):
     text = "mail: j.doe@mail.example.com, ip 10.0.0.300 and 10.0.0.30 card 4111 1111 1111 1111 call +49 (30) 1234-5678. phone 555-123-4567 " + "a" * 3000 + " 1" * 40
     rows = spark.createDataFrame([(1, text, 4), (2, None, 0), (3, "clean text", 10)], "doc_id long, text string, n_chars long")

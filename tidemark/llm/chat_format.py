@@ -2,25 +2,27 @@
 
 A row is a turn: conversation, order, role and content, an array of typed parts (type, text, ref, units). A visitor
 flattens the parts in order: text stays, image, audio and document parts become placeholders that carry their number in
-the conversation, and the attachment's reference and expanded token count (units times tokens a unit) are recorded.
+the conversation, and the attachment's reference and expanded token count (units times tokens a unit) are recorded. Parts of
+other types become placeholders [PART] of no tokens, so that their references stay.
 
 Template, per turn: `[ROLE]` role `[/ROLE]`, then `[INST] ` text ` [/INST]`, or for the assistant `[OUT] ` text `</s>`;
 `<s>` opens a conversation. Control strings inside roles and texts are escaped: a backslash goes behind their first
 character, and one more where backslashes are there already. Undoing it takes one off, so any text survives.
 
 Nulls: null roles and texts are empty, null parts are left out; null turns come first, a null conversation is one of its
-own. Equal turns of a conversation are ordered by role and text, and repeated rows stay. Other columns are ignored.
+own. Equal turns of a conversation are ordered by role, text and content, and repeated rows stay. Very long texts are formatted
+whole. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 
 #: What may follow the first character of a control string, and tokens that one unit of a part expands to.
-CONTROL = r"/?(?:s>|INST\]|OUT\]|ROLE\]|IMAGE\]|AUDIO\]|DOCUMENT\])"
+CONTROL = r"/?(?:s>|INST\]|OUT\]|ROLE\]|IMAGE\]|AUDIO\]|DOCUMENT\]|PART\])"
 TOKENS_PER_UNIT = {"image": 256, "audio": 50, "document": 512}
 PART = "array<struct<type:string,text:string,ref:string,units:bigint>>"
 
@@ -38,37 +40,52 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("units"))).cast(PART)
 
 
+def _media(part: Column) -> Column:
+    """Whether a part is an attachment: all but text (or no type) is."""
+    return F.coalesce(part["type"], F.lit("text")) != "text"
+
+
 def _visit(content: Column, before: Column) -> Column:
-    """The parts of a turn in one escaped string. before: attachments in earlier turns, for numbering."""
-    media = lambda p: p["type"].isin(*TOKENS_PER_UNIT)
-    number = lambda i: before + F.size(F.filter(F.slice(content, 1, i + 1), media))
-    mark = lambda p, i: F.concat(F.lit("["), F.upper(p["type"]), F.lit("]"), number(i).cast("string"), F.lit("[/"), F.upper(p["type"]), F.lit("]"))
-    return F.array_join(F.transform(content, lambda p, i: F.when(media(p), mark(p, i)).otherwise(escape(F.coalesce(p["text"], F.lit(""))))), "")
+    """The parts of a turn in one string. Text between attachments is escaped as a whole, so that no control string is made
+    up of parts. before: attachments in earlier turns, for numbering."""
+    at = F.filter(F.transform(content, lambda p, i: F.when(_media(p), i)), lambda i: i.isNotNull())
+    name = lambda p: F.when(p["type"].isin(*TOKENS_PER_UNIT), F.upper(p["type"])).otherwise(F.lit("PART"))
+    mark = lambda p, k: F.concat(F.lit("["), name(p), F.lit("]"), (before + k + 1).cast("string"), F.lit("[/"), name(p), F.lit("]"))
+
+    def run(k: Column) -> Column:
+        low, high = F.when(k > 0, F.get(at, k - 1) + 1).otherwise(F.lit(0)), F.coalesce(F.get(at, k), F.size(content))
+        text = escape(F.array_join(F.transform(F.slice(content, low + 1, high - low), lambda p: F.coalesce(p["text"], F.lit(""))), ""))
+        return F.when(k < F.size(at), F.concat(text, mark(F.get(content, high), k))).otherwise(text)
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(at)), run), "")
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, content) to a row a conversation: formatted, mask (array of start, length in code
-    points of what the loss is taken over), attachments (number, type, ref, tokens), n_turns."""
+    points of what the loss is taken over), attachments (number, type, ref, tokens), n_turns.
+
+    Numbers and places are running sums over a conversation's turns, so that its cost is linear in them. The rows of a
+    conversation meet once, as its result is one row.
+    """
     clean = F.filter(F.coalesce("content", F.array().cast(PART)), lambda p: p.isNotNull())
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), clean.alias("content"))
+    rows = turns.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-(2**63))).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), clean.alias("content"))
     key = F.array_join(F.transform("content", lambda p: F.coalesce(p["text"], p["ref"], F.lit(""))), "")
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-(2**63))).alias("turn"), "role", key.alias("key"), "content"))).alias("turns"))
-    media = lambda t: F.filter(t["content"], lambda p: p["type"].isin(*TOKENS_PER_UNIT))
-    listed = F.flatten(F.transform("turns", media))
-    attach = F.transform(listed, lambda p, i: F.struct((i + 1).cast("long").alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), (F.coalesce(p["units"], F.lit(1)) * F.coalesce(F.create_map(*[F.lit(x) for kv in TOKENS_PER_UNIT.items() for x in kv])[p["type"]], F.lit(0))).cast("long").alias("tokens")))
-    df = grouped.withColumn("attachments", attach)
-    earlier = lambda i: F.size(F.flatten(F.transform(F.slice("turns", 1, i), media)))
-    body = lambda t, i: F.when(F.size(media(t)) == 0, _visit(t["content"], F.lit(0))).otherwise(_visit(t["content"], earlier(i)))
-    df = df.withColumn("pieces", F.transform("turns", lambda t, i: F.struct((t["role"] == "assistant").alias("own"), F.concat(F.when(i == 0, F.lit("<s>")).otherwise(F.lit("")), F.lit("[ROLE]"), escape(t["role"]), F.lit("[/ROLE]"), F.when(t["role"] == "assistant", F.lit("[OUT] ")).otherwise(F.lit("[INST] "))).alias("head"), body(t, i).alias("body"), F.when(t["role"] == "assistant", F.lit("</s>")).otherwise(F.lit(" [/INST]")).alias("tail"))))
-    length = lambda p: F.char_length(p["head"]) + F.char_length(p["body"]) + F.char_length(p["tail"])
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def step(a: Column, p: Column) -> Column:
-        span = F.struct((a["at"] + F.char_length(p["head"])).cast("long").alias("start"), F.char_length(p["body"]).cast("long").alias("length"))
-        return F.struct((a["at"] + length(p)).cast("long").alias("at"), F.when(p["own"], F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
-
-    df = df.withColumn("formatted", F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), ""))
-    return df.select("conv_id", "formatted", F.aggregate("pieces", zero, step)["spans"].alias("mask"), "attachments", F.size("turns").cast("long").alias("n_turns"))
+    own = Window.partitionBy("conv_id").orderBy("turn", "role", "key", "content")
+    earlier = own.rowsBetween(Window.unboundedPreceding, -1)
+    media = F.filter("content", _media)
+    rows = rows.withColumn("key", key).withColumn("n_media", F.size(media)).withColumn("at", F.row_number().over(own)).withColumn("before", F.coalesce(F.sum("n_media").over(earlier), F.lit(0)))
+    said = F.col("role") == "assistant"
+    head = F.concat(F.when(F.col("at") == 1, F.lit("<s>")).otherwise(F.lit("")), F.lit("[ROLE]"), escape(F.col("role")), F.lit("[/ROLE]"), F.when(said, F.lit("[OUT] ")).otherwise(F.lit("[INST] ")))
+    rates = F.create_map(*[F.lit(x) for kv in TOKENS_PER_UNIT.items() for x in kv])
+    attach = F.transform(media, lambda p, i: F.struct((F.col("before") + i + 1).cast("long").alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), (F.coalesce(p["units"], F.lit(1)) * F.coalesce(rates[p["type"]], F.lit(0))).cast("long").alias("tokens")))
+    body = F.when(F.col("n_media") == 0, escape(F.array_join(F.transform("content", lambda p: F.coalesce(p["text"], F.lit(""))), ""))).otherwise(_visit(F.col("content"), F.col("before")))
+    rows = rows.select("conv_id", "turn", "role", "key", "content", "at", said.alias("own"), head.alias("head"), body.alias("body"), F.when(said, F.lit("</s>")).otherwise(F.lit(" [/INST]")).alias("tail"), attach.alias("attach"))
+    length = F.char_length("head") + F.char_length("body") + F.char_length("tail")
+    rows = rows.withColumn("begin", F.coalesce(F.sum(length.cast("long")).over(earlier), F.lit(0)) + F.char_length("head"))
+    piece = F.struct("at", F.concat("head", "body", "tail").alias("text"), "own", F.struct(F.col("begin").alias("start"), F.char_length("body").cast("long").alias("length")).alias("span"), "attach")
+    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    mask = F.transform(F.filter("p", lambda x: x["own"]), lambda x: x["span"])
+    return grouped.select("conv_id", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("formatted"), mask.alias("mask"), F.flatten(F.transform("p", lambda x: x["attach"])).alias("attachments"), F.size("p").cast("long").alias("n_turns"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -98,8 +115,8 @@ SQL = r"""
 with r as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e as (select *, regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]|OUT\]|ROLE\]|IMAGE\]|AUDIO\]|DOCUMENT\]))', '\1\\\2\3', 'g') as t,
-  regexp_replace(role, '([<\[])(\\*)(/?(?:s>|INST\]|OUT\]|ROLE\]|IMAGE\]|AUDIO\]|DOCUMENT\]))', '\1\\\2\3', 'g') as o from r)
+e as (select *, regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]|OUT\]|ROLE\]|IMAGE\]|AUDIO\]|DOCUMENT\]|PART\]))', '\1\\\2\3', 'g') as t,
+  regexp_replace(role, '([<\[])(\\*)(/?(?:s>|INST\]|OUT\]|ROLE\]|IMAGE\]|AUDIO\]|DOCUMENT\]|PART\]))', '\1\\\2\3', 'g') as o from r)
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, saved, sized_broadcast
+from tidemark.llm.common import components, saved, sized_broadcast, sliced
 from tidemark.llm.simhash_dedup import RADIUS, links, majority
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -81,9 +81,7 @@ ROWS_OUT = "doc_id long, th long, form long, m int, fp long, s1 long, s2 long, k
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in sliced(batches):
         sets = [shingles(x) for x in batch.column("text").to_pylist()]
         form = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
         fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
@@ -93,7 +91,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         sets = [shingles(x).tobytes() for x in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("form"), pa.array(sets, pa.binary())], ["form", "s"])
 
@@ -102,7 +100,7 @@ def _alike(similarity: float):
     """The pairs (a, b, sa, sb) whose sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)

@@ -3,7 +3,8 @@
 Patterns give base spans (email, ip, card, phone), which always stay. Beside them, looser finders give candidates (mail
 addresses in words, phone numbers without +, social security and IBAN numbers, hexadecimal IPs). On each candidate three
 kinds of labelers vote for, against or not at all: patterns, gazetteers (top-level domains, dialling codes, IBAN
-countries, card prefixes, reserved blocks) and context words around it. The votes of all base spans and candidates are
+countries, card prefixes, reserved blocks) and context words around it. The pattern labeler judges the form of a find, base
+spans' too, so it doesn't restate the kind. The votes of all base spans and candidates are
 counted by pattern, a table whose size depends on the labelers alone; expectation-maximisation over these counts (Dawid
 and Skene) estimates each labeler's reliability, and the resulting probabilities train a logistic span classifier,
 again over the counts. Candidates with a probability of ACCEPT or more become spans.
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from tidemark.llm.common import free_name, saved, table
+from tidemark.llm.common import free_name, saved, sliced, table
 
 KINDS = ("email", "ip", "card", "phone", "email_words", "phone_local", "ssn", "iban", "ip6")
 BASE = 4
@@ -36,6 +37,7 @@ ACCEPT, ROUNDS, NEAR = 0.9, 50, 40
 TLDS = frozenset("com org net edu gov io info biz eu uk de fr es it nl se no pl ch at us ca au jp cn in br mx ru example test".split())
 DIALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 92 351 352 353 358 420 421".split())
 IBAN_COUNTRIES = frozenset("AT BE CH CZ DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
 CARD_PREFIXES = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "2221", "2720", "35", "36", "38")
 CONTEXT = {
     "email": ("mail", "contact", "correo", "courriel", "write", "schreib"), "ip": ("ip", "address", "host", "server", "client"), "card": ("card", "visa", "credit", "carte", "karte", "tarjeta", "amex"), "phone": ("tel", "phone", "call", "fax", "mobil", "ruf"),
@@ -57,6 +59,24 @@ LOOSE = {
 }
 
 
+def _one_gap(value: str) -> bool:
+    return len(set(re.sub(r"[0-9()]", "", value))) == 1
+
+
+#: The pattern labeler: what a careful writer's form of each kind looks like.
+FORMS = {
+    "email": lambda v, d: int(re.search(r"[A-Za-z0-9]@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$", v) is not None and ".." not in v),
+    "ip": lambda v, d: int(not re.search(r"(^|\.)0[0-9]", v)),
+    "card": lambda v, d: 1 if len(d) in (15, 16) else 2,
+    "phone": lambda v, d: 1 if len(d) >= 10 else 2,
+    "email_words": lambda v, d: 1 if re.search(r"\(at\).*(\(dot\)|\.)|\[at\].*(\[dot\]|\.)", v) else 2,
+    "phone_local": lambda v, d: int(_one_gap(v) or v.startswith("(")),
+    "ssn": lambda v, d: 1,
+    "iban": lambda v, d: int(IBAN_LENGTHS.get(v[:2]) == len(v.replace(" ", ""))),
+    "ip6": lambda v, d: 1 if re.search("[a-f]", v) else 2,
+}
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -113,7 +133,7 @@ def votes(text: str, kind: int, start: int, end: int) -> int:
     name, value = KINDS[kind], text[start:end]
     before, after = text[max(0, start - NEAR) : start].lower(), text[end : end + 12].lower()
     digits = re.sub(r"[^0-9]", "", value)
-    pattern = 1 if kind < BASE else 2
+    pattern = FORMS[name](value, digits)
     if name in ("email", "email_words"):
         gazetteer = int((re.findall("[a-z]+", value.lower()) or [""])[-1] in TLDS)
     elif name == "ip":
@@ -148,7 +168,7 @@ def _scan(fields: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([(x, pa.int32()) for x in ("kind", "start", "stop", "votes")]))
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text in batch.column(0).to_pylist():
                 text = text or ""
@@ -192,6 +212,10 @@ def reliabilities(kinds: np.ndarray, codes: np.ndarray, n: np.ndarray, rounds: i
         if np.abs(new - p).max() < 1e-9:
             break
         p = new
+    # classes have no names in EM: personal is the one whose members get more votes for
+    votes_for = theta[:, :, 1] / np.maximum(theta[:, :, :2].sum(axis=2), 1e-12)
+    if votes_for[1].mean() < votes_for[0].mean():
+        p, theta = 1 - p, theta[::-1]
     return p, theta
 
 
@@ -213,6 +237,12 @@ def detect(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     return rows.select("doc_id", accepted(rows, found, accept).alias("spans"))
 
 
+def rated(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
+    """Like detect, with q in each span: the classifier's probability that it is personal."""
+    rows, found = scanned(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"])
+    return rows.select("doc_id", accepted(rows, found, accept, rate=True).alias("spans"))
+
+
 def model(rows: DataFrame, found: str) -> pd.DataFrame:
     """kind, votes, n, p (EM) and q (classifier) of every combination that occurs: at most kinds x 3^labelers rows."""
     counts = rows.where(F.size(found) > 0).select(F.explode_outer(found).alias("f")).groupBy("f.kind", "f.votes").agg(F.count("*").alias("n")).orderBy("kind", "votes").toPandas()
@@ -223,12 +253,15 @@ def model(rows: DataFrame, found: str) -> pd.DataFrame:
     return counts.assign(p=p, q=train(kinds, codes, n.astype(float), p))
 
 
-def accepted(rows: DataFrame, found: str, accept: float = ACCEPT) -> Column:
-    """The base spans, and the others that the classifier takes."""
+def accepted(rows: DataFrame, found: str, accept: float = ACCEPT, rate: bool = False) -> Column:
+    """The base spans, and the others that the classifier takes; with rate, their probabilities too."""
     fitted = model(rows, found)
     good = [int(k) * 1000 + int(v) for k, v, q in zip(fitted["kind"], fitted["votes"], fitted["q"], strict=True) if k >= BASE and q >= accept]
     keep = F.filter(found, lambda s: (s["kind"] < BASE) | ((s["kind"] * 1000 + s["votes"]).isin(good) if good else F.lit(False)))
-    return F.array_sort(F.transform(keep, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))))
+    told = {int(k) * 1000 + int(v): float(q) for k, v, q in zip(fitted["kind"], fitted["votes"], fitted["q"], strict=True)}
+    q = F.create_map(*[F.lit(x) for kv in told.items() for x in kv]) if told else F.create_map(F.lit(-1), F.lit(0.0))
+    more = lambda s: [q[s["kind"] * 1000 + s["votes"]].alias("q")] if rate else []
+    return F.array_sort(F.transform(keep, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), *more(s))))
 
 
 def redact(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
@@ -252,6 +285,6 @@ def listed(found: Column) -> Column:
 
 
 def op7_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect(table(spark, sf_dir, "documents"))
+    found = rated(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in KINDS[:BASE]], F.sha2(listed(F.filter("spans", lambda s: s["kind"] < BASE)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in KINDS[:BASE]], F.sha2(listed(F.filter("spans", lambda s: s["kind"] < BASE)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: F.format_string("%.3f", s["q"])), ",").alias("probabilities"))

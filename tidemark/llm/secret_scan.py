@@ -1,15 +1,22 @@
 """Operator 6 [native]: secrets by patterns and by a battery of randomness tests.
 
 Patterns give spans of three kinds (assign, access, hex). Beside them, every run of 24 or more base64, base32 or hex
-characters is a candidate. Its encoding is inferred, its characters become numbers, and three tests ask whether they look
-uniformly random: chi-squared over the alphabet, runs above and below the middle, and serial correlation at lag 1. The
-least of the p-values, times three, is the battery's. Benjamini-Hochberg at rate FDR, within each encoding and length
-class, says which candidates are not random; the others are spans of kind `random`. Short candidates, for which the
-battery has no power, are no spans. p-values are counted in bins, so that the correction is exact over the bins and the
-counts are bounded by classes times bins.
+characters with a digit, and with = only at its end, that touches no such span is a candidate. Its encoding is inferred, its
+characters become numbers, and three tests ask whether they look uniformly random: chi-squared over the alphabet
+(Wilson-Hilferty, with the variance that few characters have), runs above and below the middle, and serial correlation at
+lag 1. The battery's p-value is 1 - (1 - least)^3: uniform for random strings, near 0 for others.
+
+A find is a claim that a string is random, so the control is of false finds: in each class of encoding and length (by powers
+of two), strings with p of 0.5 or more are taken to be random, and tell how many random ones lie anywhere (Storey's
+estimate); what is above that at a cutoff isn't random. The least cutoff at which the others are at most FDR of all above it
+decides; what passes is a span of kind `random`. p-values are counted in bins, so the counts are bounded by classes and bins.
+
+A random string of 24 characters has no digit with probability 0.018 in base64, 0.007 in base32 and 1e-10 in hex; of those and of shorter ones
+nothing is found.
 
 Nulls: a null text is empty: counts 0, digest of the empty string, empty spans; null doc_ids stay. Repeated rows are
-counted and returned as often as they occur. Other columns are ignored; an empty table gives an empty result.
+counted and returned as often as they occur. Spans that begin together are in order of kind. Very long texts are read whole;
+positions are summed up in pieces of PIECE matches. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,33 +31,44 @@ from tidemark.llm.common import saved, table
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # the runs of [0-9a-f]+ with 16 characters or more
-RUN = r"[A-Za-z0-9+/_=-]{24,}"
+RUN = r"[A-Za-z0-9+/_-]{24,}={0,2}"
 MIN_ASSIGN, MIN_ACCESS = 12, 18
-FDR, BINS, PER_NEPER = 0.05, 200, 4
-#: Encodings: name, what a candidate must look like, alphabet, least length.
+FDR, BINS, PIECE = 0.05, 200, 128
+#: Encodings: name, what a candidate must look like, alphabet.
 ENCODINGS = (
-    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 32),
-    ("base32", r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32),
-    ("base64", r"^[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 28),
+    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
+    ("base32", r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("base64", r"^[A-Za-z0-9+/_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
 KINDS = ("assign", "access", "hex", "random")
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
 def spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
-    """The pattern's matches that `keep` accepts, with code point positions: what lies between matches tells where they are."""
+    """The pattern's matches that `keep` accepts, with code point positions: what lies between matches tells where they are.
+
+    Positions are summed up within pieces of PIECE matches, and over pieces, as an array that grows match by match is copied each time.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    zipped = F.zip_with(F.slice(between, 1, F.size(hits)), hits, lambda g, h: F.struct(F.char_length(g).alias("gap"), F.char_length(h).alias("len"), (F.lit(True) if keep is None else keep(h)).alias("good")))
+    longs, none = "array<int>", F.array().cast(SPAN)
+    last = lambda a: F.coalesce(F.element_at(a, -1), F.lit(0))
+
+    def listed_from(pieces: Column) -> Column:
+        ends = F.aggregate(pieces, F.array(F.lit(0)).cast(longs), lambda a, p: F.concat(a, F.array(last(a) + F.aggregate(p, F.lit(0), lambda n, z: n + z["gap"] + z["len"]))))
 
-    def step(a: Column, z: Column) -> Column:
-        start = a["at"] + F.char_length(z["gap"])
-        stop = start + F.char_length(z["hit"])
-        one = F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), stop.alias("stop")))
-        return F.struct(stop.alias("at"), (F.concat(a["out"], one) if keep is None else F.when(keep(z["hit"]), F.concat(a["out"], one)).otherwise(a["out"])).alias("out"))
+        def step(a: Column, z: Column) -> Column:
+            start = a["at"] + z["gap"]
+            stop = start + z["len"]
+            one = F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), stop.alias("stop")))
+            return F.struct(stop.alias("at"), F.when(z["good"], F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
 
-    zipped = F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("gap"), hits.alias("hit"))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, zero, step)["out"]).otherwise(F.array().cast(SPAN))
+        inner = F.zip_with(pieces, F.slice(ends, 1, F.size(pieces)), lambda p, at: F.aggregate(p, F.struct(at.alias("at"), none.alias("out")), step)["out"])
+        return F.flatten(inner)
+
+    cut = F.transform(F.array(zipped), lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / PIECE).cast("int")), lambda i: F.slice(z, i * PIECE + 1, PIECE)))[0]
+    return F.when(text.rlike(pattern), F.transform(F.array(cut), listed_from)[0]).otherwise(none)
 
 
 def _normal_tail(z: Column) -> Column:
@@ -61,6 +79,11 @@ def _normal_tail(z: Column) -> Column:
     return F.greatest(F.exp(-x * x / 2) * 0.7978845608028654 * poly, F.lit(1e-300))
 
 
+def _upper_tail(z: Column) -> Column:
+    """P(Z > z)."""
+    return F.when(z >= 0, _normal_tail(z) / 2).otherwise(1 - _normal_tail(z) / 2)
+
+
 def _codes(chars: Column, alphabet: str) -> Column:
     return F.transform(chars, lambda c: F.call_function("instr", F.lit(alphabet), c) - 1)
 
@@ -70,7 +93,7 @@ def battery(value: Column) -> Column:
     code = F.when(value.rlike(ENCODINGS[0][1]), 0).when(value.rlike(ENCODINGS[1][1]), 1).otherwise(2)
     result = None
     for i in reversed(range(len(ENCODINGS))):
-        _, _, alphabet, _ = ENCODINGS[i]
+        _, _, alphabet = ENCODINGS[i]
         k = len(alphabet)
         plain = F.rtrim(value, F.lit("=")) if i else F.lower(value)
         plain = F.translate(plain, "-_=", "+/+") if i == 2 else plain
@@ -86,9 +109,9 @@ def _tests(codes: Column, k: int, i: int) -> Column:
     counts = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda s: F.size(F.filter(codes, lambda c: c == s)).cast("double"))
     chi = total(F.transform(counts, lambda c: c * c)) * k / n - n
     df = k - 1
-    # against its mean and variance under uniformity, which hold for few characters too; only too much counts
-    z_chi = (chi - df) / F.sqrt(2.0 * df * (n - 1) / n)
-    p_chi = F.when(z_chi <= 0, F.lit(1.0)).otherwise(_normal_tail(z_chi) / 2 + F.exp(-F.abs(z_chi) * 1.2) / 4)
+    # Wilson and Hilferty's cube root; few characters have less variance, which makes for more degrees of freedom
+    spread = 2 / (9 * (df * n / (n - 1)))
+    p_chi = _upper_tail((F.pow(chi / df, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
     high = F.transform(codes, lambda c: F.when(c >= k // 2, 1.0).otherwise(0.0))
     n1 = total(high)
     n0 = n - n1
@@ -99,20 +122,22 @@ def _tests(codes: Column, k: int, i: int) -> Column:
     mid = (k - 1) / 2
     lagged = total(F.transform(codes, lambda c, j: F.when(j > 0, (c - mid) * (F.get(codes, j - 1) - mid)).otherwise(0.0)))
     p_serial = _normal_tail(lagged / (F.sqrt(n - 1) * ((k * k - 1) / 12)))
-    return F.struct(F.lit(i).alias("code"), F.size(codes).alias("n"), F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)).alias("p"))
+    return F.struct(F.lit(i).alias("code"), F.size(codes).alias("n"), (1 - F.pow(1 - F.least(F.lit(1.0), p_chi, p_runs, p_serial), F.lit(3))).alias("p"))
 
 
 def cutoffs(counts: list, fdr: float = FDR) -> dict[tuple[int, int], int]:
-    """Benjamini-Hochberg for each class: the least bin (-log p, in bins) that is rejected; no entry if none is."""
+    """For each class the least bin of p from which at most `fdr` of the candidates aren't random; no entry if there is none."""
     by = defaultdict(dict)
     for code, size, b, n in counts:
-        by[code, size][b] = n
+        by[code, size][b] = by[code, size].get(b, 0) + n
     out = {}
     for key, bins in by.items():
-        m, seen = sum(bins.values()), 0
-        for b in sorted(bins, reverse=True):
-            seen += bins[b]
-            if 2.718281828459045 ** (-b / PER_NEPER) <= fdr * seen / m:
+        random = 2 * sum(n for b, n in bins.items() if 2 * b >= BINS)  # expected in all, as half of them lie there
+        above = 0
+        for b in range(BINS - 1, -1, -1):
+            above += bins.get(b, 0)
+            false = above - random * (1 - b / BINS)
+            if random and false <= fdr * above:
                 out[key] = b
     return out
 
@@ -123,17 +148,18 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     group2 = lambda h: F.char_length(F.regexp_extract(h, ASSIGN, 2)) >= MIN_ASSIGN
     df = docs.select("doc_id", text.alias("text"))
     df = df.select("doc_id", "text", spans(F.col("text"), ASSIGN, "assign", group2).alias("a"), spans(F.col("text"), ACCESS, "access", lambda h: F.char_length(h) >= MIN_ACCESS).alias("k"), spans(F.col("text"), HEX, "hex").alias("h"), spans(F.col("text"), RUN, "random", lambda h: h.rlike("[0-9]")).alias("c"))
+    df = df.select("doc_id", "text", F.array_sort(F.concat("a", "k", "h")).alias("base"), "c")
+    alone = F.filter("c", lambda s: ~F.exists("base", lambda x: (x["start"] < s["stop"]) & (x["stop"] > s["start"])))
     value = lambda s: F.substring(F.col("text"), s["start"] + 1, s["stop"] - s["start"])
-    df = df.select("doc_id", F.array_sort(F.concat("a", "k", "h")).alias("base"), F.transform("c", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), value(s).alias("value"))).alias("c"))
+    df = df.select("doc_id", "base", F.transform(alone, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), value(s).alias("value"))).alias("c"))
     tested = F.transform("c", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), battery(s["value"]).alias("t")))
-    binned = F.transform("tested", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["t"]["code"].alias("code"), s["t"]["n"].alias("n"), F.floor(F.log2(F.greatest(s["t"]["n"], F.lit(1)))).cast("int").alias("size"), F.least(F.lit(BINS), F.floor(-F.log(s["t"]["p"]) * PER_NEPER)).cast("int").alias("bin")))
+    binned = F.transform("tested", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["t"]["code"].alias("code"), F.floor(F.log2(F.greatest(s["t"]["n"], F.lit(1)))).cast("int").alias("size"), F.least(F.lit(BINS - 1), F.floor(s["t"]["p"] * BINS)).cast("int").alias("bin")))
     df = df.select("doc_id", "base", tested.alias("tested")).select("doc_id", "base", binned.alias("c"))
     df = saved(df, "candidates")
     few = df.where(F.size("c") > 0).select(F.explode_outer("c").alias("c")).groupBy("c.code", "c.size", "c.bin").count().collect()  # at most encodings x log2(length) x bins
     cut = cutoffs([tuple(r) for r in few], fdr)
-    power = lambda s: F.when(s["code"] == 0, s["n"] >= ENCODINGS[0][3]).when(s["code"] == 1, s["n"] >= ENCODINGS[1][3]).otherwise(s["n"] >= ENCODINGS[2][3])
-    limit = F.create_map(*[x for (c, z), b in sorted(cut.items()) for x in (F.lit(c * 100 + z), F.lit(b))]) if cut else F.create_map(F.lit(-1), F.lit(BINS + 1))
-    random = F.filter("c", lambda s: power(s) & (s["bin"] < F.coalesce(limit[s["code"] * 100 + s["size"]], F.lit(BINS + 1))))
+    limit = F.create_map(*[x for (c, z), b in sorted(cut.items()) for x in (F.lit(c * 100 + z), F.lit(b))]) if cut else F.create_map(F.lit(-1), F.lit(BINS))
+    random = F.filter("c", lambda s: s["bin"] >= F.coalesce(limit[s["code"] * 100 + s["size"]], F.lit(BINS)))
     return df.select("doc_id", "base", F.transform(random, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), s["stop"].alias("stop"))).alias("random"))
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, saved, scratch, table
+from tidemark.llm.common import components, saved, scratch, sliced, table
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Keys with more fingerprints than this are dealt out as tiles (pairs of chunks), each in a task of its own.
@@ -56,7 +56,7 @@ def majority(h: np.ndarray) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ids pass as they are: pandas would make floats of longs beside nulls."""
-    for batch in batches:
+    for batch in sliced(batches):
         fp = np.fromiter((simhash(x) for x in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 

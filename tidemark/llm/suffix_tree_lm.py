@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import forget, forget_buckets, saved_at, saved_buckets, table
+from tidemark.llm.common import forget, forget_buckets, saved_at, saved_buckets, sliced, table
 
 #: A context's least occurrences: RATE times the root of all training tokens, and at least LEAST.
 RATE, LEAST, DEPTH, MU, CHUNK = 0.01, 20, 4, 2.0, 1 << 20
@@ -96,7 +96,7 @@ def _encode(size: int):
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([_chunk(part << 32 | k, docs, codes, ids)], kinds)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc, text, held in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "held")), strict=True):
                 found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
                 if docs and tokens + len(found) >= size:

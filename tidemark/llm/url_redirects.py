@@ -11,7 +11,8 @@ Links come from a table of redirects, if given, from canonical links and meta re
 page's url), and from the canonical form that a URL implies: no scheme, `www.` or `m.`, fragment, tracking parameter, `.html` or closing slash.
 
 Nulls: a null url, or one without `://`, has empty host and path, no rule and no aliases, and is allowed; a null page_id
-is kept. Repeated rows stay; other columns are ignored; an empty table gives an empty result.
+is kept. Repeated rows stay; other columns are ignored, whatever their names; an empty table gives an empty result. Rules of
+one length that both fit: the later in order of (host, path, verdict). Very long urls and html are read whole.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def html_links(html: Column, base: Column) -> Column:
     """URLs that the page at `base` names as its canonical address or refreshes to."""
     tag = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
     link = lambda x: F.when(x.rlike(r"(?i)rel\s*=\s*[\"']?canonical\b"), F.regexp_extract(x, r"(?i)href\s*=\s*[\"']?([^\"'\s>]+)", 1)).otherwise(F.when(x.rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh"), F.regexp_extract(x, r"(?i)url\s*=\s*[\"']?([^\"'\s>]+)", 1)))
-    return F.filter(F.transform(F.filter(F.transform(tag, link), lambda x: x != ""), lambda x: resolved(x, base)), lambda x: x.isNotNull())
+    return F.filter(F.transform(F.filter(F.transform(tag, link), lambda x: x != ""), lambda x: resolved(F.regexp_replace(x, "&amp;", "&"), base)), lambda x: x.isNotNull())
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, redirects: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,9 @@ reports the bytes between as a quarantined gap. Within a member's plain bytes it
 or fails its CRC, records before the last one begun are kept. No valid record after a gap is lost.
 
 Nulls: a null payload is empty; a null url is empty; a row with null id is always a response. Rows repeated with id and
-payload are all responses if theirs is the largest id. Other columns are ignored; an empty table writes no archive.
+payload are all responses if theirs is the largest id. Other columns are ignored, whatever their names; an empty table
+writes no archive. A very long payload is one record; an archive is read whole, so ROLL_BYTES bounds a reader's memory, a
+record beyond it apart. A revisit without a readable length has payload_bytes null.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved, scratch, sized_broadcast, table
+from tidemark.llm.common import saved, scratch, sized_broadcast, sliced, table
 
 REVISIT_BYTES = 1000
 ROLL_BYTES = 8 << 20
@@ -148,6 +151,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict | None, by
         return got, end, None
 
     at, gap, reason, size = 0, None, "", len(data)
+    ahead = [-1, -1]
     while at < size:
         try:
             got, end, error = read(at)
@@ -157,8 +161,11 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict | None, by
         except ValueError as e:
             if gap is None:
                 gap, reason = at, str(e)
-            following = [x for x in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if x >= 0]
-            at = min(following, default=size)
+            for i, mark in enumerate((MAGIC, VERSION)):  # a mark that lies ahead isn't searched for again
+                if ahead[i] <= at:
+                    found = data.find(mark, at + 1)
+                    ahead[i] = size if found < 0 else found
+            at = min(ahead)
             continue
         if gap is not None:
             yield gap, at, reason, None, None
@@ -181,7 +188,7 @@ def _urn(value: str | None) -> str | None:
 
 
 def _write(folder: str, roll: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         to, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
@@ -198,17 +205,16 @@ def _write(folder: str, roll: int):
             done.append((name, len(held), size))
             held, size = [], 0
 
-        for batch in batches:
-            for page, url, html, keep in zip(batch["id"], batch["url"], batch["payload"], batch["keep"], strict=True):
-                own = "" if pd.isna(page) else str(int(page))
-                refers = str(int(keep)) if not pd.isna(keep) and not pd.isna(page) and int(keep) != int(page) else None
-                held.append(member(record_bytes(own, url if isinstance(url, str) else "", (html if isinstance(html, str) else "").encode("utf-8", "surrogatepass"), refers)))
+        for batch in sliced(batches, 100):
+            for page, url, html, keep in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "payload", "keep")), strict=True):
+                refers = str(keep) if keep is not None and page is not None and keep != page else None
+                held.append(member(record_bytes("" if page is None else str(page), url or "", (html or "").encode("utf-8", "surrogatepass"), refers)))
                 size += len(held[-1])
                 if size >= roll:
                     roll_out()
         if held:
             roll_out()
-        yield pd.DataFrame(done, columns=["archive", "records", "bytes"])
+        yield pa.RecordBatch.from_pylist([dict(zip(("archive", "records", "bytes"), x, strict=True)) for x in done], pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
     return run
 
@@ -223,7 +229,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = rows.withColumn("sha", F.when(F.octet_length("payload") >= REVISIT_BYTES, F.unhex(F.sha1("payload"))))
     groups = saved(rows.where("sha is not null").groupBy("sha").agg(F.max("id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("sha", "keep"), "payload-groups")
     joined = rows.join(sized_broadcast(groups, BROADCAST_GROUPS), "sha", "left").select("id", "url", "payload", "keep")
-    return saved(joined.mapInPandas(_write(folder, roll), "archive string, records long, bytes long"), "manifest")
+    return saved(joined.mapInArrow(_write(folder, roll), "archive string, records long, bytes long"), "manifest")
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,7 +244,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 http, _, body = block.partition(b"\r\n\r\n")
                 kind, length = head.get("warc-type"), None
                 if kind == "revisit":
-                    length = next((int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+                    length = next((int(v) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:") and (v := x.partition(b":")[2].strip()).isdigit() and len(v) < 19), None)
                     digest, body = _hex(head.get("warc-payload-digest", "")), None
                 else:
                     digest, length = hashlib.sha1(body).hexdigest(), len(body)
