@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, saved, table, words
+from tidemark.llm.common import free_name, saved, sized_broadcast, table, words
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -32,6 +32,8 @@ EVEN = 8
 #: Documents of a hash bucket, on average, and slots of a stretch.
 BUCKET_DOCS, STRETCH = 2000, 4096
 MAX_SOURCES = 100_000
+#: With keep, results of up to so many rows (five numbers each) are broadcast to the documents; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 #: Cells of the unit interval in which sources are looked up.
 CELLS = 4096
 
@@ -115,7 +117,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, keep: bool =
     if not keep:
         return told.drop("row")
     names = {c: free_name(docs, c) for c in ("size", "source_size", "target", "taken")}
-    return whole.select("row", "doc").join(told.select("row", *names), "row").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns], *[F.col(c).alias(n) for c, n in names.items()])
+    told = sized_broadcast(saved(told.select("row", *names), "taken"), BROADCAST_ROWS)
+    return whole.select("row", "doc").join(told, "row").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns], *[F.col(c).alias(n) for c, n in names.items()])
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
