@@ -12,8 +12,9 @@ always. A sketch of 128 bits, each from one minimum, differs in 12.8 bits on ave
 bits (more than five standard deviations) are passed over. All others are compared exactly.
 
 A form is first compared with one partner alone, the nearest by sketch among the first forms of its keys; what that links is
-contracted, and then all pairs under a key that are not linked yet and whose sketches are near. So a large group of near
-copies gives few pairs, and none is left out.
+contracted, PARTNERS times more with another partner, and then all pairs under a key that are not linked yet, whose sketches are near, and whose shingles can be
+enough: the parities of how many shingles a set has in PARITY ranges bound from below in how many two sets differ. So a
+large group of near copies gives few pairs, and none is left out.
 
 Nulls: a null text is empty, a null doc_id is an id like any, last in order. Repeated rows are of one form. Very long texts
 are read whole; their sets are compared as arrays. Ties go to the least id, then the least hash. Other columns are ignored.
@@ -33,8 +34,8 @@ from tidemark.llm.common import components, saved, sized_broadcast, sliced
 from tidemark.llm.simhash_dedup import RADIUS, links, majority
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, FAR = 24, 5, 31
-SKETCH = 128
+BANDS, ROWS, FAR, PARTNERS = 24, 5, 31, 2
+SKETCH, PARITY = 128, 512
 #: Keys, or forms, up to this count are broadcast (a few longs each); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -77,7 +78,12 @@ def keys_and_sketch(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (key * np.uint64(0x94D049BB133111EB)).view(np.int64), np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
 
 
-ROWS_OUT = "doc_id long, th long, form long, m int, fp long, s1 long, s2 long, keys array<long>"
+def parity(s: np.ndarray) -> np.ndarray:
+    """Whether the set has an odd number of shingles in each of PARITY ranges, as longs: two sets differ in as many shingles at least."""
+    return np.packbits((np.bincount((s >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
+ROWS_OUT = "doc_id long, th long, form long, m int, fp long, s1 long, s2 long, keys array<long>, parity array<long>"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +93,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
         key, sketch = keys_and_sketch(np.stack([minima(s) for s in sets]))
         listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(key.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(form), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy()), listed], [x.split()[0] for x in ROWS_OUT.split(", ")])
+        odd = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (PARITY // 64)), pa.array(np.concatenate([parity(s) for s in sets])))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(form), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy()), listed, odd], [x.split()[0] for x in ROWS_OUT.split(", ")])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +120,6 @@ def _alike(similarity: float):
 
 def _similar(pairs: DataFrame, forms: DataFrame, base: DataFrame, twice: bool, similarity: float) -> DataFrame:
     """(src, dst) of the pairs of forms (a, b) at the similarity; only texts of forms in pairs are read again."""
-    pairs = saved(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("form")).union(pairs.select("b")).distinct()
     used = saved(forms.join(ids, "form", "left_semi").select("form", F.col("least.doc_id").alias("d"), F.col("least.th").alias("t")), "used")
     texts = base.join(sized_broadcast(used, BROADCAST_KEYS), (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("form", "text")
@@ -122,6 +128,13 @@ def _similar(pairs: DataFrame, forms: DataFrame, base: DataFrame, twice: bool, s
     return saved(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_alike(similarity), "src long, dst long"), "similar")
 
 
+def _open(keyed: DataFrame, near: DataFrame) -> DataFrame:
+    """Of keys whose forms aren't all linked: keyed with component and main, the largest under the key."""
+    placed = saved(keyed.join(components(near), keyed.form == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "form")), "placed")
+    main = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").select("key", "main")
+    return saved(placed.join(sized_broadcast(saved(main, "open-keys"), BROADCAST_KEYS), "key"), "open")
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, th, first_id, first_th): a row for each row of docs; th is the text's XXH64. The first of its group has
     the least doc_id (null last), then the least th."""
@@ -129,7 +142,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = R
     rows = saved(base.mapInArrow(_describe, ROWS_OUT), "rows")
     twice = not rows.groupBy("doc_id", "th").count().where("count > 1").isEmpty()
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    forms = saved(rows.groupBy("form").agg(F.min(rank).alias("least"), *[F.first(c).alias(c) for c in ("m", "fp", "s1", "s2", "keys")]), "forms")
+    forms = saved(rows.groupBy("form").agg(F.min(rank).alias("least"), *[F.first(c).alias(c) for c in ("m", "fp", "s1", "s2", "keys", "parity")]), "forms")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     apart = lambda x, y: F.bit_count(F.col(f"{x}s1").bitwiseXOR(F.col(f"{y}s1"))) + F.bit_count(F.col(f"{x}s2").bitwiseXOR(F.col(f"{y}s2")))
     close = lambda x, y: (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9)
@@ -145,15 +158,24 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = R
     first = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("form").alias("r"), "form", "m", "s1", "s2")).alias("p")).select("key", *[F.col(f"p.{c}").alias(f"f_{c}") for c in ("form", "m", "s1", "s2")])
     star = keyed.join(sized_broadcast(saved(first, "firsts"), BROADCAST_KEYS // 2), "key").where((F.col("form") != F.col("f_form")) & close("m", "f_m")).withColumn("bits", apart("", "f_")).where(F.col("bits") <= FAR)
     star = star.groupBy("form").agg(F.min(F.struct("bits", "f_form")).alias("best")).select(*pair("form", F.col("best.f_form")))
-    near = _similar(linked.union(shared).union(star).distinct(), forms, base, twice, similarity)
-    placed = saved(keyed.join(components(near), keyed.form == F.col("node"), "left").select("key", "form", "m", "s1", "s2", F.coalesce("component", "form").alias("component")), "placed")
-    # under each key, all that is outside its largest component meets all of other components
-    main = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").select("key", "main")
-    left = placed.join(sized_broadcast(saved(main, "open-keys"), BROADCAST_KEYS), "key")
-    left = saved(left, "open")
-    other = left.where("component <> main").select("key", *[F.col(c).alias(f"o_{c}") for c in ("form", "m", "s1", "s2", "component")])
-    rest = other.join(left, "key").where((F.col("o_component") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("o_form") < F.col("form"))) & close("m", "o_m") & (apart("", "o_") <= FAR))
-    more = _similar(rest.select(*pair("o_form", "form")).distinct(), forms, base, twice, similarity)
+    pairs = saved(linked.union(shared).union(star).distinct(), "pairs")
+    near = _similar(pairs, forms, base, twice, similarity)
+    named = [f"p{i}" for i in range(PARITY // 64)]
+    left = _open(keyed, near).join(forms.select("form", *[F.get("parity", F.lit(i)).alias(c) for i, c in enumerate(named)]), "form")
+    columns = ["form", "m", "component", "s1", "s2", *named]
+    renamed = lambda df: df.select("key", *[F.col(c).alias(f"o_{c}") for c in columns])
+    differ = F.lit(0)
+    for c in named:
+        differ = differ + F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}")))
+    may = (F.col("o_component") != F.col("component")) & close("m", "o_m") & (apart("", "o_") <= FAR) & (differ <= (1 - similarity) / (1 + similarity) * (F.col("m") + F.col("o_m")) + 1e-9)
+    for k in range(PARTNERS):  # again a partner each, the nearest of one from the largest component under each key
+        left = saved(left, "possible")
+        one = left.where("component = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("form", "key", F.lit(k)).alias("r"), *columns)).alias("p")).select("key", "p.*")
+        star = left.join(sized_broadcast(saved(renamed(one), "partners"), BROADCAST_KEYS // 4), "key").where(may).groupBy("form").agg(F.min(F.struct(differ.alias("d"), "o_form")).alias("best"))
+        near = near.union(_similar(saved(star.select(*pair("form", F.col("best.o_form"))).distinct(), "pairs"), forms, base, twice, similarity))
+        left = _open(left.drop("component", "main"), near)
+    rest = renamed(left.where("component <> main")).join(left, "key").where(may & ((F.col("component") == F.col("main")) | (F.col("o_form") < F.col("form"))))
+    more = _similar(saved(rest.select(*pair("o_form", "form")).distinct(), "rest"), forms, base, twice, similarity)
     member = saved(forms.select("form", "least").join(components(near.union(more)), F.col("form") == F.col("node"), "left").select("form", "least", F.coalesce("component", "form").alias("component")), "member")
     best = member.groupBy("component").agg(F.min("least").alias("first"))
     return rows.select("doc_id", "th", "form").join(member.select("form", "component"), "form").join(best, "component").select("doc_id", "th", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"))
