@@ -185,7 +185,7 @@ def test_secrets_found_and_left(spark):
 
 
 def test_many_matches(spark):
-    hexes = " ".join(f"é{i:016x}" for i in range(20000))
+    hexes = " ".join(f"é{i:016x}" for i in range(2000))
     got = secret_scan.scan(spark.createDataFrame([(1, hexes)], "doc_id long, text string")).first()["base"]
     want = [m.span() for m in re.finditer("[0-9a-f]{16,}", hexes)]
     assert [(s["start"], s["stop"]) for s in got] == want
