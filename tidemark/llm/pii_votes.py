@@ -185,7 +185,7 @@ def scanned(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, str]:
     rows = docs.select(F.col("text").alias("text"), *[F.col(f"`{c}`") for c in columns if c != "text"])
     fields = [*rows.columns, found]
     schema = StructType([*rows.schema.fields, StructField(found, _parse_datatype_string(FOUND))])
-    return saved(rows.mapInArrow(_scan(fields), schema), "pii"), found
+    return saved(rows.mapInArrow(_scan(fields), schema).select(*[F.col(f"`{c}`") for c in columns], found), "pii"), found
 
 
 def _open(codes: np.ndarray) -> np.ndarray:
