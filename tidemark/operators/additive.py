@@ -60,7 +60,7 @@ def design(pdf: pd.DataFrame, terms: list[Term], ranges: dict) -> np.ndarray:
 
 
 def gram(df: DataFrame, terms: list[Term], targets: list[str], ranges: dict, weight: str | None = None) -> dict[str, np.ndarray]:
-    """By target: [X y]'[X y] over its finite rows. Every task sends one matrix a target."""
+    """By target: [X y]'[X y] over its finite rows. Every task makes one matrix a target; Spark adds them up by place."""
     columns = [t.column for t in terms]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,11 +77,11 @@ def gram(df: DataFrame, terms: list[Term], targets: list[str], ranges: dict, wei
             yield pd.DataFrame({"target": list(total), "g": [g.reshape(-1) for g in total.values()]})
 
     rows = df.select(*{*columns, *targets, *([weight] if weight else [])}).mapInPandas(run, "target string, g array<double>")
-    out: dict[str, np.ndarray] = {}
-    for r in rows.collect():
-        g = np.array(r["g"])
-        out[r["target"]] = out.get(r["target"], 0) + g
-    return {t: g.reshape(int(len(g) ** 0.5), -1) for t, g in out.items()}
+    sums = rows.select("target", F.posexplode("g").alias("i", "v")).groupBy("target", "i").agg(F.sum("v").alias("v"))
+    out: dict[str, dict[int, float]] = {}
+    for r in sums.collect():  # a matrix for each target
+        out.setdefault(r["target"], {})[r["i"]] = r["v"]
+    return {t: np.array([g[i] for i in range(len(g))]).reshape(int(len(g) ** 0.5), -1) for t, g in out.items()}
 
 
 def penalty(terms: list[Term]) -> np.ndarray:

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import paths, scalars
+from tidemark.functions import paths, roles, scalars
 from tidemark.operators import additive, classify, features, linalg, quality, resample, tails, wide, zones
 from tidemark.operators.quantiles import quantiles
 from tidemark.operators.wide import HOURS
+from tidemark.sources import files as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -641,3 +642,118 @@ def hourly_batch(spark, d):
     from tidemark.streaming.hourly import hourly_counts
 
     return hourly_counts(table(spark, d, "events"), ["event_type"]).withColumn("hour_start", F.col("hour_start").cast("timestamp_ntz"))
+
+
+# --- resolvers, sizes, files: pieces of the runs, over fixed inputs ---------------------------------------------------
+
+OBJECTS = [*PATHS, "S3A://Bucket/deep/key.parquet", "s3://only", "/local/s3://x", "http://s3/b"]
+
+
+@query("with p as (select unnest(['" + "', '".join(OBJECTS) + "']) as path) select path, regexp_matches(path, '(?i)^s3a?://') as object, case when regexp_matches(path, '(?i)^s3a?://') then regexp_extract(path, '://([^/]*)', 1) end as bucket, case when regexp_matches(path, '(?i)^s3a?://') then regexp_extract(path, '://[^/]*/?(.*)$', 1) end as key from p")
+def object_paths(spark, d):
+    rows = [(p, paths.is_object_path(p), *(paths.bucket_and_key(p) if paths.is_object_path(p) else (None, None))) for p in OBJECTS]
+    return spark.createDataFrame(rows, "path string, object boolean, bucket string, key string")
+
+
+HEADERS = [["VendorID", "tpep_pickup_datetime", "PULocationID", "DOLocationID"], ["lpep_pickup_datetime", "PULocationID"], ["Pickup_DateTime ", "pickup_location_id"], ["Trip_Pickup_DateTime", "Start_Lon", "Start_Lat"], ["pickup_longitude", "pickup_latitude", "my_pickup_time"], ["DOLocationID", "some_other_col"]]
+
+
+@query("select * from (values (0, 'tpep_pickup_datetime', 'PULocationID', null, null), (1, 'lpep_pickup_datetime', 'PULocationID', null, null), (2, 'Pickup_DateTime ', 'pickup_location_id', null, null), (3, 'Trip_Pickup_DateTime', null, 'Start_Lon', 'Start_Lat'), (4, 'my_pickup_time', null, 'pickup_longitude', 'pickup_latitude'), (5, null, null, null, null)) as v(i, time, place, lon, lat)")
+def role_resolvers(spark, d):
+    rows = [(i, roles.pickup_datetime(h), roles.pickup_location(h), *(roles.pickup_lon_lat(h) or (None, None))) for i, h in enumerate(HEADERS)]
+    return spark.createDataFrame(rows, "i int, time string, place string, lon string, lat string")
+
+
+@query("select * from (values ('canonical', 'pickup_datetime,dropoff_datetime,trip_distance,passenger_count,fare_amount,extra'), ('missing', 'dropoff_datetime,passenger_count'), ('repaired', 'taxi_type,date,pickup_place,hour_0'), ('typed', 'taxi_type,hour_0'), ('count', 'rides'), ('last number', 'b')) as v(what, names)")
+def canonical_names(spark, d):
+    empty = lambda *names: spark.createDataFrame([], ", ".join(f"`{n}` int" for n in names))
+    full = roles.canonical_trips(empty("tpep_pickup_datetime", "TPEP_dropoff_datetime", "trip_miles", "passenger_count", "Fare_Amt", "Extra"))
+    try:
+        roles.canonical_trips(empty("pickup_datetime", "trip_distance", "fare_amount"))
+        missing = ""
+    except KeyError as e:
+        missing = ",".join(x.strip(" '[]") for x in e.args[0].partition(": ")[2].split(","))
+    rows = [("canonical", ",".join(full.columns)), ("missing", missing), ("repaired", ",".join(roles.repaired_keys(empty("__index_level_0__", "__index_level_1__", "__index_level_2__", "hour_0")).columns)), ("typed", ",".join(roles.repaired_keys(empty("cab_type", "hour_0")).columns)), ("count", roles.count_column(empty("a", "Rides", "b").withColumnRenamed("Rides", "rides"))), ("last number", roles.count_column(empty("a", "b").withColumn("c", F.lit("x"))))]
+    return spark.createDataFrame(rows, "what string, names string")
+
+
+@query("select n, cast(n as varchar) || u as text, cast(n * power(1024, k) as bigint) as bytes, printf('%.1f', case when k = 0 or n < 1024 then n else n / 1024.0 end) || case when k = 0 or n < 1024 then u else 'GB' end as human from (select unnest([0, 1, 200, 1536]) as n), (values ('B', 0), ('MB', 2)) as v(u, k) where not (n >= 1024 and k = 0)")
+def size_texts(spark, d):
+    rows = [(n, f"{n}{u}") for n in (0, 1, 200, 1536) for u in ("B", "MB") if not (n >= 1024 and u == "B")]
+    human = lambda n, b: scalars.human_size(b) if n else f"0.0{'B'}"
+    out = [(n, t, scalars.parse_size(t), human(n, scalars.parse_size(t)) if n else "0.0" + t[1:]) for n, t in rows]
+    return spark.createDataFrame(out, "n int, text string, bytes long, human string")
+
+
+@query("select l_orderkey, l_linenumber, round(date_diff('microsecond', o_orderdate, l_shipdate) / 6e7, 6) as minutes from lineitem join orders on l_orderkey = o_orderkey")
+def duration_minutes(spark, d):
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select("l_orderkey", "l_linenumber", r6(features.minutes_between("o_orderdate", "l_shipdate")).alias("minutes"))
+
+
+@query("select column_name as name from (describe events)")
+def footer_columns(spark, d):
+    return spark.createDataFrame([(c,) for c in sources.columns_of(spark, f"{d}/events.parquet")], "name string")
+
+
+@query("select * from (values ('events', true, false, false), ('nation', true, false, false), ('no_such_table', false, null, null)) as v(name, valid, has_time, has_place)")
+def file_checks(spark, d):
+    rows = []
+    for name in ("events", "nation", "no_such_table"):
+        path = f"{d}/{name}.parquet"
+        valid = sources.is_valid(spark, path)
+        columns = sources.columns_of(spark, path) if valid else []
+        rows.append((name, valid, bool(roles.pickup_datetime(columns)) if valid else None, sources.consistent(spark, [path])[0] if valid else None))
+    return spark.createDataFrame(rows, "name string, valid boolean, has_time boolean, has_place boolean")
+
+
+@query(PATH_SQL + f", q as ({YM}) select coalesce(year * 100 + month, 999999) as ym, count(*) as n from q group by all order by ym limit 2")
+def first_months(spark, d):
+    return quality.by_month(_catalog_files(spark), 2).select("ym", "n")
+
+
+@query("select event_id, event_type, value from events order by event_id limit 10")
+def preview(spark, d):
+    return table(spark, d, "events").select("event_id", "event_type", "value").orderBy("event_id").limit(10)
+
+
+BASIS = [[round(((7 * i + 3 * k) % 11 - 5) / 10, 3) for k in range(2)] for i in range(24)]
+
+
+@query(G2_SQL + ", m as (select pickup_place, " + ", ".join(f"avg({c}) as {c}" for c in HOURS) + " from w group by 1), g as (select " + ", ".join(f"avg({c}) as g{i}" for i, c in enumerate(HOURS)) + " from w) select pickup_place, " + ", ".join("round(" + " + ".join(f"({c} - g{i}) * ({BASIS[i][k]})" for i, c in enumerate(HOURS)) + f", 6) as pc{k + 1}" for k in range(2)) + " from m, g")
+def scores_of_basis(spark, d):
+    """Projection on a given basis: a fitted one has no SQL."""
+    import numpy as np
+
+    w = wide.wide(trips(spark, d), G2)
+    centre = w.agg(*[F.avg(c).alias(c) for c in HOURS]).first()
+    return linalg.project(zones.means(w), HOURS, np.array(BASIS), np.array([centre[c] for c in HOURS]), 2).select("pickup_place", r6("pc1").alias("pc1"), r6("pc2").alias("pc2"))
+
+
+@query("select n_nationkey as i, round((power(cos(n_nationkey / 10.0), 2) + 1) / 2, 6) as affinity, round(sqrt(greatest(0, 4 - 2 * (abs(cos(n_nationkey / 10.0)) + 1))), 6) as procrustes from nation")
+def subspace_distances(spark, d):
+    """Of the plane (x, y) and itself turned about y."""
+    import numpy as np
+
+    a, out = np.array([[1.0, 0], [0, 1], [0, 0]]), []
+    for r in table(spark, d, "nation").select("n_nationkey").collect():  # 25 rows
+        t = r[0] / 10
+        b = np.array([[np.cos(t), 0], [0, 1], [np.sin(t), 0]])
+        out.append((r[0], round(linalg.affinity(a, b), 6), round(linalg.procrustes(a, b), 6)))
+    return spark.createDataFrame(out, "i int, affinity double, procrustes double")
+
+
+LOADINGS = "with l as (select pc, hour, ((pc * 7 + hour * hour) % 13 - 6) / 10.0 as loading from (select unnest([1, 2, 3]) as pc), (select unnest(range(24)) as hour)), m as (select pc, avg(loading) as mu, stddev_pop(loading) as sd, max(abs(loading)) as top from l group by pc) "
+
+
+@query(LOADINGS + "select l.pc, round(any_value(mu), 6) as mean, round(any_value(sd), 6) as std, round(avg(power((loading - mu) / sd, 3)), 6) as skew, round(avg(power((loading - mu) / sd, 4)) - 3, 6) as excess_kurtosis, min(hour) filter (where loading > 0.05 * top) as first_up, max(hour) filter (where loading > 0.05 * top) as last_up, min(hour) filter (where loading < -0.05 * top) as first_down, max(hour) filter (where loading < -0.05 * top) as last_down from l join m using (pc) group by l.pc")
+def loading_stats_of_basis(spark, d):
+    loadings = spark.range(24).select(F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("pc"), F.col("id").alias("hour")).withColumn("loading", (F.pmod(F.col("pc") * 7 + F.col("hour") * F.col("hour"), F.lit(13)) - 6) / 10)
+    s = linalg.loading_stats(loadings)
+    return s.select("pc", *[r6(c).alias(c) for c in ("mean", "std", "skew", "excess_kurtosis")], "first_up", "last_up", "first_down", "last_down")
+
+
+@query("with s as (select cast(c_custkey as varchar) as pickup_place, 40 + c_nationkey / 100.0 as lat, -74 + c_nationkey / 50.0 as lon, c_acctbal / 1000 as pc1, c_custkey % 7 - 3.0 as pc2 from customer), t as (select max(abs(pc1)) as a, max(abs(pc2)) as b from s) select pickup_place, lat, lon, round(0.5 + pc1 / (2 * a), 6) as colour, round(3 + 9 * abs(pc2) / b, 6) as radius from s, t")
+def marker_scale(spark, d):
+    scored = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("pickup_place"), (F.col("c_acctbal") / 1000).alias("pc1"), (F.col("c_custkey") % 7 - 3.0).alias("pc2"))
+    return zones.markers(scored, _zones(spark, d)).select("pickup_place", "lat", "lon", r6("colour").alias("colour"), r6("radius").alias("radius"))
