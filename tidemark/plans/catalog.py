@@ -12,6 +12,7 @@ from tidemark.operators import additive, classify, features, linalg, quality, re
 from tidemark.operators.quantiles import quantiles
 from tidemark.operators.wide import HOURS
 from tidemark.sources import files as sources
+from tidemark.sources.sinks import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -239,7 +240,8 @@ def trip_clean(spark, d):
 
 @query(FARES + ", g as (select * from f where duration > 0), q as (select quantile_cont(l_quantity, 0.99) as a, quantile_cont(duration, 0.99) as b, quantile_cont(l_extendedprice, 0.99) as c from g) select id, least(l_quantity, a) as l_quantity, least(duration, b) as duration, round(least(l_extendedprice, c), 6) as l_extendedprice, duration > b as duration_capped from g, q")
 def p99_caps(spark, d):
-    g = features.capped(fares(spark, d).where("duration > 0"), ["l_quantity", "duration", "l_extendedprice"])
+    joined = kept(fares(spark, d).where("duration > 0").select("id", "l_quantity", "duration", "l_extendedprice"), "fares")  # three passes, one join
+    g = features.capped(joined, ["l_quantity", "duration", "l_extendedprice"])
     return g.select("id", "l_quantity", "duration", r6("l_extendedprice").alias("l_extendedprice"), "duration_capped")
 
 
@@ -499,7 +501,8 @@ TERMS = [additive.Term("l_quantity", 20), additive.Term("duration", 20), additiv
 
 
 def _clean(spark, d):
-    return features.split(fares(spark, d).where("duration > 0"), "id")
+    """The joined fares, saved: models read them several times."""
+    return kept(features.split(fares(spark, d).where("duration > 0"), "id"), "clean-fares")
 
 
 @query()
