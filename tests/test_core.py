@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import numpy as np
 import pandas as pd
@@ -64,7 +65,7 @@ def test_discovery_and_reading(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         files.discover(spark, str(tmp_path / "none"))
     assert not files.is_valid(spark, str(tmp_path / "none"))
-    sinks.write_report({"rows": 3}, [(2023, "yellow", 3)], str(tmp_path / "r.md"))
+    sinks.write_report(spark, {"rows": 3}, [(2023, "yellow", 3)], str(tmp_path / "r.md"))
     assert "| rows | 3 |" in (tmp_path / "r.md").read_text()
 
 
@@ -88,7 +89,9 @@ def test_tails(spark):
     assert sorted(r["rank"] for r in tails.ranked(df, "x", "k").collect()) == list(range(1, 4001))
     w, p = tails.shapiro(rng.normal(size=500))
     assert w > 0.98 and p > 0.001 and tails.shapiro(x[:500])[1] < 1e-6
-    assert tails.tail_class(2.0, 0.9, 1.0, 0.5) == "heavy" and tails.tail_class(2.0, 0.89, 1.0, 0.0) == "light"
+    cases = [(2.0, 0.9, 1.0, 0.5), (2.0, 0.89, 1.0, 0.0), (2.0, 0.95, -1.0, 0.04), (2.0, 0.95, 0.0, 0.05), (-2.0, 0.95, 1.0, 0.0), (None, None, 1.0, 0.0), (2.0, 0.95, None, None)]
+    told = tails.tail_class(spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, alpha double, r2 double, excess_kurtosis double, shapiro_p double"))
+    assert [r["tail"] for r in told.orderBy("i").collect()] == ["heavy", "light", "heavy", "light", "light", "light", "light"]
     assert tails.tail_alpha(df.limit(0), "x", "k").first()["alpha"] is None
 
 
@@ -105,6 +108,83 @@ def test_ranks_and_quantiles_at_size(spark):
     assert quantiles.quantiles(df.limit(0), ["x"], [0.5]) == {"x": [None]} and tails.ranked(df.limit(0), "x", "key").count() == 0
 
 
+def test_quantiles_by_group_at_size(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.full(900, 5.0), rng.normal(5, 2, 1500), [np.nan]])
+    pdf = pd.DataFrame({"x": x, "g": ["a", "b", None] * 800 + ["b"]})
+    df = spark.createDataFrame(pdf).select(F.when(~F.isnan("x"), F.col("x")).alias("x"), "g")
+    at = [0.0, 0.05, 0.31, 0.5, 0.99, 1.0]
+    want = {g: (k.x.notna().sum(), np.quantile(k.x.dropna(), at).tolist()) for g, k in pdf.groupby(pdf.g.fillna("-"))}
+    for most in (2_000_000, 100):
+        got = {r["g"] or "-": (r["n"], list(r["q"])) for r in quantiles.quantiles_by(df, "x", ["g"], at, most).collect()}
+        assert {g: n for g, (n, _) in got.items()} == {g: n for g, (n, _) in want.items()}
+        assert all(got[g][1] == pytest.approx(q) for g, (_, q) in want.items())
+    assert quantiles.quantiles_by(df.limit(0), "x", ["g"], at).count() == 0
+    whole, own = tails.summary(df, "x").first(), tails.summary(df, "x", ["g"], listed=True).where("g is null").first()
+    assert whole["p75"] == pytest.approx(np.quantile(x[:-1], 0.75)) and len(own["values"]) == want["-"][0] and own["p50"] == pytest.approx(want["-"][1][3])
+
+
+def test_caps_and_shares_by_class(spark):
+    sizes = {"big": 5000, "small": 3, None: 40}
+    df = spark.createDataFrame([(i, c) for k, (c, n) in enumerate(sizes.items()) for i in range(k * 10_000, k * 10_000 + n)], "id long, c string")
+    capped = features.cap_per_class(df, "id", "c", 37)
+    assert {r["c"]: r["count"] for r in capped.groupBy("c").count().collect()} == {"big": 37, "small": 3, None: 37}
+    drawn = df.withColumn("u", F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit("42"))), 1, 8))
+    least = {r["id"] for r in drawn.where("c = 'big'").orderBy("u", "id").limit(37).collect()}
+    assert {r["id"] for r in capped.where("c = 'big'").collect()} == least and capped.columns == df.columns
+    assert features.cap_per_class(df.limit(0), "id", "c", 5).count() == 0
+    parts = features.stratified_split(df, "id", "c").groupBy("c").agg(F.count_if(F.col("part") == "train").alias("n"))
+    assert {r["c"]: r["n"] for r in parts.collect()} == {"big": 4000, "small": 2, None: 32}
+
+
+def test_one_pass_bootstrap(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame(pd.DataFrame({"k": range(400), "a": rng.random(400), "b": rng.random(400), "y": rng.random(400)}))
+    terms = [additive.Term("a", 6), additive.Term("b", linear=True)]
+    ranges = additive.ranges_of(df, terms)
+    from tidemark.functions.scalars import poisson
+
+    for b, g in enumerate(additive.bootstrap_grams(df, terms, "y", "k", 3, ranges)):
+        one = df.withColumn("w", poisson(F.col("k").cast("string"), b).cast("double"))
+        assert np.allclose(g, additive.gram(one, terms, ["y"], ranges, "w")["y"])
+    bands = additive.bootstrap_bands(df, terms, "y", "k", 10)
+    assert (bands["boot_lo"] <= bands["boot_hi"]).all() and (bands["width_ratio"] > 0).all()
+    assert additive.improvement({"rmse": 2.0, "mae": 1.0, "r2": 0.5}, {"rmse": 1.0, "mae": 1.5, "r2": 0.75}) == [("rmse", 2.0, 1.0, 1.0, 50.0), ("mae", 1.0, 1.5, -0.5, -50.0), ("r2", 0.5, 0.75, 0.25, 50.0)]
+
+
+def test_normality_of_samples_and_fit_line(spark):
+    x = np.random.default_rng(6).normal(3, 2, 6000)
+    df = spark.createDataFrame(pd.DataFrame({"k": range(6000), "x": x}))
+    w, p = tails.shapiro_of(df, "x", "k")
+    assert w > 0.998 and (w, p) == tails.shapiro_of(df.repartition(3), "x", "k") and tails.shapiro_of(df.withColumn("x", F.exp("x")), "x", "k")[1] < 1e-6
+    line = tails.qq_fit(tails.qq_points(df, "x", "k")).first()
+    assert line["slope"] == pytest.approx(2, rel=0.05) and line["intercept"] == pytest.approx(3, abs=0.1) and line["r"] > 0.999
+
+
+def test_scratch_partitions_and_first_files(spark, tmp_path):
+    from tidemark.sources import tuning
+
+    with pytest.raises(RuntimeError), sinks.scratch_removed(spark) as own:
+        kept = sinks.kept(spark.range(5), "five")
+        assert kept.count() == 5 and len(own) == 1
+        raise RuntimeError
+    assert not os.path.exists(own[0].removeprefix("file:"))
+    spark.range(50).coalesce(1).write.parquet(str(tmp_path / "green_tripdata_2023-01.parquet"))
+    spark.range(9).coalesce(1).write.parquet(str(tmp_path / "yellow_tripdata_2022-01.parquet"))
+    found = files.trip_files(spark, str(tmp_path))
+    assert {k: len(v) for k, v in found.items()} == {"yellow": 1, "green": 1}
+    assert files.trip_files(spark, "a/b/any.parquet") == {"yellow": ["a/b/any.parquet"], "green": []} and files.trip_files(spark, "green_tripdata_2023-01.parquet")["yellow"] == []
+    assert files.first_file(spark, str(tmp_path)).count() == 50 and files.first_file(spark, str(tmp_path), "Yellow").count() == 9
+    with pytest.raises(FileNotFoundError):
+        files.first_file(spark, str(tmp_path), "fhv")
+    assert tuning.candidates(100, 500, 5) == [100, 200, 300, 400, 500] and tuning.candidates(7, 7) == [7]
+    before = spark.conf.get(tuning.SETTING)
+    every = [f for k in found.values() for f in k]
+    best, tried = tuning.best_partition_bytes(spark, every, tuning.whole, [1 << 20, 1 << 22, 1 << 40])
+    assert best in dict(tried) and [s for s, _ in tried] == [1 << 20, 1 << 22] and spark.conf.get(tuning.SETTING) == before
+    assert [s for s, _ in tuning.best_partition_bytes(spark, every, sizes=[1 << 40])[1]] == [1 << 40]
+
+
 def test_additive_model(spark):
     rng = np.random.default_rng(3)
     a, b = rng.random(3000), rng.random(3000)

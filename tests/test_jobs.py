@@ -1,9 +1,10 @@
 import datetime as dt
+import json
 
 import pytest
 
 from tidemark import jobs
-from tidemark.sources import files
+from tidemark.sources import files, tuning
 
 
 def trip_file(spark, folder, name, rows, place="int"):
@@ -33,7 +34,21 @@ def test_wide_run(spark, source, tmp_path):
     assert [first[f"hour_{h}"] for h in range(24)] == [10] * 12 + [0] * 12
     assert (out["input_rows"], out["parse_failures"], out["month_mismatch"], out["files_with_mismatch"]) == (361, 1, 30, 1)
     assert (out["files"], out["failed_files"], out["output_rows"]) == (2, 3, 3)
-    assert "| input_rows | 361 |" in (tmp_path / "r.md").read_text()
+    assert (out["rows_before"], out["rows_removed"], out["rides_dropped"], out["discarded"], out["retained"]) == (5, 2, 60, 61, 300)
+    assert out["attempted_files"] == 5 and out["input_bytes"] > 0 and out["output_bytes"] > 0 and out["output_columns"] == 27
+    report = (tmp_path / "r.md").read_text()
+    assert "| input_rows | 361 |" in report and "## Failed files" in report and "| 2023 | yellow | 3 | 100.0 |" in report
+    assert json.loads((tmp_path / "r.json").read_text())["discarded"] == 61
+
+
+def test_intermediate_and_partition_size(spark, source, tmp_path):
+    setting = spark.conf.get(tuning.SETTING)
+    out = jobs.main(["wide", source, str(tmp_path / "w"), "--intermediate", str(tmp_path / "i"), "--partition-size", "64MB"], spark)
+    assert out["partition_bytes"] == str(64 << 20) and spark.conf.get(tuning.SETTING) == setting
+    assert spark.read.parquet(str(tmp_path / "i")).count() == out["rows_before"] == 5
+    tuned = jobs.main(["wide", source, str(tmp_path / "x"), "--tune", "--max-memory", "1GB"], spark)
+    assert int(tuned["partition_bytes"].rstrip("b")) in tuning.candidates() and spark.conf.get(tuning.SETTING) == setting
+    assert tuned["output_rows"] == out["output_rows"]
 
 
 def test_grain_months_and_types(spark, source, tmp_path):
@@ -64,6 +79,9 @@ def test_runs_on_a_wide_table(spark, tmp_path):
     assert jobs.main(["tails", model, str(tmp_path / "a")], spark)["tail"] in ("heavy", "light", "moderate")
     (tmp_path / "z.csv").write_text("LocationID,lat,lon\n1,40.1,-73.1\n2,40.2,-73.2\n9,40.9,-73.9\n3,x,-73\n")
     assert jobs.main(["zones", table, str(tmp_path / "z.csv"), str(tmp_path / "k")], spark) == 2
+    assert jobs.main(["zones", table, str(tmp_path / "z.csv"), str(tmp_path / "k2"), "--model", model], spark) == 2
+    a, b = ({r["pickup_place"]: (abs(r["pc1"]), abs(r["pc2"])) for r in spark.read.parquet(str(tmp_path / x)).collect()} for x in ("k", "k2"))
+    assert all(a[p] == pytest.approx(b[p]) for p in a)
     spark.createDataFrame([(1,)], "hour_0 int").write.parquet(str(tmp_path / "bad"))
     with pytest.raises(KeyError):
         jobs.wide_table(spark, str(tmp_path / "bad"))

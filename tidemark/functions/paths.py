@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 # Patterns of path names, first match wins.
 TYPE_PATTERNS = (("yellow", r"(?i)yellow[\W_]trip"), ("green", r"(?i)green[\W_]trip"), ("fhvhv", r"(?i)fhvhv[\W_]trip|high_volume_for_hire"), ("fhv", r"(?i)fhv[\W_]trip|for_hire_vehicle"))
 MONTH_PATTERN = r"year[=_]?(\d{4})[/_]?month[=_]?(\d{1,2})|(\d{4})[-_](\d{1,2})(?:[-_.]|\.parquet)"
+FILE_MONTH_PATTERN = r"(\d{4})-(\d{2})"
 OLDER = ("2009", "2010", "2011", "2012", "2013", "2014")
+# Hadoop's and the SDK's providers of credentials.
+ANONYMOUS = "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider"
+SIGNED = ("org.apache.hadoop.fs.s3a.TemporaryAWSCredentialsProvider", "org.apache.hadoop.fs.s3a.SimpleAWSCredentialsProvider", "software.amazon.awssdk.auth.credentials.EnvironmentVariableCredentialsProvider", "org.apache.hadoop.fs.s3a.auth.IAMInstanceCredentialsProvider")
 
 
 def is_object_path(path: object) -> bool:
@@ -29,10 +33,10 @@ def hadoop_path(path: str) -> str:
 
 
 def storage_options(anonymous: bool = True) -> dict[str, str]:
-    """Spark configuration for object stores."""
-    if not anonymous:
-        return {}
-    return {"spark.hadoop.fs.s3a.aws.credentials.provider": "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider"}
+    """Spark configuration for object stores: no credentials, or the first that is found (a session's, a key, the
+    environment's, the instance's), and none where none is found."""
+    chain = [ANONYMOUS] if anonymous else [*SIGNED, ANONYMOUS]
+    return {"spark.hadoop.fs.s3a.aws.credentials.provider": ",".join(chain)}
 
 
 def taxi_type(path: Column) -> Column:
@@ -52,6 +56,13 @@ def year_month(path: Column) -> tuple[Column, Column]:
     return F.when(good, year), F.when(good, month)
 
 
+def file_month(path: Column) -> tuple[Column, Column]:
+    """Year and month by the file's name alone, as 2009-01 in it says; 0 and 0 where it says none. No range is checked."""
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    number = lambda i: F.coalesce(F.regexp_extract(name, FILE_MONTH_PATTERN, i).try_cast("int"), F.lit(0))
+    return number(1), number(2)
+
+
 def plain(path: Column) -> Column:
     """The path that a file's URI (as in _metadata.file_path) stands for."""
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import poisson
+from tidemark.operators.quantiles import quantiles_by
 
 #: (depth, rate) of the sweep.
 SWEEP = ((4, 0.05), (4, 0.10), (6, 0.05), (6, 0.10), (8, 0.10))
@@ -88,8 +89,10 @@ def bagged(train: DataFrame, test: DataFrame, features: list[str], key: str, rep
 
 def confidence_stats(df: DataFrame) -> DataFrame:
     """Confidence (largest class probability) by whether the prediction is right."""
-    c = F.greatest("p", 1 - F.col("p"))
-    return df.groupBy((F.col("label") == F.col("prediction")).alias("correct")).agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"))
+    rows = df.select((F.col("label") == F.col("prediction")).alias("correct"), F.greatest("p", 1 - F.col("p")).alias("_c"))
+    half = quantiles_by(rows, "_c", ["correct"], [0.5]).select(F.col("correct").alias("_correct"), F.col("q")[0].alias("median"))
+    told = rows.groupBy("correct").agg(F.count("*").alias("n"), F.avg("_c").alias("mean"), F.min("_c").alias("min"), F.max("_c").alias("max"))
+    return told.join(half, F.col("correct").eqNullSafe(F.col("_correct")), "left").select("correct", "n", "mean", "median", "min", "max")
 
 
 def importances(model, features: list[str]) -> list[tuple[str, float]]:

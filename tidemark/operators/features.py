@@ -34,16 +34,27 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(draw(F.col(key), seed), key).limit(n)
 
 
-def cap_per_class(df: DataFrame, key: str, label: str, n: int, seed: int = 42) -> DataFrame:
-    """At most n rows a class. Draws over a bound that leaves enough of them are filtered first, so the window sorts few rows."""
-    sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    bound = F.lit("g")
-    for k, size in sizes.items():
-        p = min(1.0, (n + 6 * n**0.5 + 20) / size)
-        bound = F.when(F.col(label).eqNullSafe(F.lit(k)), F.lit("g" if p >= 1 else share(p))).otherwise(bound)
+def _by_draw(df: DataFrame, key: str, label: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """df with its draw (_u) and bucket (_b, its first four digits); and by class (_l) and bucket (_c) the rows of the class
+    before the bucket (_before) and in all (_n)."""
     u = draw(F.col(key), seed)
-    order = Window.partitionBy(label).orderBy("_u", key)
-    return df.withColumn("_u", u).where(F.col("_u") < bound).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_u", "_k")
+    df = df.withColumn("_u", u).withColumn("_b", F.substring(u, 1, 4))
+    sums = df.groupBy(label, "_b").count()
+    counted = F.sum("count").over(Window.partitionBy(label).orderBy("_b")) - F.col("count")
+    return df, sums.select(F.col(label).alias("_l"), F.col("_b").alias("_c"), counted.alias("_before"), F.sum("count").over(Window.partitionBy(label)).alias("_n"))
+
+
+def _ranked(df: DataFrame, before: DataFrame, key: str, label: str) -> DataFrame:
+    """With _k: the row's rank by draw in its class, as its rank in the bucket after the rows of the buckets before. A class
+    of any size is 65,536 buckets."""
+    joined = df.join(before, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_c")))
+    return joined.withColumn("_k", F.col("_before") + F.row_number().over(Window.partitionBy(label, "_b").orderBy("_u", key)))
+
+
+def cap_per_class(df: DataFrame, key: str, label: str, n: int, seed: int = 42) -> DataFrame:
+    """At most n rows a class, those of the least draws. Only buckets that begin within the first n rows of a class are ranked."""
+    rows, before = _by_draw(df, key, label, seed)
+    return _ranked(rows, before.where(F.col("_before") < n), key, label).where(F.col("_k") <= n).select(*df.columns)
 
 
 def split(df: DataFrame, key: str, train: float = 0.8, seed: int = 42) -> DataFrame:
@@ -51,13 +62,9 @@ def split(df: DataFrame, key: str, train: float = 0.8, seed: int = 42) -> DataFr
 
 
 def stratified_split(df: DataFrame, key: str, label: str, train: float = 0.8, seed: int = 42) -> DataFrame:
-    """In every class the exact share trains. Ranks are taken within (class, first two digits of the draw) and offset by the counts before."""
-    u = draw(F.col(key), seed)
-    df = df.withColumn("_u", u).withColumn("_b", F.substring(u, 1, 2))
-    sums = df.groupBy(label, "_b").count()
-    before = sums.select(F.col(label).alias("_l"), F.col("_b").alias("_c"), F.coalesce(F.sum("count").over(Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("count").over(Window.partitionBy(label)).alias("_n"))
-    ranked = df.join(F.broadcast(before), F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_c"))).withColumn("_k", F.col("_before") + F.row_number().over(Window.partitionBy(label, "_b").orderBy("_u", key)))
-    return ranked.withColumn("part", F.when(F.col("_k") <= F.floor(F.col("_n") * train), "train").otherwise("test")).drop("_u", "_b", "_l", "_c", "_before", "_n", "_k")
+    """In every class the exact share trains, those of the least draws."""
+    part = F.when(F.col("_k") <= F.floor(F.col("_n") * train), "train").otherwise("test")
+    return _ranked(*_by_draw(df, key, label, seed), key, label).select(*df.columns, part.alias("part"))
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:

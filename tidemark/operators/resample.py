@@ -78,5 +78,17 @@ def interpretation(report: pd.DataFrame, k: int = 2) -> dict[str, str]:
     return {"subspace_affinity": rating(aff, AFFINITY), "procrustes_distance": rating(report["procrustes"].mean(), DISTANCE, "Unstable", up=False)} | {f"PC{i + 1}": rating(c, CORRELATION) for i, c in enumerate(corr)} | {"overall_summary": whole}
 
 
+def interpretation_texts(report: pd.DataFrame, k: int = 2) -> list[tuple]:
+    """(metric, rating, mean, std, ci_lower, ci_upper, text): each rating with the figures that it rests on."""
+    rated, out = interpretation(report, k), []
+    names = {"subspace_affinity": "affinity", "procrustes_distance": "procrustes"} | {f"PC{i + 1}": f"corr_{i + 1}" for i in range(k)}
+    for metric, column in names.items():
+        x = report[column].to_numpy(float)
+        lo, hi = np.percentile(x, [2.5, 97.5])
+        text = f"{metric}: {rated[metric]} (mean {x.mean():.4f}, sd {x.std():.4f}; 95% of {len(x)} replicates from {lo:.4f} to {hi:.4f})"
+        out.append((metric, rated[metric], float(x.mean()), float(x.std()), float(lo), float(hi), text))
+    return [*out, ("overall_summary", rated["overall_summary"], None, None, None, None, f"all {k} components: {rated['overall_summary']}")]
+
+
 def stability_table(spark: SparkSession, report: pd.DataFrame) -> DataFrame:
     return spark.createDataFrame(report)

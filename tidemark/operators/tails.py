@@ -6,10 +6,11 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.quantiles import quantiles
+from tidemark.operators.features import sample_n
+from tidemark.operators.quantiles import quantiles, quantiles_by
 from tidemark.sources.sinks import kept
 
 
@@ -70,13 +71,24 @@ def describe(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.lit(quantiles(df, [value], [0.5])[value][0]).cast("double").alias("median"), F.skewness(value).alias("skew"), F.kurtosis(value).alias("excess_kurtosis"))
 
 
-def summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Mean, spread and percentiles of finite values."""
-    x = F.col(value)
+SUMMARY = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "ci_lower": 0.025, "ci_upper": 0.975}
+
+
+def summary(df: DataFrame, value: str, by: list[str] | None = None, listed: bool = False) -> DataFrame:
+    """Mean, spread and percentiles of finite values. listed: with the sorted values themselves, for figures of a few replicates."""
+    x, by = F.col(value), by or []
     finite = df.where(x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x) != float("inf")))
-    q = F.percentile(value, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95, 0.025, 0.975)]))
-    named = finite.groupBy(*(by or [])).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), q.alias("q"))
-    return named.select(*(by or []), "mean", "std", "min", "max", *[F.col("q")[i].alias(c) for i, c in enumerate(("p5", "p25", "p50", "p75", "p95", "ci_lower", "ci_upper"))])
+    named = finite.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), *([F.sort_array(F.collect_list(value)).alias("values")] if listed else []))
+    if by:
+        q = quantiles_by(finite, value, by, list(SUMMARY.values())).select(*[F.col(c).alias(f"_{c}") for c in by], "q")
+        same = F.lit(True)
+        for c in by:
+            same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+        named = named.join(q, same)
+        found = {c: F.col("q")[i] for i, c in enumerate(SUMMARY)}
+    else:
+        found = {c: F.lit(v).cast("double") for c, v in zip(SUMMARY, quantiles(finite, [value], list(SUMMARY.values()))[value], strict=True)}
+    return named.select(*by, "mean", "std", "min", "max", *[c.alias(n) for n, c in found.items()], *(["values"] if listed else []))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
@@ -90,7 +102,7 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
 
 
 def boxplot(df: DataFrame, value: str, by: str) -> DataFrame:
-    rows = df.groupBy(by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(value).alias("n"))
+    rows = quantiles_by(df, value, [by], [0.25, 0.5, 0.75])
     return rows.select(by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
 
 
@@ -107,6 +119,21 @@ def qq_points(df: DataFrame, value: str, key: str) -> DataFrame:
     return rows.select("key", "x", quantile(p).alias("theoretical"))
 
 
+def qq_fit(points: DataFrame) -> DataFrame:
+    """Slope, intercept and correlation of the line through the points of `qq_points`."""
+    return points.agg(F.regr_slope("x", "theoretical").alias("slope"), F.regr_intercept("x", "theoretical").alias("intercept"), F.corr("x", "theoretical").alias("r"))
+
+
+#: Royston's form holds for so many values; of more, a sample of this size is tested.
+SHAPIRO_ROWS = 5000
+
+
+def shapiro_of(df: DataFrame, value: str, key: str, seed: int = 42) -> tuple[float, float]:
+    """W and p of a column: of all values up to SHAPIRO_ROWS, of a seeded sample without replacement beyond."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"), F.col(key).alias("key"))
+    return shapiro(np.array([r["x"] for r in sample_n(rows, "key", SHAPIRO_ROWS, seed).select("x").collect()]))
+
+
 def shapiro(x: np.ndarray) -> tuple[float, float]:
     """W and p by Royston (1995), for 12 to 5000 values (4 to 11 values: his small-sample form)."""
     x = np.sort(np.asarray(x, float))
@@ -138,8 +165,23 @@ def shapiro(x: np.ndarray) -> tuple[float, float]:
     return w, float(1 - NormalDist().cdf((y - mu) / sd))
 
 
-def tail_class(alpha: float | None, r2: float | None, kurtosis: float | None, shapiro_p: float | None, least: float = 0.9) -> str:
-    """heavy: a power law fits and the values aren't normal; light otherwise."""
-    fits = alpha is not None and r2 is not None and r2 >= least and alpha > 0
-    odd = (kurtosis or 0) > 0 or (1.0 if shapiro_p is None else shapiro_p) < 0.05
-    return "heavy" if fits and odd else "light"
+#: heavy: a power law fits, and the values aren't normal by kurtosis or test; light otherwise.
+TAIL = "case when not coalesce(r2 >= 0.9 and alpha > 0, false) then 'light' when excess_kurtosis > 0 then 'heavy' when shapiro_p < 0.05 then 'heavy' else 'light' end"
+
+
+def tail_class(report: DataFrame) -> DataFrame:
+    """The report (alpha, r2, excess_kurtosis, shapiro_p; nulls speak for light) with the class of its tail."""
+    return report.withColumn("tail", F.expr(TAIL))
+
+
+REPORT = "shapiro_w double, shapiro_p double, alpha double, r2 double, excess_kurtosis double"
+
+
+def tail_report(spark: SparkSession, x: np.ndarray) -> DataFrame:
+    """Normality, exponent and class of a few hundred numbers, by their absolute values: one row."""
+    x = np.asarray(x, float).reshape(-1)
+    w, p = shapiro(x)
+    fit = tail_alpha(spark.createDataFrame([(i, float(abs(v))) for i, v in enumerate(x)], "i long, v double"), "v", "i").first()
+    spread = x.std()
+    kurtosis = float((((x - x.mean()) / spread) ** 4).mean() - 3) if spread else 0.0
+    return tail_class(spark.createDataFrame([(w, p, fit["alpha"], fit["r2"], kurtosis)], REPORT))

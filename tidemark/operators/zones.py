@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,15 @@ def scores(table: DataFrame, k: int = 2, place: str = "pickup_place") -> DataFra
     return linalg.project(means(table, place), HOURS, components, centre, k).select(place, *[f"pc{i + 1}" for i in range(k)])
 
 
+def scores_of(table: DataFrame, loadings: DataFrame, k: int = 2, place: str = "pickup_place") -> DataFrame:
+    """Like scores, on a stored basis (pc, hour, loading: 24 x 24 rows)."""
+    basis = np.zeros((len(HOURS), len(HOURS)))
+    for r in loadings.collect():
+        basis[r["hour"], r["pc"] - 1] = r["loading"]
+    row = table.agg(*[F.avg(c).alias(c) for c in HOURS]).first()
+    return linalg.project(means(table, place), HOURS, basis, np.array([row[c] or 0.0 for c in HOURS]), k).select(place, *[f"pc{i + 1}" for i in range(k)])
+
+
 def markers(scored: DataFrame, zones: DataFrame, most: int = 100_000) -> DataFrame:
     """Map markers: colour position on a symmetric scale of pc1, radius 3 + 9 |pc2| / max. Broadcasts zones up to `most` rows."""
     small = zones.limit(most + 1).count() <= most

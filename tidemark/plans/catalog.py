@@ -178,6 +178,12 @@ def path_year_month(spark, d):
     return _paths(spark).select("path", y.alias("year"), m.alias("month"))
 
 
+@query(PATH_SQL + r"select path, coalesce(try_cast(regexp_extract(split_part(path, '/', -1), '(\d{4})-(\d{2})', 1) as int), 0) as year, coalesce(try_cast(regexp_extract(split_part(path, '/', -1), '(\d{4})-(\d{2})', 2) as int), 0) as month from p")
+def path_file_month(spark, d):
+    y, m = paths.file_month(F.col("path"))
+    return _paths(spark).select("path", y.alias("year"), m.alias("month"))
+
+
 @query(PATH_SQL + "select path, regexp_matches(path, '2009|2010|2011|2012|2013|2014') as older from p")
 def older_path_flag(spark, d):
     return _paths(spark).select("path", paths.looks_older(F.col("path")).alias("older"))
@@ -247,8 +253,9 @@ def p99_caps(spark, d):
 
 @query(FARES + "select count(l_extendedprice) as n, round(avg(l_extendedprice), 6) as mean, round(stddev_samp(l_extendedprice), 6) as std, min(l_extendedprice) as min, round(quantile_cont(l_extendedprice, 0.25), 6) as q25, round(quantile_cont(l_extendedprice, 0.5), 6) as q50, round(quantile_cont(l_extendedprice, 0.75), 6) as q75, max(l_extendedprice) as max from f")
 def describe_features(spark, d):
-    c = "l_extendedprice"
-    return table(spark, d, "lineitem").agg(F.count(c).alias("n"), r6(F.avg(c)).alias("mean"), r6(F.stddev_samp(c)).alias("std"), F.min(c).alias("min"), *[r6(F.percentile(c, p)).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))], F.max(c).alias("max"))
+    c, rows = "l_extendedprice", table(spark, d, "lineitem")
+    q = quantiles(rows, [c], [0.25, 0.5, 0.75])[c]
+    return rows.agg(F.count(c).alias("n"), r6(F.avg(c)).alias("mean"), r6(F.stddev_samp(c)).alias("std"), F.min(c).alias("min"), *[r6(F.lit(v).cast("double")).alias(n) for v, n in zip(q, ("q25", "q50", "q75"), strict=True)], F.max(c).alias("max"))
 
 
 @query(f"select event_id from events order by {U('event_id')}, event_id limit 500")
@@ -420,16 +427,34 @@ def qq_points(spark, d):
     return tails.qq_points(table(spark, d, "events").select("event_id", "value"), "value", "event_id")
 
 
+@query()
+def qq_fit(spark, d):
+    return tails.qq_fit(tails.qq_points(table(spark, d, "events").select("event_id", "value"), "value", "event_id"))
+
+
+@query()
+def shapiro_sampled(spark, d):
+    """Of all events: a sample of 5000 where there are more, as the operator says."""
+    return spark.createDataFrame([tails.shapiro_of(table(spark, d, "events"), "value", "event_id")], "w double, p double")
+
+
 @query()
 def shapiro_tail_report(spark, d):
     """Normality, exponent and class of the components' coefficients (24 x 24)."""
     c, _, _ = linalg.fit(wide.wide(trips(spark, d), G2), HOURS)
-    x = c.reshape(-1)
-    w, p = tails.shapiro(x)
-    df = spark.createDataFrame([(i, float(abs(v))) for i, v in enumerate(x)], "i long, v double")
-    a = tails.tail_alpha(df, "v", "i").first()
-    z = (x - x.mean()) / x.std()
-    return spark.createDataFrame([(w, p, a["alpha"], a["r2"], float((z**4).mean() - 3), tails.tail_class(a["alpha"], a["r2"], float((z**4).mean() - 3), p))], "shapiro_w double, shapiro_p double, alpha double, r2 double, excess_kurtosis double, tail string")
+    return tails.tail_report(spark, c)
+
+
+@query("select c_custkey, case when (c_custkey % 5) / 4.0 < 0.9 or c_acctbal <= 0 then 'light' when greatest(c_nationkey - 12, 0) > 0 or (c_custkey % 7) / 100.0 < 0.05 then 'heavy' else 'light' end as tail from customer")
+def tail_classes(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("alpha"), ((F.col("c_custkey") % 5) / 4.0).alias("r2"), (F.col("c_nationkey") - 12).cast("double").alias("excess_kurtosis"), ((F.col("c_custkey") % 7) / 100.0).alias("shapiro_p"))
+    return tails.tail_class(rows).select("c_custkey", "tail")
+
+
+@query("select n_regionkey, round(avg(n_nationkey), 6) as mean, round(quantile_cont(n_nationkey, 0.5), 6) as p50, array_to_string(list(n_nationkey order by n_nationkey), ',') as listed from nation group by 1")
+def metric_values(spark, d):
+    s = tails.summary(table(spark, d, "nation"), "n_nationkey", ["n_regionkey"], listed=True)
+    return s.select("n_regionkey", r6("mean").alias("mean"), r6("p50").alias("p50"), F.array_join(F.col("values").cast("array<string>"), ",").alias("listed"))
 
 
 # --- places ---------------------------------------------------------------------------------------------------------
@@ -492,7 +517,7 @@ def bootstrap_bands(spark, d):
 @query()
 def stability_interpretation(spark, d):
     report, _ = resample.pca_stability(wide.wide(trips(spark, d), G2).withColumn("key", F.concat_ws("|", *G2)), HOURS, "key", 100)
-    return spark.createDataFrame(sorted(resample.interpretation(report).items()), "metric string, rating string")
+    return spark.createDataFrame(resample.interpretation_texts(report), "metric string, rating string, mean double, std double, ci_lower double, ci_upper double, text string")
 
 
 # --- additive models ------------------------------------------------------------------------------------------------
@@ -512,19 +537,29 @@ def gam_fit_metrics(spark, d):
     return additive.regression_metrics(additive.predict(rows.where("part = 'test'"), model), "l_extendedprice", "prediction").withColumn("lam", F.lit(model.lam)).withColumn("edof", F.lit(model.edof))
 
 
-@query()
-def gam_enhanced(spark, d):
-    """With two more smooths (25 knots), against the plain model."""
+def _two_models(spark, d) -> dict[str, DataFrame]:
+    """Metrics of the plain model, and of one with two more smooths (25 knots)."""
     rows = _clean(spark, d).withColumn("from_place", F.pmod("id", F.lit(263)).cast("double")).withColumn("to_place", F.pmod(F.floor(F.col("id") / 10), F.lit(263)).cast("double"))
     more = [*TERMS, additive.Term("from_place", 25), additive.Term("to_place", 25)]
-    out = None
+    out = {}
     for name, terms in (("plain", TERMS), ("enhanced", more)):
         model = additive.fit(rows.where("part = 'train'"), terms, "l_extendedprice")
-        m = additive.regression_metrics(additive.predict(rows.where("part = 'test'"), model), "l_extendedprice", "prediction").withColumn("model", F.lit(name))
-        out = m if out is None else out.union(m)
+        out[name] = additive.regression_metrics(additive.predict(rows.where("part = 'test'"), model), "l_extendedprice", "prediction")
     return out
 
 
+@query()
+def gam_enhanced(spark, d):
+    plain, enhanced = (m.withColumn("model", F.lit(name)) for name, m in _two_models(spark, d).items())
+    return plain.union(enhanced)
+
+
+@query()
+def gam_improvement(spark, d):
+    plain, enhanced = (m.first().asDict() for m in _two_models(spark, d).values())
+    return spark.createDataFrame(additive.improvement(plain, enhanced), "metric string, plain double, enhanced double, gain double, percent double")
+
+
 @query()
 def gam_partial_dependence(spark, d):
     return spark.createDataFrame(additive.partial_dependence(additive.fit(_clean(spark, d).where("part = 'train'"), TERMS, "l_extendedprice")))
@@ -680,11 +715,10 @@ def canonical_names(spark, d):
     return spark.createDataFrame(rows, "what string, names string")
 
 
-@query("select n, cast(n as varchar) || u as text, cast(n * power(1024, k) as bigint) as bytes, printf('%.1f', case when k = 0 or n < 1024 then n else n / 1024.0 end) || case when k = 0 or n < 1024 then u else 'GB' end as human from (select unnest([0, 1, 200, 1536]) as n), (values ('B', 0), ('MB', 2)) as v(u, k) where not (n >= 1024 and k = 0)")
+@query("select n, cast(n as varchar) || u as text, cast(n * power(1024, k) as bigint) as bytes, case when n = 0 then '0.0B' when n < 1024 then printf('%.1f', n * 1.0) || u else printf('%.1f', n / 1024.0) || 'GB' end as human from (select unnest([0, 1, 200, 1536]) as n), (values ('B', 0), ('MB', 2)) as v(u, k) where not (n >= 1024 and k = 0)")
 def size_texts(spark, d):
     rows = [(n, f"{n}{u}") for n in (0, 1, 200, 1536) for u in ("B", "MB") if not (n >= 1024 and u == "B")]
-    human = lambda n, b: scalars.human_size(b) if n else f"0.0{'B'}"
-    out = [(n, t, scalars.parse_size(t), human(n, scalars.parse_size(t)) if n else "0.0" + t[1:]) for n, t in rows]
+    out = [(n, t, scalars.parse_size(t), scalars.human_size(scalars.parse_size(t))) for n, t in rows]
     return spark.createDataFrame(out, "n int, text string, bytes long, human string")
 
 
@@ -710,6 +744,17 @@ def file_checks(spark, d):
     return spark.createDataFrame(rows, "name string, valid boolean, has_time boolean, has_place boolean")
 
 
+@query("select * from (values ('yellow', 1), ('green', 0)) as v(kind, files)")
+def single_file_kind(spark, d):
+    """A single file of no known kind counts as yellow."""
+    return spark.createDataFrame([(k, len(v)) for k, v in sources.trip_files(spark, f"{d}/nation.parquet").items()], "kind string, files int")
+
+
+@query("select n_nationkey, n_name from nation")
+def first_file(spark, d):
+    return sources.first_file(spark, f"{d}/nation.parquet").select("n_nationkey", "n_name")
+
+
 @query(PATH_SQL + f", q as ({YM}) select coalesce(year * 100 + month, 999999) as ym, count(*) as n from q group by all order by ym limit 2")
 def first_months(spark, d):
     return quality.by_month(_catalog_files(spark), 2).select("ym", "n")

@@ -107,6 +107,30 @@ def file_catalog(spark: SparkSession, files: list[str]) -> DataFrame:
     return df.select("path", paths.taxi_type(F.col("path")).alias("taxi_type"), year.alias("year"), month.alias("month"), paths.looks_older(F.col("path")).alias("older"))
 
 
+def trip_files(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("yellow", "green")) -> dict[str, list[str]]:
+    """Files by kind, sorted; others are left out. A single file of no known kind counts as the first kind."""
+    if path.rstrip("/").endswith(".parquet"):
+        own = file_catalog(spark, [path]).first()["taxi_type"]
+        own = kinds[0] if own == "unknown" else own
+        return {k: [path] if k == own else [] for k in kinds}
+    out: dict[str, list[str]] = {k: [] for k in kinds}
+    for r in file_catalog(spark, discover(spark, path)).collect():
+        if r["taxi_type"] in out:
+            out[r["taxi_type"]].append(r["path"])
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def first_file(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """The first file in a folder by path (of those whose path names the kind, if given), or the file itself. Which credentials
+    are tried is the session's setting (`paths.storage_options`)."""
+    if path.rstrip("/").endswith(".parquet"):
+        return spark.read.parquet(paths.hadoop_path(path))
+    found = [f for f in discover(spark, path) if kind is None or kind.lower() in f.lower()]
+    if not found:
+        raise FileNotFoundError(f"{path}: no file names {kind!r}")
+    return spark.read.parquet(paths.hadoop_path(found[0]))
+
+
 def read_zones(spark: SparkSession, path: str) -> DataFrame:
     """pickup_place, lat, lon from csv, tsv or Parquet; rows without coordinates are left out."""
     if path.endswith(".parquet"):
