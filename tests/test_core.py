@@ -213,6 +213,14 @@ def test_splits_and_places(spark):
     assert (got[0]["pickup_lon"], got[0]["pickup_zone_id"]) == (0.0, 132.0) and (got[1]["pickup_lon"], got[1]["pickup_lat"], got[1]["pickup_zone_id"]) == (-73.982, 40.751, -1.0)
 
 
+def test_place_keys_round_in_doubles(spark):
+    got = spark.createDataFrame([(6492.75 / 100, -0.0001), (None, 1.0), (0.0125, 2.0)], "x double, y double").select(scalars.lonlat_key(F.col("x"), F.col("y")).alias("k")).collect()
+    assert [r["k"] for r in got] == ["64.927_-0.000", None, "0.012_2.000"]
+    x = np.round(np.random.default_rng(5).uniform(-1000, 10000, 5000), 2) / 100
+    rows = spark.createDataFrame(pd.DataFrame({"x": x})).select("x", scalars.lonlat_key(F.col("x"), F.col("x")).alias("k")).collect()
+    assert all(r["k"] == f"{np.round(r['x'], 3):.3f}_{np.round(r['x'], 3):.3f}" for r in rows)
+
+
 def test_entry_imports_and_streaming(spark, tmp_path):
     import __spark_entry__ as e
 

@@ -27,8 +27,10 @@ def human_size(n: int) -> str:
 
 
 def lonlat_key(lon: Column, lat: Column) -> Column:
-    """'lon_lat' with three decimals."""
-    return F.concat_ws("_", F.format_string("%.3f", F.bround(lon, 3)), F.format_string("%.3f", F.bround(lat, 3)))
+    """'lon_lat' with three decimals, null if either is. Ties go to even after scaling in doubles, as in pandas and DuckDB;
+    Spark's bround would round the shortest decimal instead."""
+    parts = [F.format_string("%.3f", F.when(c.isNotNull(), F.rint(c.cast("double") * 1000) / 1000)) for c in (lon, lat)]
+    return F.when(lon.isNotNull() & lat.isNotNull(), F.concat_ws("_", *parts))
 
 
 def draw(*parts) -> Column:
