@@ -3,6 +3,7 @@ import os
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,6 +222,38 @@ def test_place_keys_round_in_doubles(spark):
     assert all(r["k"] == f"{np.round(r['x'], 3):.3f}_{np.round(r['x'], 3):.3f}" for r in rows)
 
 
+def test_draws_in_numpy(spark):
+    from tidemark.functions import draws
+
+    keys = [None, "", "7", "1234567", "é", "x" * 51, "x" * 55, "x" * 62, "x" * 63, "y" * 130]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").coalesce(1)
+    for suffix in ("0:42", "17:42", "3"):
+        got = df.select(scalars.poisson(F.col("k"), *suffix.split(":")).alias("w"), draws.prefix("k").alias("p")).collect()
+        own = draws.poisson_weights(pa.array([r["p"] for r in got]), [suffix])[0]
+        assert own.tolist() == [r["w"] for r in got]
+
+
+def test_bootstrap_deals_out_and_draws_once(spark):
+    """Few files or row groups once made few tasks, each with all of their rows times replicates."""
+    from tidemark.functions import draws
+    from tidemark.operators import resample
+
+    one = spark.range(3 * draws.TASK_ROWS).coalesce(1)
+    assert draws.dealt(one).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    df = spark.createDataFrame([(1, 2.0, 0, 0), (2, None, 1, 0), (None, 5.0, 1, 1), (4, 7.5, None, 1), (1, 0.0, 0, 1)], "k int, v double, y int, q int")
+    ci = resample.mean_ci(df, "k", "v", 20)
+    assert "Generate" not in ci._jdf.queryExecution().optimizedPlan().toString()
+    b = F.explode(F.sequence(F.lit(0), F.lit(19)))
+    w = df.withColumn("b", b).withColumn("w", scalars.poisson(F.col("k").cast("string"), F.col("b").cast("string"), 42))
+    means = w.groupBy("b").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    want = means.agg(F.count("*"), F.avg("m"), F.percentile("m", 0.025), F.percentile("m", 0.975)).first()
+    assert np.allclose(np.array(ci.first(), float), np.array(want, float))
+    assert resample.mean_ci(df.where("false"), "k", "v").first()["replicates"] == 0
+    hits = {r["b"]: r["a"] for r in w.groupBy("b").agg((F.sum(F.when(F.col("y") == F.col("q"), F.col("w")).otherwise(0)) / F.nullif(F.sum("w"), F.lit(0))).alias("a")).collect()}
+    got = {r["b"]: r["accuracy"] for r in classify.bootstrap_metrics(df, "k", 20, "y", "q").collect()}
+    assert all(np.isclose(got[k], hits[k]) for k in got) and len(got) >= 15
+
+
 def test_entry_imports_and_streaming(spark, tmp_path):
     import __spark_entry__ as e
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.draws import dealt, gathered, poisson_weights, prefix
 from tidemark.functions.scalars import draw_int, poisson
 from tidemark.operators import linalg
 
@@ -22,24 +26,24 @@ def drawn(df: DataFrame, key: str, value: str, replicates: int, seed: int = 42)
     return draws.withColumn("i", F.pmod(draw_int(F.col("b").cast("string"), F.col("d").cast("string"), seed), F.lit(n))).join(rows, "i").select("b", "value")
 
 
-#: Tables up to so many rows are dealt out over all cores before replicates multiply them; larger ones have partitions enough.
-DEAL_ROWS = 5_000_000
-
-
-def weighted(df: DataFrame, key: str, replicates: int, seed: int = 42) -> DataFrame:
-    """Rows times replicates with Poisson(1) weights; aggregate before anything else: partial sums leave one row a task and replicate.
-
-    Rows of weight 0 stay: they add nothing to weighted sums, and a filter on w would be pushed down and draw every weight again.
-    """
-    b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    if df.limit(DEAL_ROWS + 1).count() <= DEAL_ROWS:
-        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df.withColumn("b", b).withColumn("w", poisson(F.col(key).cast("string"), F.col("b").cast("string"), seed))
-
-
-def mean_ci(df: DataFrame, key: str, value: str, replicates: int = 100) -> DataFrame:
-    """Percentile interval of the mean."""
-    means = weighted(df.select(key, value), key, replicates).groupBy("b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
+def mean_ci(df: DataFrame, key: str, value: str, replicates: int = 100, seed: int = 42) -> DataFrame:
+    """Percentile interval of the mean over replicates with Poisson(1) weights. A task sends a pair of sums a replicate."""
+    suffixes = [f"{b}:{seed}" for b in range(replicates)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, weights, rows, known = np.zeros(replicates), np.zeros(replicates, np.int64), 0, 0
+        for t in gathered(batches):
+            x, w = t.column(1), poisson_weights(t.column(0), suffixes)
+            rows, known = rows + len(x), known + len(x) - x.null_count
+            x = x.fill_null(0.0).to_numpy()
+            for b in range(replicates):
+                sums[b] += w[b].astype(float) @ x
+                weights[b] += w[b].sum(dtype=np.int64)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(range(replicates), pa.int32()), pa.array(sums if known else [None] * replicates, pa.float64()), pa.array(weights)], ["b", "s", "w"])
+
+    rows = dealt(df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))).select(prefix("_k").alias("_p"), "_v")
+    means = rows.mapInArrow(run, "b int, s double, w bigint").groupBy("b").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     return means.agg(F.count("*").alias("replicates"), F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("ci_lower"), F.percentile("m", 0.975).alias("ci_upper"))
 
 
