@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -9,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.draws import dealt, gathered, poisson_weights, prefix
 from tidemark.functions.scalars import poisson
 from tidemark.operators.quantiles import quantiles_by
 
@@ -56,10 +61,26 @@ def overall(df: DataFrame, label: str = "label", prediction: str = "prediction",
 
 
 def bootstrap_metrics(df: DataFrame, key: str, replicates: int = 200, label: str = "label", prediction: str = "prediction", average: str = "macro") -> DataFrame:
-    """accuracy and f1 by replicate from weighted confusion counts: a row becomes a count at once."""
-    b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(label).cast("int").alias("y"), F.col(prediction).cast("int").alias("q"), b.alias("b"))
-    c = rows.withColumn("w", poisson(F.col("key"), F.col("b").cast("string"), 42)).groupBy("b", "y", "q").agg(F.sum("w").alias("n"))
+    """accuracy and f1 by replicate from weighted confusion counts: a task sends one count a replicate and pair of classes."""
+    suffixes = [f"{b}:42" for b in range(replicates)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple, np.ndarray] = {}
+        for t in gathered(batches):
+            w = poisson_weights(t.column(0), suffixes)
+            codes = [t.column(i).combine_chunks().dictionary_encode("encode") for i in (1, 2)]
+            q = codes[1].indices.to_numpy()
+            pairs, at = np.unique(codes[0].indices.to_numpy().astype(np.int64) * len(codes[1].dictionary) + q, return_inverse=True)
+            sums = np.stack([np.bincount(at, x, len(pairs)) for x in w]).astype(np.int64)
+            for i, pair in enumerate(pairs.tolist()):
+                k = tuple(c.dictionary[j].as_py() for c, j in zip(codes, divmod(pair, len(codes[1].dictionary)), strict=True))
+                counts[k] = counts.get(k, 0) + sums[:, i]
+        if counts:
+            many = range(replicates)
+            yield pa.RecordBatch.from_arrays([pa.array([b for _ in counts for b in many], pa.int32()), *[pa.array([k[i] for k in counts for _ in many], pa.int32()) for i in (0, 1)], pa.array(np.concatenate(list(counts.values())))], ["b", "y", "q", "n"])
+
+    rows = dealt(df.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("y"), F.col(prediction).cast("int").alias("q"))).select(prefix("_k").alias("_p"), "y", "q")
+    c = rows.mapInArrow(run, "b int, y int, q int, n bigint").groupBy("b", "y", "q").agg(F.sum("n").alias("n"))
     sides = c.select("b", F.explode(F.array(F.struct(F.col("y").alias("k"), F.col("n").alias("real"), F.lit(0).cast("long").alias("said"), F.when(F.col("y") == F.col("q"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("q").alias("k"), F.lit(0).cast("long").alias("real"), F.col("n").alias("said"), F.lit(0).cast("long").alias("hit")))).alias("s")).select("b", "s.*")
     per = sides.groupBy("b", "k").agg(F.sum("real").alias("real"), F.sum("said").alias("said"), F.sum("hit").alias("hit")).where("real > 0")
     f1 = F.coalesce(2.0 * F.col("hit") / F.nullif(F.col("real") + F.col("said"), F.lit(0)), F.lit(0.0))
