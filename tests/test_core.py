@@ -254,6 +254,48 @@ def test_bootstrap_deals_out_and_draws_once(spark):
     assert all(np.isclose(got[k], hits[k]) for k in got) and len(got) >= 15
 
 
+def noisy(spark, n):
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"k": np.arange(n), "v": np.round(rng.exponential(50, n), 2), "h": rng.integers(0, 24, n), "g": rng.integers(0, 7, n)})
+    pdf["label"] = (np.sin(pdf["h"]) + pdf["v"] / 60 + rng.normal(size=n) > 1).astype(float)
+    return spark.createDataFrame(pdf)
+
+
+def test_boosting_on_counts_is_spark_ml(spark, monkeypatch):
+    """All models come from one count of cells, and are Spark ML's where its thresholds come from all rows."""
+    from tidemark.operators import boost
+
+    df = noisy(spark, 3000).cache()
+    names = ["v", "h", "g"]
+    got, own = classify.boosted(df, df, names, depth=4, rate=0.3, trees=4)
+    model = classify.booster(names, depth=4, rate=0.3, trees=4).fit(df)
+    want = classify.scored(model, df).orderBy("k").toPandas()
+    assert np.allclose(np.sort(got.toPandas()["p"]), np.sort(want["p"])) and np.allclose(own, model.stages[-1].featureImportances.toArray())
+    missing = df.withColumn("v", F.when(F.col("k") % 3 > 0, F.when(F.col("k") % 3 > 1, float("nan")).otherwise(F.col("v"))))
+    assert classify.boosted(df, missing, names, depth=2, trees=1)[0].count() == 1000
+    with pytest.raises(Exception, match="labels must be 0 or 1"):
+        classify.boosted(df.withColumn("label", F.lit(2.0)), df, names)
+    monkeypatch.setattr(boost, "VALUES", 50)
+    cut = boost.thresholds(boost.whole(df, names), names)
+    share = np.histogram(df.toPandas()["v"], [-np.inf, *cut[0], np.inf])[0] / 3000
+    assert len(cut[0]) == 31 and share.max() < 0.05 and [len(c) for c in cut[1:]] == [23, 6]
+
+
+def test_bags_fit_no_model_on_rows(spark, monkeypatch):
+    """Each replicate once was a model fitted by dozens of jobs over the rows."""
+    from tidemark.operators import boost
+
+    df = noisy(spark, 2000).cache()
+    train, test, names = df.where("k % 5 > 0"), df.where("k % 5 = 0"), ["h", "g"]
+    monkeypatch.setattr(boost, "CELLS", 0)
+    slow = classify.bagged(train, test, names, "k", 2, 3, 2).orderBy("k").toPandas()
+    monkeypatch.undo()
+    monkeypatch.setattr(classify, "booster", None)
+    fast = classify.bagged(train, test, names, "k", 2, 3, 2).orderBy("k").toPandas()
+    assert np.allclose(slow.to_numpy(float), fast.to_numpy(float))
+    assert list(slow.columns) == list(fast.columns) and (slow.dtypes == fast.dtypes).all()
+
+
 def test_entry_imports_and_streaming(spark, tmp_path):
     import __spark_entry__ as e
 

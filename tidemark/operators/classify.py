@@ -1,4 +1,4 @@
-"""Two-class models on Spark ML, and their metrics in SQL aggregates."""
+"""Two-class models: boosted trees on counts by cell (`boost`) or, with too many cells, on Spark ML; metrics in SQL aggregates."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.draws import dealt, gathered, poisson_weights, prefix
 from tidemark.functions.scalars import poisson
+from tidemark.operators import boost
 from tidemark.operators.quantiles import quantiles_by
 
 #: (depth, rate) of the sweep.
@@ -46,7 +47,11 @@ def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction
 
 def class_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """label, support, precision, recall, f1; from the few rows of the confusion counts."""
-    c = confusion(df, label, prediction)
+    return report_of(confusion(df, label, prediction))
+
+
+def report_of(c: DataFrame) -> DataFrame:
+    """`class_report` from confusion counts."""
     real = c.groupBy("label").agg(F.sum("n").alias("support"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("hit"))
     said = c.groupBy(F.col("prediction").alias("label")).agg(F.sum("n").alias("said"))
     rows = real.join(said, "label", "left").na.fill(0, ["said"])
@@ -56,8 +61,13 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
 
 def overall(df: DataFrame, label: str = "label", prediction: str = "prediction", average: str = "macro") -> DataFrame:
     """accuracy and f1, macro or weighted by support."""
+    return overall_of(class_report(df, label, prediction), average)
+
+
+def overall_of(report: DataFrame, average: str = "macro") -> DataFrame:
+    """`overall` from the report by class."""
     f1 = F.avg("f1") if average == "macro" else F.sum(F.col("f1") * F.col("support")) / F.sum("support")
-    return class_report(df, label, prediction).agg((F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("accuracy"), f1.alias("f1"))
+    return report.agg((F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("accuracy"), f1.alias("f1"))
 
 
 def bootstrap_metrics(df: DataFrame, key: str, replicates: int = 200, label: str = "label", prediction: str = "prediction", average: str = "macro") -> DataFrame:
@@ -88,6 +98,23 @@ def bootstrap_metrics(df: DataFrame, key: str, replicates: int = 200, label: str
     return per.groupBy("b").agg((F.sum("hit") / F.sum("real")).alias("accuracy"), agg.alias("f1"))
 
 
+def _cells(train: DataFrame, features: list[str]) -> tuple[DataFrame, list[np.ndarray] | None]:
+    """Complete training rows, and thresholds; none where they make too many cells to count."""
+    rows = boost.whole(train, features)
+    cut = boost.thresholds(rows, features)
+    return rows, cut if boost.cell_count(cut) <= boost.CELLS else None
+
+
+def boosted(train: DataFrame, test: DataFrame, features: list[str], depth: int = 6, rate: float = 0.3, trees: int = 20) -> tuple[DataFrame, list[float]]:
+    """label, p and prediction of test's complete rows by a model of train; and the features' importances."""
+    rows, cut = _cells(train, features)
+    if cut is None:
+        model = booster(features, depth=depth, rate=rate, trees=trees).fit(train)
+        return scored(model, test).select("label", "p", "prediction"), model.stages[-1].featureImportances.toArray().tolist()
+    own = boost.fit(boost.counted(rows, features, cut, "label")[0], cut, depth, rate, trees)
+    return boost.scored(boost.whole(test, features), features, cut, own.p, own.prediction, ["label"]), own.importance.tolist()
+
+
 def sweep(train: DataFrame, test: DataFrame, features: list[str], grid: tuple = SWEEP, trees: int = 10) -> list[tuple]:
     """(depth, rate, accuracy, f1)."""
     out = []
@@ -98,12 +125,19 @@ def sweep(train: DataFrame, test: DataFrame, features: list[str], grid: tuple =
 
 
 def bagged(train: DataFrame, test: DataFrame, features: list[str], key: str, replicates: int = 30, trees: int = 10, depth: int = 4) -> DataFrame:
-    """key, label, mean probability, prediction and confidence of models fitted on Poisson-weighted rows."""
-    parts = None
-    for b in range(replicates):
-        own = train.withColumn("_w", poisson(F.col(key).cast("string"), b).cast("double")).where("_w > 0")
-        one = scored(booster(features, depth=depth, trees=trees, weight="_w").fit(own), test).select(key, "label", "p")
-        parts = one if parts is None else parts.union(one)
+    """key, label, mean probability, prediction and confidence of models fitted on Poisson-weighted rows. One pass counts all
+    replicates."""
+    rows, cut = _cells(train, features)
+    if cut is None:
+        parts = None
+        for b in range(replicates):
+            own = train.withColumn("_w", poisson(F.col(key).cast("string"), b).cast("double")).where("_w > 0")
+            one = scored(booster(features, depth=depth, trees=trees, weight="_w").fit(own), test).select(key, "label", "p")
+            parts = one if parts is None else parts.union(one)
+    else:
+        counts = boost.counted(rows, features, cut, "label", key, [str(b) for b in range(replicates)])
+        p = np.mean([boost.fit(c, cut, depth, 0.3, trees).p for c in counts], axis=0)
+        parts = boost.scored(boost.whole(test, features), features, cut, p, p > 0.5, [key, "label"]).select(key, "label", "p")
     out = parts.groupBy(key, "label").agg(F.avg("p").alias("p"))
     return out.withColumn("prediction", (F.col("p") > 0.5).cast("double")).withColumn("confidence", F.greatest("p", 1 - F.col("p")))
 
@@ -116,5 +150,5 @@ def confidence_stats(df: DataFrame) -> DataFrame:
     return told.join(half, F.col("correct").eqNullSafe(F.col("_correct")), "left").select("correct", "n", "mean", "median", "min", "max")
 
 
-def importances(model, features: list[str]) -> list[tuple[str, float]]:
-    return sorted(zip(features, map(float, model.stages[-1].featureImportances.toArray()), strict=True), key=lambda x: -x[1])
+def importances(own: list[float], features: list[str]) -> list[tuple[str, float]]:
+    return sorted(zip(features, own, strict=True), key=lambda x: -x[1])

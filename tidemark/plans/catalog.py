@@ -631,8 +631,8 @@ TRIP_FEATURES = ["value", "hour", "weekday", "is_weekend"]
 
 @query()
 def gbt_report(spark, d):
-    rows = _labelled(spark, d)
-    return classify.class_report(classify.scored(classify.booster(TRIP_FEATURES, depth=3, trees=3).fit(rows.where("part = 'train'")), rows.where("part = 'test'")))
+    rows = _labelled(spark, d).cache()
+    return classify.class_report(classify.boosted(rows.where("part = 'train'"), rows.where("part = 'test'"), TRIP_FEATURES, depth=3, trees=3)[0])
 
 
 @query()
@@ -643,8 +643,9 @@ def gbt_sweep(spark, d):
 
 @query()
 def gbt_importance(spark, d):
-    model = classify.booster(TRIP_FEATURES, depth=3, trees=3).fit(_labelled(spark, d).where("part = 'train'"))
-    return spark.createDataFrame(classify.importances(model, TRIP_FEATURES), "feature string, importance double")
+    rows = _labelled(spark, d).cache()
+    _, own = classify.boosted(rows.where("part = 'train'"), rows.where("part = 'test'"), TRIP_FEATURES, depth=3, trees=3)
+    return spark.createDataFrame(classify.importances(own, TRIP_FEATURES), "feature string, importance double")
 
 
 @query()
