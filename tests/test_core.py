@@ -281,19 +281,19 @@ def test_boosting_on_counts_is_spark_ml(spark, monkeypatch):
     assert len(cut[0]) == 31 and share.max() < 0.05 and [len(c) for c in cut[1:]] == [23, 6]
 
 
-def test_bags_fit_no_model_on_rows(spark, monkeypatch):
-    """Each replicate once was a model fitted by dozens of jobs over the rows."""
+def test_bags_and_sweeps_fit_no_model_on_rows(spark, monkeypatch):
+    """Each replicate and each pair of the grid once was a model fitted by dozens of jobs over the rows."""
     from tidemark.operators import boost
 
     df = noisy(spark, 2000).cache()
     train, test, names = df.where("k % 5 > 0"), df.where("k % 5 = 0"), ["h", "g"]
     monkeypatch.setattr(boost, "CELLS", 0)
-    slow = classify.bagged(train, test, names, "k", 2, 3, 2).orderBy("k").toPandas()
+    slow = classify.bagged(train, test, names, "k", 2, 3, 2).orderBy("k").toPandas(), classify.sweep(train, test, names, ((2, 0.1), (3, 0.3)), 2)
     monkeypatch.undo()
     monkeypatch.setattr(classify, "booster", None)
-    fast = classify.bagged(train, test, names, "k", 2, 3, 2).orderBy("k").toPandas()
-    assert np.allclose(slow.to_numpy(float), fast.to_numpy(float))
-    assert list(slow.columns) == list(fast.columns) and (slow.dtypes == fast.dtypes).all()
+    fast = classify.bagged(train, test, names, "k", 2, 3, 2).orderBy("k").toPandas(), classify.sweep(train, test, names, ((2, 0.1), (3, 0.3)), 2)
+    assert np.allclose(slow[0].to_numpy(float), fast[0].to_numpy(float)) and np.allclose(slow[1], fast[1])
+    assert list(slow[0].columns) == list(fast[0].columns) and (slow[0].dtypes == fast[0].dtypes).all()
 
 
 def test_entry_imports_and_streaming(spark, tmp_path):
